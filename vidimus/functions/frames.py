@@ -8,7 +8,6 @@ still worked on by many tasks. The order column must be an integer that is uniqu
 from __future__ import annotations
 
 import functools
-import os
 import tempfile
 from collections.abc import Sequence
 
@@ -36,9 +35,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame once to the shared folder and go on from the written table.
+
+    Later steps read it back pruned and with known sizes, and the loss of an executor never replays
+    what came before.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def literal_map(mapping: dict[str, str], key: Column, default: str | None = None) -> Column:

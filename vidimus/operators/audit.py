@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas
 from vidimus.functions import text as tx
-from vidimus.functions.frames import SPAN, carry_forward, running_total
+from vidimus.functions.frames import SPAN, carry_forward, cut_lineage, running_total
 from vidimus.operators.census import rule_category
 from vidimus.operators.projection import STATUS_OF, _detail, _map_event, base_edge, edge_changes, node_changes, with_twins
 
@@ -110,125 +110,162 @@ def _kin_conflicts(ev: DataFrame, attests: DataFrame, authors: DataFrame, span:
     return held.filter("held > 0").select("seq", "family").join(probe.select("seq", "family"), ["seq", "family"], "left_semi")
 
 
-def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
-    """Violations as `seq, event, rule, category, message`: the first rule each event breaks, or all."""
-    made = created_nodes(ev)
-    drawn = drawn_edges(ev)
-    type_of = made.select("id", "type", "created_seq")
-    out = [malformed(ev)]
+def _judge(df: DataFrame, *rules: tuple[Column, int, str, Column]) -> DataFrame:
+    """Every rule an event breaks, in one pass: rows of (condition, rank, rule, message)."""
+    hits = [
+        F.when(cond, F.struct(F.lit(rank).alias("rank"), F.lit(rule).alias("rule"), message.cast("string").alias("message")))
+        for cond, rank, rule, message in rules
+    ]
+    return df.select("seq", "event", F.explode(F.array_compact(F.array(*hits))).alias("v")).select("seq", "event", "v.*")
 
-    # --- the ladder ---------------------------------------------------------------------------------
+
+def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
+    """Violations as `seq, event, rule, category, message`: the first rule each event breaks, or all.
+
+    What several rules look at (nodes made, edges drawn, the node timeline) is written once and read
+    back; each family of events is then judged in one pass.
+    """
+    made = cut_lineage(created_nodes(ev))
+    drawn = cut_lineage(drawn_edges(ev))
+    before = lambda c: F.coalesce(F.col(c) < F.col("seq"), F.lit(False))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    node, who = F.col("node_id"), F.col("authored_by")
+    not_researcher = who != schemas.RESEARCHER
+    needs = F.concat(F.col("event"), F.lit(" requires the researcher, got "), who)
+
+    # --- one timeline per node: creation, moves, later proposals, and attests edges drawn from it ------
     ladder = ev.filter(F.col("event").isin(*LADDER) & F.col("node_id").isNotNull()).select("seq", "event", "authored_by", "node_id", _detail("reason").alias("reason"))
     proposals = ev.filter("event = 'propose' AND node_id IS NOT NULL").select("seq", "event", "authored_by", "node_id", "node_type", _detail("witness_id").alias("witness_id"))
     attest_edges = drawn.filter("type = 'attests'").groupBy("src", "dst").agg(F.min("created_seq").alias("drawn_seq"))
-    # one timeline per node: creation, moves, later proposals and attests edges drawn from it
+    none = F.lit(None).cast("string")
     timeline = (
         made.select("id", F.col("created_seq").alias("seq"), F.col("born").alias("status"), F.lit("create").alias("row"))
         .unionByName(ladder.select(F.col("node_id").alias("id"), "seq", _map_event(STATUS_OF).alias("status"), F.lit("move").alias("row")))
         .unionByName(
             proposals.filter("node_type IN ('witness', 'passage')").join(made.select(F.col("id").alias("node_id"), "created_seq"), "node_id")
-            .filter("seq > created_seq").select(F.col("node_id").alias("id"), "seq", F.lit(None).cast("string").alias("status"), F.lit("repeat").alias("row"))
+            .filter("seq > created_seq").select(F.col("node_id").alias("id"), "seq", none.alias("status"), F.lit("repeat").alias("row"))
         )
-        .unionByName(attest_edges.select(F.col("src").alias("id"), F.col("drawn_seq").alias("seq"), F.lit(None).cast("string").alias("status"), F.lit("edge").alias("row")).distinct())
+        .unionByName(attest_edges.select(F.col("src").alias("id"), F.col("drawn_seq").alias("seq"), none.alias("status"), F.lit("edge").alias("row")))
     )
-    states = carry_forward(timeline, ["id"], "seq", ["status"], span)
-    moves = ladder.join(states.filter("row = 'move'").select(F.col("id").alias("node_id"), "seq", "prev_status"), ["node_id", "seq"])
-    moves = moves.join(type_of.withColumnRenamed("id", "node_id"), "node_id", "left")
-    moves = moves.withColumn("known", F.coalesce(F.col("created_seq") < F.col("seq"), F.lit(False)))
-    verdict = F.col("event") != "attest"
-    node = F.col("node_id")
-    out.append(_violation(moves.filter(verdict & (F.col("authored_by") != schemas.RESEARCHER)), 1, "NotResearcher", F.concat("event", F.lit(" requires the researcher, got "), "authored_by")))
-    out.append(_violation(moves.filter(F.col("event").isin("reject", "reopen") & _blank(F.col("reason"))), 2, "MissingRejectionReason", node))
-    out.append(_violation(moves.filter(~F.col("known")), 3, "NodeNotFound", node))
-    known = moves.filter("known")
-    allowed = (
-        F.when(F.col("event") == "attest", F.col("prev_status") == "proposed").when(F.col("event") == "accept", F.col("prev_status") == "attested")
-        .when(F.col("event") == "reject", F.col("prev_status").isin("proposed", "attested")).otherwise(F.col("prev_status") == "rejected")
-    )
-    out.append(_violation(known.filter(~allowed), 4, "RungSkipped", F.concat(node, F.lit(" is "), "prev_status")))
+    states = cut_lineage(carry_forward(timeline, ["id"], "seq", ["status"], span))
 
-    attests = known.filter("event = 'attest'")
-    contested = attests.filter(F.col("type").isin(*schemas.REVIEWABLE_TYPES) & (F.col("authored_by") != schemas.RESEARCHER))
+    # --- the ladder ---------------------------------------------------------------------------------
+    moves = ladder.join(states.filter("row = 'move'").select(F.col("id").alias("node_id"), "seq", "prev_status"), ["node_id", "seq"])
+    moves = cut_lineage(moves.join(made.select(F.col("id").alias("node_id"), "type", "created_seq"), "node_id", "left").withColumn("known", before("created_seq")))
+    attests = moves.filter("event = 'attest' AND known")
+    contested = attests.filter(F.col("type").isin(*schemas.REVIEWABLE_TYPES) & not_researcher)
     authors = proposals.groupBy("node_id", F.col("authored_by").alias("author")).agg(F.min("seq").alias("first_seq"))
-    own = contested.join(authors.withColumnRenamed("author", "authored_by"), ["node_id", "authored_by"]).filter("first_seq < seq")
-    out.append(_violation(own, 5, "SelfAttestation", F.concat("authored_by", F.lit(" authored "), node)))
-    kin = contested.join(_kin_conflicts(ev, contested, authors, span), "seq")
-    out.append(_violation(kin, 6, "ReviewerNotIndependent", F.concat(F.lit("model family "), "family", F.lit(" is shared with an author of "), node)))
-
-    stands = lambda c: F.coalesce(F.col(c).isin(*STANDING), F.lit(False))
-    toggles = states.filter("status IS NOT NULL").select("id", "seq", (stands("status").cast("int") - stands("prev_status").cast("int")).alias("d")).filter("d <> 0")
-    at_draw = states.filter("row = 'edge'").select(F.col("id").alias("src"), F.col("seq").alias("drawn_seq"), stands("prev_status").cast("int").alias("d"))
-    support = attest_edges.join(at_draw, ["src", "drawn_seq"]).select(F.col("dst").alias("node_id"), F.col("drawn_seq").alias("seq"), "d")
-    support = support.unionByName(
-        attest_edges.join(toggles.withColumnRenamed("id", "src"), "src").filter("seq > drawn_seq").select(F.col("dst").alias("node_id"), "seq", "d")
+    kin = _kin_conflicts(ev, contested, authors, span).select("seq", F.col("family").alias("kin"))
+    held = _standing_support(states, attest_edges, attests.filter("type = 'claim'"), span)
+    first_edge = lambda kind, end, out: drawn.filter(F.col("type") == kind).groupBy(F.col(end).alias("node_id")).agg(F.min("created_seq").alias(out))
+    j = (
+        moves.join(authors.withColumnRenamed("author", "authored_by"), ["node_id", "authored_by"], "left").join(kin, "seq", "left")
+        .join(held, ["node_id", "seq"], "left").join(first_edge("tests", "dst", "tests_seq"), "node_id", "left")
+        .join(first_edge("part_of", "src", "part_seq"), "node_id", "left")
     )
-    claims = attests.filter("type = 'claim'")
-    line = support.unionByName(claims.select("node_id", "seq", F.lit(0).alias("d"))).groupBy("node_id", "seq").agg(F.sum("d").alias("d"))
-    held = running_total(line, ["node_id"], "seq", "d", "held", span)
-    unsupported = claims.join(held.select("node_id", "seq", "held"), ["node_id", "seq"]).filter("held <= 0")
-    out.append(_violation(unsupported, 7, "UnattestableClaim", node))
-    first_edge = lambda kind, end: drawn.filter(F.col("type") == kind).groupBy(F.col(end).alias("node_id")).agg(F.min("created_seq").alias("edge_seq"))
-    for kind, edge, end, rule in (("conjecture", "tests", "dst", "UnattestableConjecture"), ("passage", "part_of", "src", "PassageNotLocated")):
-        rows = attests.filter(F.col("type") == kind).join(first_edge(edge, end), "node_id", "left")
-        out.append(_violation(rows.filter("edge_seq IS NULL OR edge_seq >= seq"), 7, rule, node))
-
-    # --- proposals ------------------------------------------------------------------------------------
-    placed = proposals.filter("node_type = 'passage'").join(made.select(F.col("id").alias("witness_id"), F.col("created_seq").alias("w_seq")), "witness_id", "left")
-    out.append(_violation(placed.filter("w_seq IS NULL OR w_seq >= seq"), 1, "EdgeEndpointMissing", F.concat(F.lit("witness "), F.coalesce("witness_id", F.lit("")), F.lit(" does not exist"))))
-    again = proposals.join(states.filter("row = 'repeat' AND prev_status = 'rejected'").select(F.col("id").alias("node_id"), "seq"), ["node_id", "seq"])
-    out.append(_violation(again, 2, "PersistentRejection", node))
-    asked = ev.filter(F.col("event") == "ask")
-    out.append(_violation(asked.filter(F.col("authored_by") != schemas.RESEARCHER), 1, "NotResearcher", F.concat(F.col("authored_by"), F.lit(" may not ask a research question"))))
-
-    # --- verification -----------------------------------------------------------------------------------
-    checks = ev.filter("event = 'verify'").select("seq", "event", "authored_by", _detail("subject_node_id").alias("node_id"), _detail("payload.method").alias("method"))
-    checks = checks.join(type_of.withColumnRenamed("id", "node_id"), "node_id", "left").withColumn("known", F.coalesce(F.col("created_seq") < F.col("seq"), F.lit(False)))
-    out.append(_violation(checks.filter("NOT known"), 1, "NodeNotFound", F.coalesce(node, F.lit(""))))
-    out.append(_violation(checks.filter(F.col("known") & ~F.col("type").isin(*schemas.VERIFIABLE_TYPES)), 2, "EdgeDomainViolation", F.concat(F.lit("cannot verify a "), "type")))
-    out.append(_violation(checks.filter((F.col("method") == "human_review") & (F.col("authored_by") != schemas.RESEARCHER)), 3, "NotResearcher", F.concat(F.lit("verify requires the researcher, got "), "authored_by")))
-
-    # --- edges --------------------------------------------------------------------------------------------
-    adds = ev.filter("event = 'add_edge'").select("seq", "event", "authored_by", "edge_id", "edge_type", _detail("src").alias("src"), _detail("dst").alias("dst"), _detail("reason").alias("reason"), F.coalesce(_detail("converge").cast("boolean"), F.lit(False)).alias("converge"))
-    end = lambda side: made.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"), F.col("created_seq").alias(f"{side}_seq"))
-    adds = adds.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
-    known_end = lambda side: F.coalesce(F.col(f"{side}_seq") < F.col("seq"), F.lit(False))
-    out.append(_violation(adds.filter("src = dst"), 2, "EdgeSelfLoop", F.concat("src", F.lit(" -> "), "dst")))
-    for rank, side in ((3, "src"), (4, "dst")):
-        out.append(_violation(adds.filter(~known_end(side)), rank, "EdgeEndpointMissing", F.concat(F.lit(f"{side} "), F.coalesce(side, F.lit("")), F.lit(" does not exist"))))
-    both = adds.filter(known_end("src") & known_end("dst"))
-    odd = ~F.col("src_type").isin(*schemas.CONTRADICTABLE_TYPES) | ~F.col("dst_type").isin(*schemas.CONTRADICTABLE_TYPES)
-    out.append(_violation(both.filter((F.col("edge_type") == "contradicts") & odd), 1, "WrongNodeType", F.concat("src_type", F.lit(" and "), "dst_type", F.lit(" cannot contradict"))))
-    out.append(_violation(both.filter((F.col("edge_type") == "contradicts") & _blank(F.col("reason"))), 1, "ValidationError", F.lit("a contradiction needs a stated reason")))
-    out.append(_violation(both.filter(~_domain_ok(F.col("edge_type"), F.col("src_type"), F.col("dst_type"))), 5, "EdgeDomainViolation", F.concat("edge_type", F.lit(" not valid from "), "src_type", F.lit(" to "), "dst_type")))
-
-    by_triple = drawn.groupBy(F.col("type").alias("edge_type"), "src", "dst").agg(F.min(F.struct("created_seq", "id")).alias("e")).select(
-        "edge_type", "src", "dst", F.col("e.created_seq").alias("e_seq"), base_edge(F.col("e.id")).alias("base")
+    event, kind, known = F.col("event"), F.col("type"), F.col("known")
+    allowed = (
+        F.when(event == "attest", F.col("prev_status") == "proposed").when(event == "accept", F.col("prev_status") == "attested")
+        .when(event == "reject", F.col("prev_status").isin("proposed", "attested")).otherwise(F.col("prev_status") == "rejected")
     )
-    redraw = both.join(by_triple, ["edge_type", "src", "dst"]).filter("e_seq < seq")
-    rows = drawn.select(F.col("id").alias("edge_id"), F.col("created_seq").alias("row_seq"), base_edge("id").alias("base"))
-    shifts = ev.filter(F.col("event").isin("retract_edge", "restore_edge") & F.col("edge_id").isNotNull()).select("seq", "event", "authored_by", "edge_id", _detail("reason").alias("reason"), base_edge("edge_id").alias("base"))
+    attest = known & (event == "attest")
+    disputed = attest & kind.isin(*schemas.REVIEWABLE_TYPES) & not_researcher
+    found = [malformed(ev), _judge(
+        j,
+        ((event != "attest") & not_researcher, 1, "NotResearcher", needs),
+        (event.isin("reject", "reopen") & _blank(F.col("reason")), 2, "MissingRejectionReason", node),
+        (~known, 3, "NodeNotFound", node),
+        (known & ~allowed, 4, "RungSkipped", F.concat(node, F.lit(" is "), F.col("prev_status"))),
+        (disputed & before("first_seq"), 5, "SelfAttestation", F.concat(who, F.lit(" authored "), node)),
+        (disputed & F.col("kin").isNotNull(), 6, "ReviewerNotIndependent", F.concat(F.lit("model family "), F.col("kin"), F.lit(" is shared with an author of "), node)),
+        (attest & (kind == "claim") & (F.coalesce("held", F.lit(0)) <= 0), 7, "UnattestableClaim", node),
+        (attest & (kind == "conjecture") & ~before("tests_seq"), 7, "UnattestableConjecture", node),
+        (attest & (kind == "passage") & ~before("part_seq"), 7, "PassageNotLocated", node),
+    )]
+
+    # --- proposals and questions --------------------------------------------------------------------------
+    seen = states.filter("row = 'repeat'").select(F.col("id").alias("node_id"), "seq", "prev_status")
+    placed = proposals.join(made.select(F.col("id").alias("witness_id"), F.col("created_seq").alias("w_seq")), "witness_id", "left").join(seen, ["node_id", "seq"], "left")
+    found.append(_judge(
+        placed,
+        ((F.col("node_type") == "passage") & ~before("w_seq"), 1, "EdgeEndpointMissing", F.concat(F.lit("witness "), text(F.col("witness_id")), F.lit(" does not exist"))),
+        (F.col("prev_status") == "rejected", 2, "PersistentRejection", node),
+    ))
+    once = made.select(F.col("id").alias("node_id"), "created_seq")
+    asked = ev.filter("event = 'ask'").select("seq", "event", "authored_by", "node_id").join(once, "node_id", "left")
+    found.append(_judge(
+        asked, (before("created_seq"), 0, "MalformedEvent", F.concat(F.lit("node made twice: "), node)),
+        (not_researcher, 1, "NotResearcher", F.concat(who, F.lit(" may not ask a research question"))),
+    ))
+
+    # --- verification -------------------------------------------------------------------------------------
+    checks = ev.filter("event = 'verify'").select("seq", "event", "authored_by", "node_id", _detail("subject_node_id").alias("subject"), _detail("payload.method").alias("method"))
+    checks = checks.join(made.select(F.col("id").alias("subject"), F.col("type").alias("s_type"), F.col("created_seq").alias("s_seq")), "subject", "left").join(once, "node_id", "left")
+    found.append(_judge(
+        checks, (before("created_seq"), 0, "MalformedEvent", F.concat(F.lit("node made twice: "), node)),
+        (~before("s_seq"), 1, "NodeNotFound", text(F.col("subject"))),
+        (before("s_seq") & ~F.col("s_type").isin(*schemas.VERIFIABLE_TYPES), 2, "EdgeDomainViolation", F.concat(F.lit("cannot verify a "), F.col("s_type"))),
+        ((F.col("method") == "human_review") & not_researcher, 3, "NotResearcher", needs),
+    ))
+
+    # --- edges ----------------------------------------------------------------------------------------------
+    adds = ev.filter("event = 'add_edge'").select(
+        "seq", "event", "authored_by", "edge_id", "edge_type", _detail("src").alias("src"), _detail("dst").alias("dst"),
+        _detail("reason").alias("reason"), F.coalesce(_detail("converge").cast("boolean"), F.lit(False)).alias("converge"))
+    by_triple = drawn.groupBy(F.col("type").alias("edge_type"), "src", "dst").agg(F.min(F.struct("created_seq", "id")).alias("e")).select(
+        "edge_type", "src", "dst", F.col("e.created_seq").alias("e_seq"), base_edge(F.col("e.id")).alias("base"))
+    end = lambda side: made.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"), F.col("created_seq").alias(f"{side}_seq"))
+    adds = adds.join(end("src"), "src", "left").join(end("dst"), "dst", "left").join(by_triple, ["edge_type", "src", "dst"], "left")
+    adds = cut_lineage(adds)
+    shifts = ev.filter(F.col("event").isin("retract_edge", "restore_edge") & F.col("edge_id").isNotNull()).select(
+        "seq", "event", "authored_by", "edge_id", _detail("reason").alias("reason"), base_edge("edge_id").alias("base"))
     mark = F.when(F.col("event") == "retract_edge", "out").otherwise("in")
-    edge_line = shifts.select("base", "seq", mark.alias("state")).unionByName(redraw.select("base", "seq", F.lit(None).cast("string").alias("state")))
-    edge_states = carry_forward(edge_line, ["base"], "seq", ["state"], span)
-    out_now = F.coalesce(F.col("prev_state") == "out", F.lit(False))
-    was = edge_states.select("base", "seq", out_now.alias("is_out"))
-    out.append(_violation(redraw.join(was, ["base", "seq"]).filter("is_out"), 6, "PersistentRetraction", F.concat("edge_type", F.lit(" "), "src", F.lit(" -> "), "dst", F.lit(" was retracted"))))
-    out.append(_violation(redraw.join(was, ["base", "seq"]).filter("NOT is_out AND NOT converge"), 7, "MalformedEvent", F.concat(F.lit("edge drawn again without converging: "), "edge_type", F.lit(" "), "src", F.lit(" -> "), "dst")))
-    sh = shifts.join(rows.drop("base"), "edge_id", "left").withColumn("known", F.coalesce(F.col("row_seq") < F.col("seq"), F.lit(False))).join(was, ["base", "seq"])
-    out.append(_violation(sh.filter(F.col("authored_by") != schemas.RESEARCHER), 1, "NotResearcher", F.concat("event", F.lit(" requires the researcher, got "), "authored_by")))
-    out.append(_violation(sh.filter(_blank(F.col("reason"))), 2, "MissingRejectionReason", F.col("edge_id")))
-    out.append(_violation(sh.filter("NOT known"), 3, "EdgeNotFound", F.col("edge_id")))
+    redrawn = adds.filter(before("e_seq")).select("base", "seq", none.alias("state"))
+    edge_states = carry_forward(shifts.select("base", "seq", mark.alias("state")).unionByName(redrawn), ["base"], "seq", ["state"], span)
+    was = cut_lineage(edge_states.select("base", "seq", F.coalesce(F.col("prev_state") == "out", F.lit(False)).alias("is_out")))
+    both = before("src_seq") & before("dst_seq")
+    odd = ~F.col("src_type").isin(*schemas.CONTRADICTABLE_TYPES) | ~F.col("dst_type").isin(*schemas.CONTRADICTABLE_TYPES)
+    against = both & (F.col("edge_type") == "contradicts")
+    ends = F.concat(F.col("edge_type"), F.lit(" "), F.col("src"), F.lit(" -> "), F.col("dst"))
+    gone = lambda side: F.concat(F.lit(f"{side} "), text(F.col(side)), F.lit(" does not exist"))
+    found.append(_judge(
+        adds.join(was, ["base", "seq"], "left"),
+        (against & odd, 1, "WrongNodeType", F.concat(F.col("src_type"), F.lit(" and "), F.col("dst_type"), F.lit(" cannot contradict"))),
+        (against & _blank(F.col("reason")), 1, "ValidationError", F.lit("a contradiction needs a stated reason")),
+        (F.col("src") == F.col("dst"), 2, "EdgeSelfLoop", F.concat(F.col("src"), F.lit(" -> "), F.col("dst"))),
+        (~before("src_seq"), 3, "EdgeEndpointMissing", gone("src")), (~before("dst_seq"), 4, "EdgeEndpointMissing", gone("dst")),
+        (both & ~_domain_ok(F.col("edge_type"), F.col("src_type"), F.col("dst_type")), 5, "EdgeDomainViolation", F.concat(F.col("edge_type"), F.lit(" not valid from "), F.col("src_type"), F.lit(" to "), F.col("dst_type"))),
+        (both & before("e_seq") & F.col("is_out"), 6, "PersistentRetraction", F.concat(ends, F.lit(" was retracted"))),
+        (both & before("e_seq") & ~F.col("is_out") & ~F.col("converge"), 7, "MalformedEvent", F.concat(F.lit("edge drawn again without converging: "), ends)),
+    ))
+    rows = drawn.select(F.col("id").alias("edge_id"), F.col("created_seq").alias("row_seq"))
+    sh = shifts.join(rows, "edge_id", "left").join(was, ["base", "seq"])
     wrong = F.when(F.col("event") == "retract_edge", F.col("is_out")).otherwise(~F.col("is_out"))
-    out.append(_violation(sh.filter(F.col("known") & wrong), 4, "EdgeAlreadyRetracted", F.concat("edge_id", F.when(F.col("is_out"), " is already retracted").otherwise(" is not retracted"))))
+    found.append(_judge(
+        sh, (not_researcher, 1, "NotResearcher", needs), (_blank(F.col("reason")), 2, "MissingRejectionReason", F.col("edge_id")),
+        (~before("row_seq"), 3, "EdgeNotFound", F.col("edge_id")),
+        (before("row_seq") & wrong, 4, "EdgeAlreadyRetracted", F.concat(F.col("edge_id"), F.when(F.col("is_out"), " is already retracted").otherwise(" is not retracted"))),
+    ))
 
-    # --- ids that may be made only once ----------------------------------------------------------------
-    once = ev.filter("event IN ('verify', 'ask') AND node_id IS NOT NULL").join(type_of.withColumnRenamed("id", "node_id"), "node_id").filter("created_seq < seq")
-    out.append(_violation(once, 0, "MalformedEvent", F.concat(F.lit("node made twice: "), node)))
-
-    found = functools.reduce(DataFrame.unionByName, out)
+    out = functools.reduce(DataFrame.unionByName, found)
     if not list_all:
-        found = found.groupBy("seq").agg(F.min(F.struct("rank", "rule", "event", "message")).alias("v")).select("seq", "v.event", "v.rank", "v.rule", "v.message")
-    return found.select("seq", "event", "rule", rule_category("rule").alias("category"), "message")
+        out = out.groupBy("seq").agg(F.min(F.struct("rank", "rule", "event", "message")).alias("v")).select("seq", "v.event", "v.rule", "v.message")
+    return out.select("seq", "event", "rule", rule_category("rule").alias("category"), "message")
+
+
+def _standing_support(states: DataFrame, attest_edges: DataFrame, claims: DataFrame, span: int) -> DataFrame:
+    """How many standing passages attest each claim at the moment it is attested (R6): `node_id, seq, held`.
+
+    Withdrawn edges count, as they do at the write boundary. A passage enters the sum when its edge is
+    drawn or when it comes to stand, and leaves when it no longer does."""
+    stands = lambda c: F.coalesce(F.col(c).isin(*STANDING), F.lit(False)).cast("int")
+    toggles = states.filter("status IS NOT NULL").select(F.col("id").alias("src"), "seq", (stands("status") - stands("prev_status")).alias("d")).filter("d <> 0")
+    at_draw = states.filter("row = 'edge'").select(F.col("id").alias("src"), F.col("seq").alias("drawn_seq"), stands("prev_status").alias("d"))
+    drawn_on = attest_edges.join(at_draw, ["src", "drawn_seq"]).select(F.col("dst").alias("node_id"), F.col("drawn_seq").alias("seq"), "d")
+    later = attest_edges.join(toggles, "src").filter("seq > drawn_seq").select(F.col("dst").alias("node_id"), "seq", "d")
+    asked = claims.select("node_id", "seq", F.lit(0).alias("d"))
+    line = drawn_on.unionByName(later).unionByName(asked).groupBy("node_id", "seq").agg(F.sum("d").alias("d"))
+    return running_total(line, ["node_id"], "seq", "d", "held", span).join(claims.select("node_id", "seq"), ["node_id", "seq"], "left_semi").select("node_id", "seq", "held")
 
 
 # Layers of a batch of proposals; a layer is judged against the state plus the admitted earlier layers.
@@ -243,8 +280,6 @@ def admit(log: DataFrame, proposals: DataFrame, span: int = SPAN) -> tuple[DataF
 
     `proposals` are events numbered after the log. The batch is judged layer by layer; within a layer a
     later event sees earlier ones of the same layer as applied. Each layer's survivors are checkpointed."""
-    from vidimus.functions.frames import cut_lineage
-
     layer = F.lit(len(ADMISSION_LAYERS))
     for i, (names, kind) in reversed(list(enumerate(ADMISSION_LAYERS))):
         hit = F.col("event").isin(*names.split(","))

@@ -328,14 +328,14 @@ def gather(
 
 
 # --- controls ------------------------------------------------------------------------------------------------
-def tamper_control(nodes: DataFrame, docs: DataFrame, share: int = 10) -> DataFrame:
-    """Negative control (V7): alter the excerpt of about one passage in `share`, recompute its hash, and
-    re-check. The hashes must all look right, and exactly the altered spans must fail."""
+def tamper_control(nodes: DataFrame, docs: DataFrame, share: int = 10, pick: Column | None = None) -> DataFrame:
+    """Negative control (V7): alter the excerpt of about one passage in `share` (or of chosen ones),
+    recompute its hash, and re-check. The hashes must all look right, and exactly the altered spans must
+    fail."""
     from vidimus.operators.projection import integrity_rows
 
-    pick = (F.col("type") == "passage") & (F.pmod(F.xxhash64("id"), F.lit(share)) == 0) & (
-        F.coalesce(F.get_json_object("payload", "$.excerpt"), F.lit("")) != ""
-    )
+    pick = F.pmod(F.xxhash64("id"), F.lit(share)) == 0 if pick is None else pick
+    pick = (F.col("type") == "passage") & pick & (F.coalesce(F.get_json_object("payload", "$.excerpt"), F.lit("")) != "")
     # a private-use character no source text holds
     forged = F.to_json(F.transform_values(
         F.from_json("payload", "map<string,string>"),
