@@ -271,7 +271,7 @@ def verdicts(hits: DataFrame, scores: DataFrame) -> DataFrame:
     )
     return j.select(
         *KEY, "work", "label", "hits", "distinct", verdict.alias("verdict"), F.when(enough, F.col("first")).alias("first"),
-        F.when(enough, F.col("second")).alias("second"), F.coalesce(gap / F.col("distinct"), F.lit(0.0)).alias("margin"),
+        F.when(enough, F.col("second")).alias("second"), F.coalesce(F.try_divide(gap, F.col("distinct")), F.lit(0.0)).alias("margin"),
         F.coalesce(gap, F.lit(0.0)).alias("gap"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas
 from vidimus.functions import text as tx
-from vidimus.functions.frames import latest_per
+from vidimus.functions.frames import cut_lineage, latest_per
 from vidimus.operators.evidence import attest_conflicts, independent_support, verifications
 from vidimus.operators.spans import phrase_df, search
 
@@ -45,7 +45,7 @@ def verify_spans(passages: DataFrame, docs: DataFrame, prior: DataFrame | None =
         j = j.select("*", none.cast("bigint").alias("p_start"), none.cast("bigint").alias("p_end"), none.cast("string").alias("p_hash"))
     else:
         j = j.join(prior.select("id", F.col("span_start").alias("p_start"), F.col("span_end").alias("p_end"), F.col("excerpt_hash").alias("p_hash")), "id", "left")
-    usable = (F.coalesce("source_ref", F.lit("")) != "") & (F.coalesce("excerpt", F.lit("")) != "")
+    usable = (F.coalesce(F.col("source_ref").cast("string"), F.lit("")) != "") & (F.coalesce("excerpt", F.lit("")) != "")
     at = tx.first_at("text", "excerpt")
     j = j.withColumn("_ok", usable).withColumn("_at", F.when(usable, at).cast("bigint"))
     found = F.col("_ok") & (F.col("_at") >= 0)
@@ -264,7 +264,8 @@ def gather(
     witness's hits in one task.
     """
     q = targets.select(F.col("call_no").alias("query_id"), "query")
-    hits = search(spans, q, k).select(F.col("query_id").alias("call_no"), F.col("rank").alias("hit_no"), "doc", "span")
+    # everything below looks at the few hits again and again
+    hits = cut_lineage(search(spans, q, k).select(F.col("query_id").alias("call_no"), F.col("rank").alias("hit_no"), "doc", "span"))
     j = hits.join(targets, "call_no").join(docs, "doc").withColumn("ref", F.concat("doc", F.lit("::"), "span"))
     j = j.withColumn("wid", F.concat(F.lit("witness:"), "witness_ref")).withColumn(
         "pid", F.concat(F.lit("passage:"), "witness_ref", F.lit("#"), "ref")

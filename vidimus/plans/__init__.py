@@ -1,7 +1,7 @@
 """Registered queries over the given tables, with the SQL they must agree with."""
 import importlib
 
-GROUPS = ("log_queries", "graph_queries", "corpus_queries")
+GROUPS = ("log_queries", "graph_queries", "corpus_queries", "attribution_queries", "similarity_queries", "stream_queries")
 
 
 def load():

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
+from vidimus.functions.frames import cut_lineage
 from vidimus.operators import spans as sp
 from vidimus.operators import verify as vf
 from vidimus.operators import xref as xr
@@ -182,7 +183,7 @@ def shared_segments(spark, sf):
     docs = inp.table(spark, sf, "documents")
     w = docs.filter("length(text) > doc_id % 40").select(
         F.col("doc_id").alias("key"), F.expr("doc_id % 40").alias("start"), F.expr("substring(text, cast(doc_id % 40 AS int) + 1, 200)").alias("text"))
-    spans = F.expr("array(struct(10 + doc_id % 50 AS a, 40 + doc_id % 50 AS b), struct(30 + doc_id % 20, 30 + doc_id % 20 + doc_id % 25), struct(150L, 160L), struct(190 + doc_id % 30, 300L))")
+    spans = F.expr("array(struct(10 + doc_id % 50 AS a, 40 + doc_id % 50 AS b), struct(30 + doc_id % 20 AS a, 30 + doc_id % 20 + doc_id % 25 AS b), struct(150L AS a, 160L AS b), struct(190 + doc_id % 30 AS a, 300L AS b))")
     runs = docs.select(F.col("doc_id").alias("key"), F.explode(spans).alias("r")).select("key", F.col("r.a").alias("run_start"), F.col("r.b").alias("run_end"))
     return sp.segments(runs, w).drop("ord")
 
@@ -368,20 +369,20 @@ UNION ALL SELECT 'entries', 'read', count(DISTINCT o) FROM rl UNION ALL SELECT '
 UNION ALL SELECT 'resolution', outcome, count(*) FROM rr GROUP BY 2 UNION ALL SELECT 'distinct numbers', outcome, count(DISTINCT number) FROM rr WHERE outcome <> 'resolved' GROUP BY 2""")
 def scan_tallies(spark, sf):
     docs = inp.reference_docs(spark, sf)
-    refs = xr.extract_refs(docs)
+    refs = cut_lineage(xr.extract_refs(docs))
     return xr.scan_tallies(docs, refs, xr.resolve_refs(refs, xr.catalogue_of(inp.catalogue_entries(spark, sf))))
 
 
 @query("unresolved_top", f"WITH {RES} SELECT number, count(*) AS n FROM refs JOIN res USING (number) WHERE bucket = 'asserted' AND res.n > 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def unresolved_top(spark, sf):
-    refs = xr.extract_refs(inp.reference_docs(spark, sf))
+    refs = cut_lineage(xr.extract_refs(inp.reference_docs(spark, sf)))
     return xr.most_often(xr.resolve_refs(refs, xr.catalogue_of(inp.catalogue_entries(spark, sf))), "ambiguous")
 
 
 @query("reference_map", f"""WITH {RES}, one AS (SELECT doc, string_agg(res.refs, ' ' ORDER BY place) AS resolved FROM refs JOIN res USING (number) WHERE bucket = 'asserted' AND res.n = 1 GROUP BY 1)
 SELECT d.doc, d.n AS refs, coalesce(one.resolved, '') AS resolved FROM (SELECT doc, count(*) AS n FROM (SELECT doc FROM refs UNION ALL SELECT DISTINCT CAST(o AS VARCHAR) FROM rl WHERE o % 17 = 0) GROUP BY 1) d LEFT JOIN one USING (doc)""")
 def reference_map(spark, sf):
-    refs = xr.extract_refs(inp.reference_docs(spark, sf))
+    refs = cut_lineage(xr.extract_refs(inp.reference_docs(spark, sf)))
     m = xr.reference_map(refs, xr.resolve_refs(refs, xr.catalogue_of(inp.catalogue_entries(spark, sf))))
     total = sum((F.size(b) for b in xr.BUCKETS[1:]), F.size(xr.BUCKETS[0]))
     return m.select("doc", total.cast("bigint").alias("refs"), F.array_join("resolved_refs", " ").alias("resolved"))
@@ -396,8 +397,7 @@ l AS (SELECT least(own, ref) AS x, greatest(own, ref) AS y, count(*) AS n FROM b
 SELECT bucket, n FROM (SELECT bucket, count(*) AS n FROM b WHERE bucket <> 'link' GROUP BY 1 UNION ALL SELECT 'linked', count(*) FROM l UNION ALL SELECT 'already_linked', CAST(sum(n - 1) AS BIGINT) FROM l
   UNION ALL SELECT refs.bucket, count(*) FROM refs JOIN w USING (doc) WHERE refs.bucket <> 'asserted' GROUP BY 1) WHERE n > 0""")
 def parallel_links(spark, sf):
-    docs = inp.reference_docs(spark, sf)
-    refs = xr.extract_refs(docs)
+    refs = cut_lineage(xr.extract_refs(inp.reference_docs(spark, sf)))
     catalogue = xr.catalogue_of(inp.catalogue_entries(spark, sf))
     held = catalogue.filter(F.regexp_extract("number", r"\d+", 0).cast("bigint") % 4 != 2).select("ref").distinct()
     nodes = held.select(F.concat(F.lit("witness:"), "ref").alias("id"), F.lit("witness").alias("type"), F.to_json(F.struct(F.col("ref").alias("canonical_ref"))).alias("payload"))
