@@ -64,7 +64,8 @@ def main() -> None:
     wanted = sys.argv[2:]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "8").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0

@@ -14,7 +14,7 @@ def spark():
 
     s = (
         SparkSession.builder.master("local[4]").appName("tests").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
-        .config("spark.sql.shuffle.partitions", "2").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.shuffle.partitions", "2").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.session.timeZone", "UTC")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
