@@ -45,6 +45,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SMALL_INPUT_BYTES = 512 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input enough partitions for the cores at hand.
+
+    A small file often is a single row group, which one task would read and work on alone. The shuffle
+    this adds is bounded by the size check; larger inputs keep the partitions of their files.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def literal_map(mapping: dict[str, str], key: Column, default: str | None = None) -> Column:
     """Look a value up in a small fixed dictionary, inside the expression (no join)."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

@@ -131,8 +131,9 @@ def unit_gram_counts(units: DataFrame, vocab: DataFrame, lengths: Sequence[int]
     shuffled, already counted per task.
     """
     grams = units.select("uid", F.explode(tx.char_grams("text", lengths)).alias("gram"))
-    hits = grams.join(_sets_of(vocab), "gram").groupBy("uid", "gram", "sets").agg(F.count(F.lit(1)).alias("n"))
-    return hits.select(F.explode("sets").alias("feature_set"), "uid", "gram", "n")
+    sets = _sets_of(vocab)
+    hits = grams.join(sets.select("gram"), "gram", "left_semi").groupBy("uid", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return hits.join(sets, "gram").select(F.explode("sets").alias("feature_set"), "uid", "gram", "n")
 
 
 def unit_gram_positions(units: DataFrame, vocab: DataFrame, lengths: Sequence[int] = LENGTHS) -> DataFrame:
@@ -141,8 +142,9 @@ def unit_gram_positions(units: DataFrame, vocab: DataFrame, lengths: Sequence[in
         F.transform(tx.grams_of_length("text", n), lambda g, i: F.struct(g.alias("gram"), i.alias("at"))) for n in lengths
     ]))
     occ = units.select("uid", F.explode(every).alias("o")).select("uid", "o.gram", "o.at")
-    hits = occ.join(_sets_of(vocab), "gram").groupBy("uid", "gram", "sets").agg(F.collect_list("at").alias("positions"))
-    return hits.select(F.explode("sets").alias("feature_set"), "uid", "gram", F.size("positions").cast("bigint").alias("n"), "positions")
+    sets = _sets_of(vocab)
+    hits = occ.join(sets.select("gram"), "gram", "left_semi").groupBy("uid", "gram").agg(F.collect_list("at").alias("positions"))
+    return hits.join(sets, "gram").select(F.explode("sets").alias("feature_set"), "uid", "gram", F.size("positions").cast("bigint").alias("n"), "positions")
 
 
 def class_totals(counts: DataFrame, kept: DataFrame) -> DataFrame:
