@@ -306,16 +306,20 @@ def edition_choice(spark, sf):
     return co.pick_edition(files).select("uid", "file")
 
 
-@query("catalogue_blocks", """WITH u AS (SELECT n_nationkey, n_name, n_regionkey, (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) AS label FROM nation)
-SELECT label AS majority, count(*) AS units FROM u GROUP BY 1""")
+# a hundred suppliers make one catalogue file, their nations its blocks; every third line is unlabelled
+@query("catalogue_blocks", """WITH u AS (SELECT s_suppkey // 100 AS file, s_nationkey AS b, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'grey' ELSE 'N' || s_nationkey END AS label FROM supplier),
+c AS (SELECT file, b, label, count(*) AS n, min(s_suppkey) AS f FROM u GROUP BY 1, 2, 3)
+SELECT CAST(file AS VARCHAR) AS file, label AS majority, count(*) AS blocks, CAST(sum(n) AS BIGINT) AS units FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file, b ORDER BY n DESC, f) = 1) GROUP BY file, label""")
 def catalogue_blocks(spark, sf):
-    nat = inp.table(spark, sf, "nation").join(inp.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    line = F.concat_ws("\t", F.concat(F.lit("T"), F.lpad(F.col("n_nationkey").cast("string"), 4, "0")), F.regexp_replace("n_name", " ", "_"), F.regexp_replace("r_name", " ", "_"))
-    blocks = nat.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\r\n").alias("b"))
-    raw = blocks.agg(F.array_join(F.array_sort(F.collect_list("b")), "\r\n\r\n").alias("value"))
-    units, order, _ = cat.parse_catalogue(raw)
-    n = units.groupBy(F.col("label").alias("majority")).agg(F.count(F.lit(1)).alias("units"))
-    return order.join(n, "majority").select(F.regexp_replace("majority", "_", " ").alias("majority"), "units")
+    line = F.expr("concat('T', lpad(cast(s_suppkey AS string), 9, '0'), ' ', CASE WHEN s_suppkey % 3 = 0 THEN 'grey' ELSE concat('N', s_nationkey) END)")
+    rows = inp.table(spark, sf, "supplier").select(F.expr("s_suppkey div 100").alias("f"), "s_nationkey", line.alias("line"))
+    blocks = rows.groupBy("f", "s_nationkey").agg(F.array_join(F.array_sort(F.collect_list("line")), "\r\n").alias("b"))
+    raw = blocks.groupBy(F.col("f").cast("string").alias("file")).agg(F.array_join(F.array_sort(F.collect_list("b")), "\r\n\r\n").alias("value"))
+    units, owners, notes = cat.parse_catalogue(raw)
+    stray = notes.groupBy("file", "block").agg(F.sum("units").alias("stray"))
+    lines = raw.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n\n")).alias("block", "b")).select("file", "block", F.size(F.split("b", "\n")).alias("lines"))
+    own = owners.join(lines, ["file", "block"]).join(stray, ["file", "block"], "left")
+    return own.groupBy("file", "majority").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("lines") - F.coalesce("stray", F.lit(0))).cast("bigint").alias("units"))
 
 
 @query("marker_list", r"SELECT DISTINCT w AS gram FROM (SELECT unnest(string_split_regex(text, '[^\p{L}]+')) AS w FROM benchmark) WHERE length(w) BETWEEN 2 AND 4")

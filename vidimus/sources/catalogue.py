@@ -15,25 +15,23 @@ def parse_catalogue(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Catalogue text to (units, blocks, notes).
 
     Blocks are separated by blank lines, a line's last token is its label, a block carries its
-    majority label (the first seen wins a tie) and the lines that disagree are noted.
+    majority label (the first seen wins a tie) and the lines that disagree are noted. `raw` holds one
+    `value` per catalogue file, and a `file` to tell several apart.
     """
+    raw = raw if "file" in raw.columns else raw.withColumn("file", F.lit(""))
     text = F.regexp_replace("value", "\r", "")
-    blocks = raw.select(F.posexplode(F.split(text, "\n\n")).alias("block", "body"))
-    lines = blocks.select("block", F.posexplode(F.split("body", "\n")).alias("line", "row"))
+    blocks = raw.select("file", F.posexplode(F.split(text, "\n\n")).alias("block", "body"))
+    lines = blocks.select("file", "block", F.posexplode(F.split("body", "\n")).alias("line", "row"))
     words = lines.select(
-        "block", "line", F.filter(F.split("row", r"(?U)\s+"), lambda w: w != "").alias("w")
+        "file", "block", "line", F.filter(F.split("row", r"(?U)\s+"), lambda w: w != "").alias("w")
     ).filter(F.size("w") > 0)
-    units = words.select(
-        "block", "line", F.col("w")[0].alias("uid"), F.element_at("w", -1).alias("label"), F.size("w").alias("n")
-    )
-    by_label = units.groupBy("block", "label").agg(
-        F.count(F.lit(1)).alias("units"), F.min("line").alias("first_line")
-    )
-    pick = Window.partitionBy("block").orderBy(F.desc("units"), "first_line")
+    units = words.select("file", "block", "line", F.col("w")[0].alias("uid"), F.element_at("w", -1).alias("label"))
+    by_label = units.groupBy("file", "block", "label").agg(F.count(F.lit(1)).alias("units"), F.min("line").alias("first_line"))
+    pick = Window.partitionBy("file", "block").orderBy(F.desc("units"), "first_line")
     ranked = by_label.withColumn("rn", F.row_number().over(pick))
-    owners = ranked.filter("rn = 1").select("block", F.col("label").alias("majority"))
-    notes = ranked.filter("rn > 1").join(owners, "block").select("block", "majority", "label", "units")
-    last = units.groupBy("uid").agg(F.max_by("label", F.struct("block", "line")).alias("label"))
+    owners = ranked.filter("rn = 1").select("file", "block", F.col("label").alias("majority"))
+    notes = ranked.filter("rn > 1").join(owners, ["file", "block"]).select("file", "block", "majority", "label", "units")
+    last = units.groupBy("uid").agg(F.max_by("label", F.struct("file", "block", "line")).alias("label"))
     return last, owners, notes
 
 
