@@ -6,19 +6,125 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidimus.llm import exact, simhash
+from vidimus.llm import bpe, chat, exact, licences, packing, quality, simhash, urls
 from vidimus.llm.common import read
 
 Plan = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Plan] = {}
+SQL: dict[str, str] = {}
 
 
+def registered(sql: str | None = None) -> Callable[[Plan], Plan]:
+    def add(plan: Plan) -> Plan:
+        QUERIES[plan.__name__] = plan
+        if sql is not None:
+            SQL[plan.__name__] = sql
+        return plan
+
+    return add
+
+
+def _duck_canonical(text: str) -> str:
+    """licences.canonical as DuckDB SQL over the column `text`; built from the same fixed values."""
+    low = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
+    flat = f"trim(regexp_replace(regexp_replace({low}, '{licences.COPYRIGHT}', '', 'g'), '{licences.PUNCTUATION}', ' ', 'g'))"
+    one = "flat"
+    for spelled, to in licences.EQUIVALENT:
+        one = f"regexp_replace({one}, '\\b{spelled}\\b', '{to.replace('$1', chr(92) + '1')}', 'g')"
+    return f"SELECT *, CASE WHEN regexp_matches(flat, '{licences.HINT}') THEN {one} ELSE flat END AS canon FROM (SELECT *, {flat} AS flat"
+
+
+def _known_values() -> str:
+    rows = [(k, n.format(name)) for k, names in licences.NAMES.items() for name in names for n in licences.NOTICES] + list(licences.TEXTS.items())
+    return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in rows)
+
+
+OP1_SQL = f"""
+WITH known AS (
+  SELECT canon, min(licence) AS licence FROM ({_duck_canonical('t')} FROM (VALUES {_known_values()}) v(licence, t))) GROUP BY canon),
+whole AS (SELECT doc_id, canon FROM ({_duck_canonical('text')} FROM documents))),
+lines AS (SELECT doc_id, canon FROM ({_duck_canonical('line')} FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)))),
+hits AS (SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences, count(*) AS n_licence_lines
+  FROM lines JOIN known USING (canon) GROUP BY doc_id)
+SELECT doc_id, licence, coalesce(line_licences, '') AS line_licences, coalesce(n_licence_lines, 0) AS n_licence_lines
+FROM whole LEFT JOIN known USING (canon) LEFT JOIN hits USING (doc_id)
+"""
+
+
+@registered(OP1_SQL)
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"), licences.known_licences(spark))
+
+
+@registered()
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@registered()
 def op3_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return near.select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
-def op9_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_duplicates(read(spark, sf_dir, "documents"))
+OP4_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(turn, -1) AS turn, list(DISTINCT {'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY {'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS said
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+conv AS (SELECT conv_id, list(said ORDER BY turn) AS c, len(list(said)) AS n FROM turns GROUP BY conv_id),
+single AS (SELECT min(conv_id) AS conv_id, c, any_value(n) AS n FROM conv GROUP BY c),
+starts AS (SELECT DISTINCT c[1:k] AS c FROM (SELECT c, unnest(range(1, n)) AS k FROM conv)),
+kept AS (SELECT conv_id, n FROM single ANTI JOIN starts USING (c)),
+shown AS (
+  SELECT conv_id, turn, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place,
+    list_aggregate(list_transform(said, lambda m: '<|im_start|>' || m.role || chr(10) || m.text || '<|im_end|>' || chr(10)), 'string_agg', '') AS rendered
+  FROM turns JOIN kept USING (conv_id))
+SELECT conv_id, place, rendered, CAST(sum(length(rendered)) OVER (PARTITION BY conv_id ORDER BY place) - length(rendered) AS BIGINT) AS char_start, n AS turns
+FROM shown
+"""
+
+
+@registered(OP4_SQL)
+def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read(spark, sf_dir, "conversations"))
+
+
+#: Fixed values of the contract, and the list used beside them: hosts seen with a tracking parameter.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+TRACKED = "utm_source="
+
+OP5_SQL = r"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
+r AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+j AS (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
+  bool_or(contains(url, 'utm_source=')) OVER (PARTITION BY host) AS listed FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM j
+"""
+
+
+@registered(OP5_SQL)
+def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.filter(F.col("url").contains(TRACKED)).select(urls.host_and_path()[0].alias("key")).distinct()
+    return urls.judge_urls(pages, URL_RULES, listed)
+
+
+@registered()
+def op6_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(read(spark, sf_dir, "documents"))
+    return coded.select(
+        "doc_id", "n_tokens", F.sha2(F.encode("ids", "UTF-8"), 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256")
+    )
 
 
 OP9_SQL = r"""
@@ -28,8 +134,12 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM t WINDOW w AS (PARTITION BY norm)
 """
 
-QUERIES: dict[str, Plan] = {
-    "op3_simhash_pivots": op3_simhash_pivots,
-    "op9_exact_recipes": op9_exact_recipes,
-}
-SQL: dict[str, str] = {"op9_exact_recipes": OP9_SQL}
+
+@registered(OP9_SQL)
+def op9_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+@registered()
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
