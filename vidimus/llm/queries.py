@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidimus.llm import bpe, chat, exact, licences, lm, packing, quality, simhash, urls
+from vidimus.llm import bpe, chat, exact, licences, lm, packing, quality, rules, simhash, urls
 from vidimus.llm.common import read
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,11 @@ def op6_bpe_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered()
+def op7_rule_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @registered()
 def op8_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(read(spark, sf_dir, "documents"))

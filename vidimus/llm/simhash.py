@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vidimus.functions.frames import cut_lineage
 from vidimus.functions.workers import ship
-from vidimus.llm.common import longs, raw, sliced
+from vidimus.llm.common import longs, raw, semi, sliced
 from vidimus.llm.components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -192,3 +192,10 @@ def near_duplicates(
 def hex_digits(fp: str = "fp"):
     """A fingerprint as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs whose doc_id names their component, with their own columns: one document of
+    each group stays. Rows without a doc_id stay only where their whole component has none."""
+    near = near_duplicates(docs, **options)
+    return semi(docs, near.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
