@@ -212,6 +212,25 @@ def test_batch_admission_is_layered(log):
     assert rules(refused_) == {100: "NodeNotFound", 103: "EdgeEndpointMissing"}
 
 
+def test_refused_proposals_leave_no_trace(log):
+    # the attest by the claim's own author is refused, so the next one is the first and holds
+    state = log(*base())
+    own, other = attest("claim:c", by="agent:a"), attest("claim:c", by="agent:b")
+    batch = log(own, other, attest("claim:c", by="agent:b"), start=100)
+    admitted, refused_ = au.admit(state, batch)
+    assert {r["seq"] for r in admitted.collect()} == {101}
+    assert set(rules(refused_)) == {100, 102}
+
+
+def test_proposals_are_judged_in_their_own_order(log):
+    state = log(*base())
+    batch = log(propose("claim", "x"), propose("passage", "p9", witness="none"), edge("attests", "passage:p9", "claim:x"), propose("claim", "y"), start=100)
+    admitted, refused_ = au.admit(state, batch)
+    # the passage names no witness that exists, so the edge from it has no source
+    assert {r["seq"] for r in admitted.collect()} == {100, 103}
+    assert set(rules(refused_)) == {101, 102}
+
+
 def test_hidden_question_takes_what_only_it_holds(spark):
     n = spark.createDataFrame([(i, i.split(":")[0]) for i in ["question:1", "question:2", "claim:a", "claim:b", "passage:p", "passage:s", "witness:w", "witness:v", "query:lone"]], "id STRING, type STRING")
     e = spark.createDataFrame([

@@ -11,6 +11,7 @@ from vidimus.operators import attribution as at
 from vidimus.operators import similarity as si
 from vidimus.operators import spans as sp
 from vidimus.operators import xref as xr
+from vidimus.sources import catalogue as cat
 from vidimus.sources import corpus as co
 
 
@@ -39,7 +40,6 @@ def test_inline_and_anchor_search_agree(spark):
     want = {(i, j) for i, t in enumerate(texts) for j, x in enumerate(qs) if x.strip() and x in t}
     pairs = lambda df: {(r["doc"], r["query_id"]) for r in df.collect()}
     assert pairs(sp.match_phrases(d, "span", q)) == want
-    assert pairs(sp.match_by_anchor(d, "span", q.filter("trim(query) <> ''"), "query")) == want
 
 
 def test_prediction_floor_decides_only_what_a_floor_can(spark):
@@ -202,6 +202,57 @@ def test_evidence_spreads_over_characters_and_strip_counts_zero_cells(spark):
     assert [(c["start"], c["end"]) for c in cells] == [(0, 400), (400, 800), (800, 950)] and abs(cells[0]["mean"] - 1.1 / 400) < 1e-9
 
 
+@pytest.mark.parametrize("root", ["hdfs://nn:8020/a/corpus", "s3a://bucket/a/corpus/", "file:/a/corpus", "file:///a/corpus", "/a/corpus", "a/corpus", "./a//corpus"])
+def test_paths_below_a_root_on_any_file_system(spark, root):
+    base = root if root.startswith(("hdfs", "s3a")) else "file:///a/corpus" if root.startswith(("/", "file")) else "file:///home/x/a/corpus"
+    files = spark.createDataFrame([(f"{base.rstrip('/')}/sub%20dir/x+y.txt",)], "file_path STRING")
+    assert files.select(co._relative("file_path", root).alias("f")).first()["f"] == "sub dir/x+y.txt"
+
+
+def test_nearest_windows_of_any_length(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=(6, 8))
+    v = (centre[rng.integers(0, 6, 400)] + 0.2 * rng.normal(size=(400, 8))) * rng.uniform(0.2, 1.8, (400, 1))
+    v[7] = 0
+    v = v.astype(np.float32)
+    work = rng.integers(0, 40, 400)
+    df = spark.createDataFrame([(i, f"w{work[i]}", "L", v[i].tolist()) for i in range(400)], "idx BIGINT, work STRING, label STRING, vec ARRAY<FLOAT>")
+    dot = np.round(v.astype(float) @ v.astype(float).T, 12)
+    dot[work[:, None] == work[None, :]] = -np.inf
+    want = {i: [int(j) for j in np.lexsort((np.arange(400), -dot[i]))[:3]] for i in range(400)}
+    rows = si.nearest_indices(df, 3, block=8).collect()
+    assert {(r["idx"], r["rank"]): r["near_idx"] for r in rows} == {(i, n + 1): j for i, js in want.items() for n, j in enumerate(js)}
+    some = spark.createDataFrame([(3,), (7,), (399,)], "idx BIGINT")
+    rows = si.nearest_indices(df, 3, block=8, asked=some).collect()
+    assert {(r["idx"], r["rank"]): r["near_idx"] for r in rows} == {(i, n + 1): j for i in (3, 7, 399) for n, j in enumerate(want[i])}
+
+
+def test_no_checkpoint_folder_is_an_error_on_a_cluster():
+    from vidimus.functions import frames
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        frames.checkpoint_dir(Session())
+    assert [frames.on_one_machine(m) for m in ("local", "local[8]", "local[2,3]", "local-cluster[3,2,1000]", "yarn")] == [True, True, True, False, False]
+
+
+def test_class_places_are_counted_within_each_file(spark):
+    blocks = spark.createDataFrame([("f1", 0, "A"), ("f1", 1, "grey"), ("f1", 2, "B"), ("f2", 0, "C"), ("f2", 1, "D")], "file STRING, block INT, majority STRING")
+    assert {tuple(r) for r in cat.class_sequence(blocks).collect()} == {("f1", "A", 0), ("f1", "B", 1), ("f2", "C", 0), ("f2", "D", 1)}
+
+
 def test_manifest_corpus(spark, tmp_path):
     (tmp_path / "a.txt").write_text("春眠不覺曉", encoding="utf-8")
     (tmp_path / "b.txt").write_text("床前明月光", encoding="utf-8")

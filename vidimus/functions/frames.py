@@ -18,15 +18,23 @@ SPAN = 1_000_000
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared folder the cluster names. Only a session that runs on one machine may go without:
+    it gets a temporary folder; on a cluster a missing setting is an error, because each executor would
+    write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not on_one_machine(spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for tables a job writes and reads back."""
     base = checkpoint_dir(spark)
@@ -45,21 +53,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-SMALL_INPUT_BYTES = 512 * 1024 * 1024
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input enough partitions for the cores at hand.
-
-    A small file often is a single row group, which one task would read and work on alone. The shuffle
-    this adds is bounded by the size check; larger inputs keep the partitions of their files.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def literal_map(mapping: dict[str, str], key: Column, default: str | None = None) -> Column:
     """Look a value up in a small fixed dictionary, inside the expression (no join)."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas
 from vidimus.functions import text as tx
+from vidimus.functions.components import components
 from vidimus.functions.frames import SPAN, carry_forward, cut_lineage, running_total
 from vidimus.operators.census import rule_category
 from vidimus.operators.projection import STATUS_OF, _detail, _map_event, base_edge, edge_changes, node_changes, with_twins
@@ -268,29 +269,45 @@ def _standing_support(states: DataFrame, attest_edges: DataFrame, claims: DataFr
     return running_total(line, ["node_id"], "seq", "d", "held", span).join(claims.select("node_id", "seq"), ["node_id", "seq"], "left_semi").select("node_id", "seq", "held")
 
 
-# Layers of a batch of proposals; a layer is judged against the state plus the admitted earlier layers.
-ADMISSION_LAYERS = (
-    ("register_agent", None), ("propose", "witness"), ("propose", "passage"), ("ask", None), ("propose", None),
-    ("add_edge", None), ("verify", None), ("attest", None), ("accept,reject,reopen,retract_edge,restore_edge", None),
-)
+# --- admission -------------------------------------------------------------------------------------------
+def _touched(ev: DataFrame) -> DataFrame:
+    """(seq, thing): the nodes, edges and agents that an event names and its judgement may depend on."""
+    ids = [F.col("node_id"), base_edge(F.col("edge_id")), *[_detail(f) for f in ("src", "dst", "witness_id", "subject_node_id", "decision_node_id")]]
+    agents = [F.concat(F.lit("agent/"), c) for c in (F.col("authored_by"), _detail("payload.id"))]
+    return ev.select("seq", F.explode(F.array_compact(F.array(*ids, *agents))).alias("thing")).distinct()
+
+
+def _strands(batch: DataFrame) -> DataFrame:
+    """(seq, strand): events of a batch that depend on one another, directly or through others, share a
+    strand. An author connects events only where the batch itself registers that agent."""
+    things = _touched(batch)
+    registered = batch.filter("event = 'register_agent'").select(F.concat(F.lit("agent/"), _detail("payload.id")).alias("thing")).distinct()
+    plain = F.startswith("thing", F.lit("agent/"))
+    things = things.filter(~plain).unionByName(things.filter(plain).join(registered, "thing", "left_semi"))
+    first = things.groupBy("thing").agg(F.min("seq").alias("v"))
+    roots = components(things.join(first, "thing").select(F.col("seq").alias("u"), "v").distinct())
+    named = roots.select(F.col("node").alias("seq"), F.col("root").alias("strand"))
+    return batch.select("seq").join(named, "seq", "left").select("seq", F.coalesce("strand", "seq").alias("strand"))
 
 
 def admit(log: DataFrame, proposals: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
-    """Split a batch of proposed events into admitted and refused (with the rule).
-
-    `proposals` are events numbered after the log. The batch is judged layer by layer; within a layer a
-    later event sees earlier ones of the same layer as applied. Each layer's survivors are checkpointed."""
-    layer = F.lit(len(ADMISSION_LAYERS))
-    for i, (names, kind) in reversed(list(enumerate(ADMISSION_LAYERS))):
-        hit = F.col("event").isin(*names.split(","))
-        layer = F.when(hit & (F.col("node_type") == kind) if kind else hit, F.lit(i)).otherwise(layer)
-    tagged = proposals.withColumn("_layer", layer)
-    used = [r["_layer"] for r in tagged.select("_layer").distinct().orderBy("_layer").collect()]  # a handful of layers
-    admitted, refused = proposals.limit(0), None
-    for i in used:
-        step = tagged.filter(F.col("_layer") == i).drop("_layer")
-        bad = audit(log.unionByName(admitted).unionByName(step), span=span).join(step.select("seq"), "seq", "left_semi")
+    """Split a batch of proposed events into admitted and refused (with the rule), in the order of seq.
+
+    `proposals` are events numbered after the log. Each is judged against the log and the proposals
+    admitted before it; a refused one leaves no trace. The whole batch is judged at once as if every
+    proposal were applied: the first violation of each strand of dependent events is then certain, for
+    all before it were right to count. It is taken out and the rest judged again, until nothing is
+    refused, so rounds are as many as the refusals of one strand. Each round is a written table.
+    """
+    strand = cut_lineage(_strands(proposals))
+    live, refused = cut_lineage(proposals.select("seq")), None
+    while True:
+        step = proposals.join(live, "seq", "left_semi")
+        bad = audit(log.unionByName(step), span=span).join(live, "seq", "left_semi").join(strand, "seq")
         bad = cut_lineage(bad)
-        admitted = cut_lineage(admitted.unionByName(step.join(bad.select("seq"), "seq", "left_anti").select(*proposals.columns)))
-        refused = bad if refused is None else refused.unionByName(bad)
-    return admitted, refused
+        first = bad.groupBy("strand").agg(F.min("seq").alias("seq"))
+        now = cut_lineage(bad.join(first.select("seq"), "seq", "left_semi").drop("strand"))
+        refused = now if refused is None else refused.unionByName(now)
+        if now.isEmpty():
+            return step, refused
+        live = cut_lineage(live.join(now.select("seq"), "seq", "left_anti"))

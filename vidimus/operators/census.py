@@ -245,12 +245,12 @@ def roster_clashes(ev: DataFrame) -> DataFrame:
     )
 
 
-# Fixed value: the marker that opens a stored conversation context.
-THREAD_RE = r"(?s)^[A-Z]+_ANALYSIS_V1\n(\{.*?\})\n\n"
+def threads(ev: DataFrame, marker: str) -> DataFrame:
+    """One run per conversation: the one with most messages, the later one on a tie.
 
-
-def threads(ev: DataFrame) -> DataFrame:
-    """One run per conversation: the one with most messages, the later one on a tie."""
+    `marker` is the line that opens a stored context in the analyst's instructions. A context counts
+    only as version 1 with a list of messages that each have a role and a content; any other is none.
+    """
     analysts = ev.filter("event = 'run_started'").select(
         F.coalesce("run_id", F.get_json_object("detail", "$.run_id")).alias("run_id"), "seq",
         F.from_json(
@@ -258,8 +258,10 @@ def threads(ev: DataFrame) -> DataFrame:
         ).alias("agents"),
     )
     first = F.try_element_at(F.filter("agents", lambda a: a["role"] == "analyst"), F.lit(1))["instructions"]
-    ctx = F.regexp_extract(F.coalesce(first, F.lit("")), THREAD_RE, 1)
-    n = F.size(F.from_json(F.get_json_object("ctx", "$.messages"), "array<string>"))
+    ctx = F.regexp_extract(F.coalesce(first, F.lit("")), rf"(?s)^\Q{marker}\E\n(\{{.*?\}})\n\n", 1)
+    said = F.from_json(F.get_json_object("ctx", "$.messages"), "array<struct<role:string,content:string>>")
+    whole = F.forall(said, lambda m: m["role"].isNotNull() & m["content"].isNotNull())
+    n = F.when((F.get_json_object("ctx", "$.version") == "1") & whole, F.size(said))
     rows = analysts.select("run_id", "seq", ctx.alias("ctx")).select(
         F.coalesce(F.get_json_object("ctx", "$.conversation_id"), F.col("run_id")).alias("conversation_id"),
         "run_id", "seq", F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)).alias("messages"),

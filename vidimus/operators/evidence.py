@@ -479,7 +479,7 @@ def pending_reviews(
 PRUNABLE_TYPES = ("witness", "passage", "query", "verification", "decision")
 
 
-def hide_questions(nodes: DataFrame, edges: DataFrame, hidden: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def hide_questions(nodes: DataFrame, edges: DataFrame, hidden: DataFrame) -> DataFrame:
     """Nodes to leave out when some questions are hidden.
 
     A hypothesis goes when every question it addresses is hidden; a support node goes once all its
@@ -505,7 +505,7 @@ def hide_questions(nodes: DataFrame, edges: DataFrame, hidden: DataFrame, max_ro
     open_links = links.groupBy("id").agg(F.sum("n").alias("open"))
     frontier = done
     live = cut_lineage(open_links.join(done, "id", "left_anti"))
-    for _ in range(max_rounds):
+    while True:  # each round hides at least one node, or is the last
         closed = links.join(frontier.withColumnRenamed("id", "other"), "other", "left_semi").groupBy("id").agg(F.sum("n").alias("closed"))
         live = cut_lineage(
             live.join(closed, "id", "left").select("id", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open"))
@@ -515,7 +515,6 @@ def hide_questions(nodes: DataFrame, edges: DataFrame, hidden: DataFrame, max_ro
             return done
         done = cut_lineage(done.union(frontier))
         live = live.filter("open > 0")
-    raise RuntimeError("hiding did not settle within the allowed rounds")
 
 
 def dedupe_undirected(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nearest windows by exact cosine, and verbatim reuse between texts."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,6 @@ from vidimus.functions import text as tx
 from vidimus.functions.frames import cut_lineage, top_k_per
 
 BLOCK_ROWS = 512
-MAX_PIVOTS = 256
 DEFAULT_WINDOW = 400
 UNLABELLED = "grey"
 GRAM = 10
@@ -22,6 +22,12 @@ SLACK = 1e-6
 
 
 # --- exact nearest windows ---------------------------------------------------------------------------
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Directions of the rows; a zero vector stays zero."""
+    v = v.astype(np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), np.finfo(float).tiny)
+
+
 def _assign(pivots: np.ndarray):
     """Batch function: nearest pivot of each window and the cosine to it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,11 +35,11 @@ def _assign(pivots: np.ndarray):
             if len(b) == 0:
                 continue
             v = np.stack(b["vec"].to_numpy()).astype(np.float32)
-            cos = v.astype(np.float64) @ pivots.T
+            cos = _unit(v) @ pivots.T
             cell = cos.argmax(axis=1)
             yield pd.DataFrame({
                 "idx": b["idx"], "work": b["work"], "pooled": b["pooled"], "cell": cell.astype(np.int32),
-                "near": cos[np.arange(len(b)), cell], "vec": [x.tobytes() for x in v],
+                "near": cos[np.arange(len(b)), cell], "norm": np.linalg.norm(v.astype(np.float64), axis=1), "vec": [x.tobytes() for x in v],
             })
     return run
 
@@ -53,7 +59,7 @@ def _matrix(raw: bytes, rows: int) -> np.ndarray:
 
 
 def _cosines(q: np.ndarray, p: np.ndarray, q_works: list, p_works: list, pooled: np.ndarray, other: bool) -> np.ndarray:
-    """Cosine of every pair of two blocks, pairs that may not match set to -inf. Rounded well below any
+    """Inner product (for unit vectors the cosine) of every pair of two blocks, pairs that may not match set to -inf. Rounded well below any
     real difference, so exact copies tie and the tie goes by index."""
     cos = np.round(q @ p.T, 12)
     cos[:, pooled == 0] = -np.inf
@@ -63,9 +69,13 @@ def _cosines(q: np.ndarray, p: np.ndarray, q_works: list, p_works: list, pooled:
     return cos
 
 
-def _plan_block(pivots: np.ndarray, radius: np.ndarray, k: int, other: bool):
-    """Per block: the k-th best cosine each window already has inside its own block, and the cells that
-    could still hold something as good (a cell's windows lie within `radius` of its pivot)."""
+def _plan_block(pivots: np.ndarray, radius: np.ndarray, norms: np.ndarray, k: int, other: bool):
+    """Per block: the k-th best product each window already has inside its own block, and the cells that
+    could still hold something as good: a cell's windows lie within the angle `radius` of its pivot and
+    their norms within `norms` (least, greatest). Cells without pooled windows are skipped."""
+    cells_used = np.flatnonzero(np.isfinite(radius))
+    reach, least, most = radius[cells_used], norms[0, cells_used], norms[1, cells_used]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
@@ -73,10 +83,11 @@ def _plan_block(pivots: np.ndarray, radius: np.ndarray, k: int, other: bool):
                 v = _matrix(r.vecs, n)
                 cos = _cosines(v, v, r.works, r.works, np.frombuffer(r.pooled, np.int8), other)
                 kth = np.sort(cos, axis=1)[:, -k] if n >= k else np.full(n, -np.inf)
-                angle = np.arccos(np.clip(v @ pivots.T, -1.0, 1.0))
-                bound = np.cos(np.maximum(0.0, angle - radius[None, :]))
-                need = (bound >= kth[:, None] - SLACK).any(axis=0)
-                cells = np.flatnonzero(need & np.isfinite(radius))
+                size = np.linalg.norm(v, axis=1, keepdims=True)
+                angle = np.arccos(np.clip(_unit(v) @ pivots[cells_used].T, -1.0, 1.0))
+                cosine = np.cos(np.maximum(0.0, angle - reach))
+                bound = size * np.where(cosine >= 0, cosine * most, cosine * least) + SLACK * size * most
+                cells = cells_used[(bound >= kth[:, None]).any(axis=0)]
                 yield pd.DataFrame({
                     "cell": np.int32(r.cell), "sub": np.int32(r.sub), "p_cell": cells.astype(np.int32),
                 })
@@ -103,15 +114,16 @@ def _best_in_block(k: int, other: bool):
 
 
 def nearest_indices(
-    windows: DataFrame, k: int, other: str = "work", labelled_only: bool = False, block: int = BLOCK_ROWS,
+    windows: DataFrame, k: int, other: str = "work", labelled_only: bool = False, block: int = BLOCK_ROWS, asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact k nearest windows of every window, as `idx, near_idx, cosine, rank` (N1 core).
-
-    Windows are grouped around a bounded number of pivots and packed into blocks of about `block` rows;
-    a cell that holds most windows is simply many blocks. A block is compared with the blocks of exactly
-    those cells that could improve a result (bound by angle to the pivot), one matrix product per block
-    pair, and only each window's best k leave a task. No result is approximated: pruning drops only what
-    provably cannot enter the top k.
+    """Exact k nearest windows of every window, or of those in `asked` (`idx`), as `idx, near_idx,
+    cosine, rank` (N1 core). Nearness is the inner product, so unit vectors give cosines.
+
+    Windows are grouped around as many pivots as the square root of their number and packed into blocks
+    of about `block` rows; a cell that holds most windows is simply many blocks. A block is compared with
+    the blocks of exactly those cells that could improve a result (bound by the angle to the pivot and
+    the norms in the cell), one matrix product per block pair, and only each window's best k leave a
+    task. Pruning drops only what cannot enter the top k, for vectors of any length.
     """
     spark = windows.sparkSession
     pool = F.lit(True) if not labelled_only else F.coalesce(F.col("label") != UNLABELLED, F.lit(True))
@@ -119,30 +131,34 @@ def nearest_indices(
     n = base.count()
     if n == 0:
         return spark.createDataFrame([], "idx BIGINT, near_idx BIGINT, cosine DOUBLE, rank INT")
-    wanted = int(min(MAX_PIVOTS, max(1, n // block)))
-    rows = base.orderBy(F.xxhash64("idx"), "idx").limit(wanted).select("vec").collect()  # at most MAX_PIVOTS rows
-    pivots = np.array([r["vec"] for r in rows], dtype=np.float64)
-    placed = base.mapInPandas(_assign(pivots), "idx BIGINT, work STRING, pooled INT, cell INT, near DOUBLE, vec BINARY")
+    wanted = math.isqrt(n - 1) + 1
+    rows = base.orderBy(F.xxhash64("idx"), "idx").limit(wanted).select("vec").collect()  # the square root of n rows
+    pivots = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
+    placed = base.mapInPandas(_assign(pivots), "idx BIGINT, work STRING, pooled INT, cell INT, near DOUBLE, norm DOUBLE, vec BINARY")
     placed = cut_lineage(placed)
+    in_pool = lambda c: F.when(F.col("pooled") == 1, F.col(c))
     sizes = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("pooled") == 1, F.col("near"))).alias("near")
+        F.count(F.lit(1)).alias("n"), F.min(in_pool("near")).alias("near"), F.min(in_pool("norm")).alias("least"), F.max(in_pool("norm")).alias("most")
     ).collect()  # one row per pivot
-    radius, subs = np.full(len(pivots), -np.inf), np.ones(len(pivots), np.int64)
+    radius, subs, norms = np.full(len(pivots), -np.inf), np.ones(len(pivots), np.int64), np.zeros((2, len(pivots)))
     for r in sizes:
         subs[r["cell"]] = -(-r["n"] // block)
         if r["near"] is not None:
             radius[r["cell"]] = np.arccos(np.clip(r["near"], -1.0, 1.0))
+            norms[:, r["cell"]] = r["least"], r["most"]
     subs_of = F.array(*[F.lit(int(s)) for s in subs])
     cut = placed.withColumn("sub", F.pmod(F.xxhash64("idx"), F.get(subs_of, F.col("cell"))).cast("int"))
-    blocks = cut_lineage(cut.groupBy("cell", "sub").applyInPandas(
-        lambda pdf: _pack(pdf), "cell INT, sub INT, idx BINARY, works ARRAY<STRING>, pooled BINARY, vecs BINARY"
-    ))
-    todo = blocks.mapInPandas(_plan_block(pivots, radius, k, other is not None), "cell INT, sub INT, p_cell INT")
+    packed = "cell INT, sub INT, idx BINARY, works ARRAY<STRING>, pooled BINARY, vecs BINARY"
+    blocks = cut_lineage(cut.groupBy("cell", "sub").applyInPandas(lambda pdf: _pack(pdf), packed))
+    mine = blocks
+    if asked is not None:  # only asked windows look for neighbours; the pool stays whole
+        mine = cut_lineage(cut.join(asked.select("idx").distinct(), "idx", "left_semi").groupBy("cell", "sub").applyInPandas(lambda pdf: _pack(pdf), packed))
+    todo = mine.mapInPandas(_plan_block(pivots, radius, norms, k, other is not None), "cell INT, sub INT, p_cell INT")
     todo = todo.withColumn("p_sub", F.explode(F.sequence(F.lit(0), (F.get(subs_of, F.col("p_cell")) - 1).cast("int"))))
-    side = lambda p, keys: blocks.select(
+    side = lambda frame, p, keys: frame.select(
         F.col("cell").alias(keys[0]), F.col("sub").alias(keys[1]), *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "works", "pooled", "vecs")]
     )
-    met = todo.join(side("q", ("cell", "sub")), ["cell", "sub"]).join(side("p", ("p_cell", "p_sub")), ["p_cell", "p_sub"])
+    met = todo.join(side(mine, "q", ("cell", "sub")), ["cell", "sub"]).join(side(blocks, "p", ("p_cell", "p_sub")), ["p_cell", "p_sub"])
     part = met.select("q_idx", "q_works", "q_vecs", "p_idx", "p_works", "p_pooled", "p_vecs").mapInPandas(
         _best_in_block(k, other is not None), "idx BIGINT, near_idx BIGINT, cosine DOUBLE"
     )
@@ -151,15 +167,17 @@ def nearest_indices(
 
 def neighbours(
     windows: DataFrame, k: int = 3, other: str = "work", labelled_only: bool = False,
-    max_windows: int | None = None, block: int = BLOCK_ROWS,
+    max_windows: int | None = None, block: int = BLOCK_ROWS, asked: DataFrame | None = None,
 ) -> DataFrame:
-    """For each window, the k most similar windows of other works (N1); optionally only the first
-    windows of each unit are listed."""
-    near = nearest_indices(windows, k, other, labelled_only, block)
+    """For each window (or each in `asked`), the k most similar windows of other works (N1); optionally
+    only the first windows of each unit. What is not listed is not computed."""
     mine = windows.select("idx", "uid", "work", "start")
+    if asked is not None:
+        mine = mine.join(asked.select("idx").distinct(), "idx", "left_semi")
     if max_windows is not None:
         w = Window.partitionBy("uid").orderBy("start", "idx")
         mine = mine.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_windows).drop("_n")
+    near = nearest_indices(windows, k, other, labelled_only, block, None if asked is None and max_windows is None else mine)
     there = windows.select(
         F.col("idx").alias("near_idx"), F.col("uid").alias("near_uid"), F.col("label").alias("near_label"), F.col("start").alias("near_start")
     )
@@ -181,7 +199,7 @@ def related(windows: DataFrame, queries: DataFrame, limit: int = 5, block: int =
     if not 1 <= limit <= 10:
         raise ValueError("limit must be between 1 and 10")
     asked = queries.select("uid", "start").distinct().join(windows.select("uid", "start", "idx", "work"), ["uid", "start"], "left")
-    near = neighbours(windows, limit, block=block).drop("uid", "work", "start")
+    near = neighbours(windows, limit, block=block, asked=asked.filter("idx IS NOT NULL")).drop("uid", "work", "start")
     per_work = windows.groupBy("work").agg(F.count(F.lit(1)).alias("own_windows"))
     total = windows.agg(F.count(F.lit(1)).alias("all_windows")).withColumn("_k", F.lit(1))
     j = asked.join(near, "idx", "left").join(per_work, "work", "left").withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
@@ -229,10 +247,10 @@ def snippets(windows: DataFrame, docs: DataFrame, size: int = 40) -> DataFrame:
 
 
 # --- verbatim reuse ----------------------------------------------------------------------------------------
-def script_only(docs: DataFrame, cls: str = tx.HAN, max_chars: int | None = None) -> DataFrame:
+def script_only(docs: DataFrame, cls: str = tx.HAN) -> DataFrame:
     """Each text reduced to its script characters (`kept`)."""
     kept = tx.script_text("text", cls)
-    return docs.select("uid", (kept if max_chars is None else F.substring(kept, 1, max_chars)).alias("kept"))
+    return docs.select("uid", kept.alias("kept"))
 
 
 def _paired(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -262,13 +280,13 @@ def coverage(docs: DataFrame, pairs: DataFrame, gram: int = GRAM, cls: str = tx.
     return j.select("uid_a", "uid_b", "shared", "grams_a", "grams_b", share("grams_a").alias("share_of_a_in_b"), share("grams_b").alias("share_of_b_in_a"))
 
 
-def maximal_runs(docs: DataFrame, pairs: DataFrame, min_run: int = MIN_RUN, cls: str = tx.HAN, max_chars: int | None = None) -> DataFrame:
+def maximal_runs(docs: DataFrame, pairs: DataFrame, min_run: int = MIN_RUN, cls: str = tx.HAN) -> DataFrame:
     """Every maximal common run of at least `min_run` script characters per asked pair (N8 core, N9).
 
     Postings of grams of that length meet by equality; matches on one diagonal that follow each other
     are one run. Offsets `a`, `b` count script characters.
     """
-    kept = script_only(_paired(docs, pairs), cls, max_chars)
+    kept = script_only(_paired(docs, pairs), cls)
     post = kept.select("uid", F.posexplode(tx.grams_of_length("kept", min_run)).alias("at", "g"))
     ask = pairs.select("uid_a", "uid_b").distinct()
     left = ask.join(post.select(F.col("uid").alias("uid_a"), F.col("at").alias("a"), "g"), "uid_a")
@@ -326,12 +344,12 @@ def in_order_runs(runs: DataFrame, least: int) -> DataFrame:
 
 def shared_runs(
     docs: DataFrame, pairs: DataFrame, min_run: int = MIN_RUN, max_runs: int | None = MAX_RUNS,
-    in_order: bool = True, cls: str = tx.HAN, max_chars: int | None = None,
+    in_order: bool = True, cls: str = tx.HAN,
 ) -> DataFrame:
     """Longest shared runs per pair with their text and original offsets.
 
     Offsets count characters of the original texts, punctuation included; `*_end` is exclusive."""
-    runs = maximal_runs(docs, pairs, min_run, cls, max_chars)
+    runs = maximal_runs(docs, pairs, min_run, cls)
     if in_order:
         runs = in_order_runs(runs, min_run)
     if max_runs is not None:

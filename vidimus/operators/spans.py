@@ -9,8 +9,6 @@ from vidimus.functions.frames import top_k_per
 
 MIN_RUN_CHARS = 2
 TAG = "<[^>]+>"
-# A query list up to this long is matched inside the scan as literals; beyond it, by anchor grams.
-MAX_INLINE_QUERIES = 256
 ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
 
 
@@ -65,45 +63,23 @@ def build_span_table(docs: DataFrame, path: str, partition: Column | None = None
 def match_phrases(rows: DataFrame, text: str, queries: DataFrame, phrase: str = "query") -> DataFrame:
     """Rows joined to every query whose phrase their text contains; blank phrases match nothing.
 
-    A short query list (its size is checked) becomes literals tested while scanning. A longer one is
-    matched on anchor grams: a query's leading 16, 8, 4, 2 or 1 characters must occur in the text, the
-    grams are an ordinary equi-join key, and the whole phrase is checked afterwards. Both are exact.
+    One plan for lists of any length. A query's leading 16, 8, 4, 2 or 1 characters are its anchor and
+    must occur in the text. Only a text's hash and its grams are exploded and met with the anchors; the
+    text itself is joined back once for the pairs that are left, and the whole phrase is checked there,
+    so a hash that two texts share costs a check and never a wrong row.
     """
     live = queries.filter(tx.strip_space(phrase) != "")
-    head = live.limit(MAX_INLINE_QUERIES + 1).collect()
-    if len(head) <= MAX_INLINE_QUERIES:
-        return _match_inline(rows, text, live, head, phrase)
-    return match_by_anchor(rows, text, live, phrase)
-
-
-def _match_inline(rows: DataFrame, text: str, queries: DataFrame, head: list, phrase: str) -> DataFrame:
-    if not head:
-        return rows.withColumn("_q", F.lit(None)).filter("false").drop("_q").select(
-            "*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in queries.schema.fields]
-        )
-    listed = F.array(*[F.lit(r[phrase]) for r in head])
-    at = F.filter(F.transform(listed, lambda q, i: F.when(F.contains(F.col(text), q), i)), lambda i: i.isNotNull())
-    fields = {f.name: F.array(*[F.lit(r[f.name]).cast(f.dataType) for r in head]) for f in queries.schema.fields}
-    return rows.withColumn("_i", F.explode(at)).select(
-        *rows.columns, *[F.get(values, F.col("_i")).alias(name) for name, values in fields.items()]
-    )
-
-
-def match_by_anchor(rows: DataFrame, text: str, queries: DataFrame, phrase: str) -> DataFrame:
-    """Phrase containment as an equi-join on anchor grams; Spark broadcasts the anchors only while
-    their size stays under its own threshold."""
-    length = F.length(phrase)
-    size = F.lit(1)
+    length, size = F.length(phrase), F.lit(1)
     for n in reversed(ANCHOR_LENGTHS):
         size = F.when(length >= n, F.lit(n)).otherwise(size)
-    keyed = queries.withColumn("_n", size).withColumn("_anchor", F.substring(F.col(phrase), F.lit(1), F.col("_n")))
+    keyed = live.withColumn("_n", size).withColumn("_anchor", F.substring(F.col(phrase), F.lit(1), F.col("_n")))
     lengths = [r["_n"] for r in keyed.select("_n").distinct().collect()]  # at most five values
     grams = F.array_distinct(F.concat(*[tx.grams_of_length(text, n) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
     anchors = keyed.select("_anchor").distinct()
-    # only grams that are some query's anchor leave the scan side
-    cand = rows.withColumn("_anchor", F.explode(grams)).join(anchors, "_anchor", "left_semi")
+    met = rows.select(F.xxhash64(text).alias("_text"), F.explode(grams).alias("_anchor")).join(anchors, "_anchor", "left_semi").distinct()
+    pairs = met.join(keyed.drop("_n"), "_anchor").drop("_anchor")
     return (
-        cand.join(keyed.drop("_n"), "_anchor").filter(F.contains(F.col(text), F.col(phrase)))
+        rows.withColumn("_text", F.xxhash64(text)).join(pairs, "_text").filter(F.contains(F.col(text), F.col(phrase)))
         .select(*rows.columns, *queries.columns)
     )
 

@@ -10,17 +10,13 @@ from vidimus.functions.frames import cut_lineage, latest_per
 from vidimus.operators.evidence import attest_conflicts, independent_support, verifications
 from vidimus.operators.spans import phrase_df, search
 
-CAP = 200
-GROUNDING_HITS = 5
-PRIOR_ART_HITS = 20
-
-# What a verification record says.
+# What a verification says about each state of a check.
 SAY = {
-    "nothing": "passage has no source_ref or no excerpt recorded; nothing to re-check",
-    "missing": "excerpt not found in the freshly-fetched source",
-    "moved": "excerpt moved or changed since the last recorded verification",
-    "baseline": "excerpt located in the freshly-fetched source; recorded as the baseline for future re-verification",
-    "again": "excerpt located in the freshly-fetched source, matching its prior recorded location",
+    "nothing": "no source or no excerpt on record, so there is nothing to look for",
+    "missing": "the source does not hold the excerpt",
+    "moved": "the excerpt is not where the last check found it",
+    "baseline": "found; this place is what later checks compare with",
+    "again": "found at the same place as in the last check",
 }
 
 
@@ -199,13 +195,13 @@ def _unroll(df: DataFrame, key: list[str], rows: Column) -> DataFrame:
     return df.select(*key, F.posexplode(rows).alias("step", "r")).select(*key, "step", "r.*")
 
 
-def ground(proposals: DataFrame, spans: DataFrame, cap: int = GROUNDING_HITS) -> tuple[DataFrame, DataFrame]:
+def ground(proposals: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Claims with a grounding query (V4): events for those that hit, refusals for those that do not.
 
     `proposals` holds `proposal_id, authored_by, text, grounding_query`.
     """
     q = proposals.select(F.col("proposal_id").alias("query_id"), F.col("grounding_query").alias("query"))
-    n = phrase_df(spans, q, cap).select(F.col("query_id").alias("proposal_id"), "n")
+    n = phrase_df(spans, q).select(F.col("query_id").alias("proposal_id"), "n")
     j = proposals.join(n, "proposal_id")
     refused = j.filter("n = 0").select(
         "proposal_id", F.lit("refused").alias("event"), "authored_by",
@@ -226,14 +222,14 @@ def ground(proposals: DataFrame, spans: DataFrame, cap: int = GROUNDING_HITS) ->
     return _unroll(j.filter("n > 0"), ["proposal_id"], rows), refused
 
 
-def intake(proposals: DataFrame, spans: DataFrame, cap: int = PRIOR_ART_HITS) -> DataFrame:
+def intake(proposals: DataFrame, spans: DataFrame) -> DataFrame:
     """Conjectures with their prior-art count and recorded prediction, as events (V5).
 
     `proposals` holds `proposal_id, authored_by, text`, the four dossier fields, `prior_art_query,
     tests_query, expectation, expected_hits`.
     """
     q = proposals.select(F.col("proposal_id").alias("query_id"), F.col("prior_art_query").alias("query"))
-    n = phrase_df(spans, q, cap).select(F.col("query_id").alias("proposal_id"), "n")
+    n = phrase_df(spans, q).select(F.col("query_id").alias("proposal_id"), "n")
     j = proposals.join(n, "proposal_id")
     key = F.col("proposal_id").cast("string")
     prior, conj, test = stable_id("query", key, F.lit("prior")), stable_id("conjecture", key), stable_id("query", key, F.lit("tests"))
@@ -288,7 +284,7 @@ def gather(
     attest = (F.col("place") == F.col("pid_first")) & (F.col("pid_status").isNull() | (F.col("pid_status") == "proposed"))
     edge_old = F.col("known_edge").isNotNull() | (F.col("place") != F.col("pair_first"))
     eid = F.coalesce("known_edge", stable_id("edge", F.col("pid"), F.col("target_id")))
-    dating = F.struct(F.lit(None).cast("string").alias("value"), F.lit("unknown").alias("confidence"), F.lit("not yet dated by this worker; no dating route run").alias("basis"))
+    dating = F.struct(F.lit(None).cast("string").alias("value"), F.lit("unknown").alias("confidence"), F.lit("no date was looked for when the witness was gathered").alias("basis"))
     witness = F.struct(F.col("witness_ref").alias("canonical_ref"), F.col("title").alias("label"), dating.alias("dating"), F.col("note").alias("source_terms"))
     passage = F.struct(
         F.concat("witness_ref", F.lit("#"), "ref").alias("canonical_ref"), F.coalesce("locator", "ref").alias("locator"),
@@ -359,6 +355,6 @@ def fingerprint(ledger: DataFrame, method: str) -> DataFrame:
 
     Rows are folded without an order (sums of hash parts), so no task sees the whole ledger."""
     row = F.sha2(F.concat_ws(":", "uid", "sha256"), 256)
-    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(4)]
+    parts = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).alias(f"p{i}") for i in range(8)]
     folded = ledger.select(row.alias("h")).agg(F.count(F.lit(1)).alias("inputs"), *parts)
-    return folded.select("inputs", F.sha2(F.concat_ws(":", F.lit(method), "inputs", *[f"p{i}" for i in range(4)]), 256).alias("fingerprint"))
+    return folded.select("inputs", F.sha2(F.concat_ws(":", F.lit(method), "inputs", *[f"p{i}" for i in range(8)]), 256).alias("fingerprint"))

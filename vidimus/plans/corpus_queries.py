@@ -53,9 +53,9 @@ def display_text(spark, sf):
 
 
 # --- search --------------------------------------------------------------------------------------------
-HITS_SQL = """
+HITS_SQL = f"""
 ln AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS span, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS span_no FROM documents),
-qs AS (SELECT item_id AS query_id, substr(text, 1, 30) AS query FROM benchmark),
+{inp.PHRASES_SQL},
 hit AS (SELECT query_id, query, doc, min(span_no) AS span_no, arg_min(span, span_no) AS span FROM qs JOIN ln ON contains(ln.span, qs.query) WHERE trim(query) <> '' GROUP BY 1, 2, 3)
 """
 
@@ -65,13 +65,13 @@ def phrase_search(spark, sf):
     return sp.search(inp.line_spans(spark, sf), inp.phrases(spark, sf), k=5).select("query_id", "doc", "span_no", "span")
 
 
-# one query per document: far more phrases than fit as literals, so the anchor join is used
-@query("phrase_search_many", """WITH qs AS (SELECT doc_id AS query_id, substr(text, 1, 25) AS query FROM documents)
-SELECT query_id, count(*) AS docs, min(doc_id) AS first_doc FROM qs JOIN documents d ON contains(d.text, qs.query) WHERE trim(query) <> '' GROUP BY 1""")
+# every first turn of a conversation and every benchmark sentence as a phrase over whole texts
+@query("phrase_search_many", f"""WITH {inp.PHRASES_SQL}, many AS (SELECT query_id, query FROM qs UNION ALL SELECT -1 - conv_id, text FROM conversations WHERE turn = 0)
+SELECT query_id, count(*) AS docs, min(doc_id) AS first_doc FROM many JOIN documents d ON contains(d.text, many.query) WHERE trim(query) <> '' GROUP BY 1""")
 def phrase_search_many(spark, sf):
     docs = inp.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
-    q = docs.select(F.col("doc").alias("query_id"), F.substring("text", 1, 25).alias("query"))
-    hits = sp.match_by_anchor(docs, "text", q.filter(tx.strip_space("query") != ""), "query")
+    said = inp.table(spark, sf, "conversations").filter("turn = 0").select((-1 - F.col("conv_id")).alias("query_id"), F.col("text").alias("query"))
+    hits = sp.match_phrases(docs, "text", inp.phrases(spark, sf).unionByName(said))
     return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first_doc"))
 
 
@@ -217,7 +217,7 @@ def prospective_tests_capped(spark, sf):
     return out.select("conjecture_id", F.col("observed_hits").cast("bigint").alias("observed_hits"), "saturated", "result")
 
 
-@query("grounded_claims", f"WITH {HITS_SQL}, n AS (SELECT query_id, query, least(count(hit.doc), 5) AS n FROM qs LEFT JOIN hit USING (query_id, query) GROUP BY 1, 2) SELECT query_id AS proposal_id, CASE WHEN n = 0 THEN 'refused' ELSE 'propose,propose,add_edge' END AS events, CASE WHEN n > 0 THEN n END AS hits FROM n")
+@query("grounded_claims", f"WITH {HITS_SQL}, n AS (SELECT query_id, query, count(hit.doc) AS n FROM qs LEFT JOIN hit USING (query_id, query) GROUP BY 1, 2) SELECT query_id AS proposal_id, CASE WHEN n = 0 THEN 'refused' ELSE 'propose,propose,add_edge' END AS events, CASE WHEN n > 0 THEN n END AS hits FROM n")
 def grounded_claims(spark, sf):
     asked = inp.phrases(spark, sf).select(F.col("query_id").alias("proposal_id"), F.lit("agent:1").alias("authored_by"), F.lit("it says so").alias("text"), F.col("query").alias("grounding_query"))
     events, refused = vf.ground(asked, inp.line_spans(spark, sf))
@@ -227,7 +227,7 @@ def grounded_claims(spark, sf):
     return per.unionByName(refused.select("proposal_id", F.col("event").alias("events"), F.lit(None).cast("bigint").alias("hits")))
 
 
-@query("conjecture_intake", f"WITH {HITS_SQL}, n AS (SELECT query_id, least(count(hit.doc), 20) AS n FROM qs LEFT JOIN hit USING (query_id) GROUP BY 1) SELECT query_id AS proposal_id, 'propose,propose,add_edge,propose,add_edge' AS events, '(' || n || ' hits)' AS tail, query_id % 3 AS expected_hits FROM n")
+@query("conjecture_intake", f"WITH {HITS_SQL}, n AS (SELECT query_id, count(hit.doc) AS n FROM qs LEFT JOIN hit USING (query_id) GROUP BY 1) SELECT query_id AS proposal_id, 'propose,propose,add_edge,propose,add_edge' AS events, '(' || n || ' hits)' AS tail, query_id % 3 AS expected_hits FROM n")
 def conjecture_intake(spark, sf):
     fields = [F.lit(f).alias(f) for f in ("derivation", "corpus_boundary", "selection_risks", "alternative_explanations")]
     asked = inp.phrases(spark, sf).select(

@@ -11,16 +11,11 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas
 from vidimus.functions import text as tx
-from vidimus.functions.frames import spread
-
-
-# tables of long texts, with the key their rows are spread by
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
+    """A given table, in the partitions of its files at every size."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _event_frame(df: DataFrame, **cols) -> DataFrame:
@@ -332,18 +327,27 @@ def line_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("span_no", "span"))
 
 
-def phrases(spark: SparkSession, sf_dir: str, n: int = 30) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, n).alias("query"))
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every benchmark text as a phrase."""
+    parts = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", r"\. ")).alias("i", "q"))
+    return parts.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("query_id"), F.trim("q").alias("query"))
+
+
+PHRASES_SQL = "qs AS (SELECT item_id * 1000 + i AS query_id, trim(q) AS query FROM (SELECT item_id, unnest(string_split(text, '. ')) AS q, generate_subscripts(string_split(text, '. '), 1) AS i FROM benchmark))"
 
 
 def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with the least document that opens the same way: stars, never all pairs of a group."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
-    first = docs.groupBy("head").agg(F.min("doc_id").alias("uid_a"))
-    return docs.join(first, "head").filter("doc_id <> uid_a").select("uid_a", F.col("doc_id").alias("uid_b"))
+    """Each document with the least document that has a whole line in common with it, anywhere in the
+    text: stars around each line, never all pairs of a group."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).filter(F.length("line") >= COPIED_LINE)
+    first = docs.groupBy("line").agg(F.min("doc_id").alias("uid_a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return docs.join(first, "line").filter("doc_id <> uid_a").select("uid_a", F.col("doc_id").alias("uid_b")).distinct()
 
 
-COPIES_SQL = "cp AS (SELECT f.uid_a, d.doc_id AS uid_b FROM documents d JOIN (SELECT substr(text, 1, 40) AS head, min(doc_id) AS uid_a FROM documents GROUP BY 1) f ON f.head = substr(d.text, 1, 40) WHERE d.doc_id <> f.uid_a)"
+COPIED_LINE = 40
+COPIES_SQL = f"""cl AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+ch AS (SELECT line, min(doc_id) AS uid_a FROM cl WHERE length(line) >= {COPIED_LINE} GROUP BY line HAVING count(*) > 1),
+cp AS (SELECT DISTINCT uid_a, doc_id AS uid_b FROM cl JOIN ch USING (line) WHERE doc_id <> uid_a)"""
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,7 +357,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_windows(
         spark, f"{sf_dir}/embeddings.parquet",
         {"idx": "vec_id", "uid": "concat('u', vec_id div 10)", "label": "concat('L', label)", "start": "cast(vec_id % 10 * 40 AS int)", "vec": "embedding"},
-        work="label", check=False,
+        work="label",
     )
 
 

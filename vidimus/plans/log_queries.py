@@ -174,12 +174,12 @@ def conversation_threads(spark, sf):
         F.lit(1).alias("version"), F.expr("concat('c', conv_id div 3)").alias("conversation_id"),
         F.transform("t", lambda m: F.struct(m["role"].alias("role"), F.lit("text").alias("content"))).alias("messages"),
     ))
-    who = F.array(F.struct(F.lit("analyst").alias("role"), F.concat(F.lit("X_ANALYSIS_V1\n"), ctx, F.lit("\n\nguide")).alias("instructions")))
+    who = F.array(F.struct(F.lit("analyst").alias("role"), F.concat(F.lit("STORED CONTEXT 1\n"), ctx, F.lit("\n\nguide")).alias("instructions")))
     starts = inp._event_frame(
         conv, seq=F.col("conv_id"), event=F.lit("run_started"), authored_by=F.lit("researcher"), run_id=F.expr("concat('run:', conv_id)"),
         detail=F.to_json(F.struct(who.alias("agents"))),
     )
-    return ce.threads(starts).withColumn("messages", F.col("messages").cast("bigint"))
+    return ce.threads(starts, "STORED CONTEXT 1").withColumn("messages", F.col("messages").cast("bigint"))
 
 
 @query("merged_histories", """WITH t AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1)

@@ -10,16 +10,16 @@ from vidimus.sources.corpus import SourceError
 def table_digest(df: DataFrame) -> DataFrame:
     """Content hash of a frame that does not depend on row order or partitioning.
 
-    Row hashes are folded with sums of their four quarters, so the digest is one aggregation with
+    Row hashes are folded with sums of their eight parts, so the digest is one aggregation with
     partial results and no ordered pass over the rows.
     """
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
     part = lambda i: F.sum(
-        F.conv(F.substring("h", 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")
+        F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")
     ).alias(f"q{i}")
-    folded = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), *[part(i) for i in range(4)])
+    folded = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), *[part(i) for i in range(8)])
     return folded.select(
-        "rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(F.col(f"q{i}").cast("string"), F.lit("")) for i in range(4)]), 256).alias("digest")
+        "rows", F.sha2(F.concat_ws(":", "rows", *[F.coalesce(F.col(f"q{i}").cast("string"), F.lit("")) for i in range(8)]), 256).alias("digest")
     )
 
 

@@ -52,11 +52,11 @@ def read_catalogue(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
 
 def class_sequence(blocks: DataFrame) -> DataFrame:
-    """Place of each labelled class in the block order, counted without the unlabelled block."""
+    """Place of each labelled class in the block order of its own file, counted without the unlabelled
+    block."""
     kept = blocks.filter(F.col("majority") != UNLABELLED)
-    # one row per block of a catalogue, so a single ordered window is small
-    place = F.row_number().over(Window.orderBy("block")) - 1
-    return kept.select(F.col("majority").alias("label"), place.alias("sequence"))
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block")) - 1
+    return kept.select("file", F.col("majority").alias("label"), place.alias("sequence"))
 
 
 def parse_markers(raw: DataFrame, lengths=(2, 3, 4)) -> DataFrame:

@@ -1,6 +1,9 @@
 """Document sources: manifest corpora, markup documents, archive entries, editions."""
 from __future__ import annotations
 
+import posixpath
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +20,18 @@ class SourceError(ValueError):
     """A source file breaks its contract; the message says where."""
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
 def _relative(path: str, root: str):
-    """Path below the root, from a file URI column."""
-    bare = F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
-    return F.substring(bare, len(root.rstrip("/")) + 2, 1 << 30)
+    """Path below the root, from a file URI column. Scheme and authority are dropped on both sides; a
+    relative root is found at its first place in the path."""
+    bare = F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), SCHEME, "")
+    inside = posixpath.normpath(re.sub(SCHEME, "", root) or "/").rstrip("/")
+    if inside == ".":
+        raise SourceError("name the root folder itself, not the working folder")
+    start = "^" if inside.startswith("/") or not inside else "^.*?/"
+    return F.regexp_replace(bare, rf"{start}\Q{inside}\E/+", "")
 
 
 def manifest_rows(spark: SparkSession, path: str) -> DataFrame:
