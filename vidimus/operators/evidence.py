@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas
 from vidimus.functions import text as tx
-from vidimus.functions.frames import cut_lineage, latest_per, literal_map, page, page_with_flag
+from vidimus.functions.frames import cut_lineage, latest_per, literal_map, page, page_with_flag, running_total
 
 
 def _p(field: str) -> Column:
@@ -459,18 +459,28 @@ def pending_reviews(
     """Proposed claims and conjectures each reviewer may promote: the first `cap` of each reviewer's
     list (claims first, then creation order), and per reviewer how many there are and how many are
     not listed (G9)."""
-    open_ = nodes.filter((F.col("status") == "proposed") & F.col("type").isin(*schemas.REVIEWABLE_TYPES))
+    open_ = nodes.filter((F.col("status") == "proposed") & F.col("type").isin(*schemas.REVIEWABLE_TYPES)).select(
+        "id", "type", "created_seq", _p("text").alias("text"), F.when(F.col("type") == "claim", 0).otherwise(1).alias("_g")
+    )
+    # places in the one order all reviewers share; each reviewer's list is that order without its conflicts
+    sizes = open_.groupBy("_g", "created_seq").agg(F.count(F.lit(1)).alias("_n"))
+    upto = running_total(sizes, ["_g"], "created_seq", "_n", "_upto")
+    claims = open_.agg(F.count_if(F.col("_g") == 0).alias("_claims"), F.count(F.lit(1)).alias("_all"))
+    claims = claims.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("_g"), "_claims", "_all")
+    nth = F.row_number().over(Window.partitionBy("_g", "created_seq").orderBy("id"))
+    placed = open_.withColumn("_nth", nth).join(upto, ["_g", "created_seq"]).join(claims, "_g").withColumn(
+        "_at", F.col("_upto") - F.col("_n") + F.col("_nth") + F.when(F.col("_g") == 1, F.col("_claims")).otherwise(0)
+    )
     conflicts = attest_conflicts(open_, node_authorship, agents, reviewers)
-    blocked = conflicts.select(F.col("node_id").alias("id"), "agent_id")
-    # one reviewer id per row of a short list: every open node is a candidate for every reviewer
-    names = reviewers.select("agent_id").distinct().agg(F.array_sort(F.collect_list("agent_id")).alias("who"))
-    listed = open_.select("id", "type", "created_seq", _p("text").alias("text"), F.lit(1).alias("_k")).join(
-        F.broadcast(names.withColumn("_k", F.lit(1))), "_k"
-    ).select("id", "type", "created_seq", "text", F.explode("who").alias("agent_id"))
-    allowed = listed.join(blocked, ["id", "agent_id"], "left_anti")
-    w = Window.partitionBy("agent_id").orderBy(F.when(F.col("type") == "claim", 0).otherwise(1), "created_seq", "id")
+    blocked = conflicts.select(F.col("node_id").alias("id"), "agent_id").distinct()
+    each = reviewers.select("agent_id").distinct().join(blocked.groupBy("agent_id").agg(F.count(F.lit(1)).alias("_b")), "agent_id", "left").fillna(0, ["_b"])
+    # the first `cap` a reviewer may promote are among the first `cap` + (its conflicts) places
+    tries = each.select("agent_id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_b") + cap)).alias("_at"))
+    allowed = tries.join(placed.select("id", "type", "text", "_at"), "_at").join(blocked, ["id", "agent_id"], "left_anti")
+    w = Window.partitionBy("agent_id").orderBy("_at")
     head = allowed.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap)
-    totals = allowed.groupBy("agent_id").agg(F.count(F.lit(1)).alias("pending")).withColumn(
+    n_open = claims.filter("_g = 0").select(F.lit(1).alias("_k"), "_all")
+    totals = each.withColumn("_k", F.lit(1)).join(n_open, "_k").select("agent_id", (F.col("_all") - F.col("_b")).alias("pending")).filter("pending > 0").withColumn(
         "not_listed", F.greatest(F.col("pending") - cap, F.lit(0))
     )
     return head.select("agent_id", "place", "id", "type", "text"), totals

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
 from vidimus.functions.frames import cut_lineage, top_k_per
+from vidimus.functions.workers import ship
 
 BLOCK_ROWS = 512
 DEFAULT_WINDOW = 400
@@ -126,6 +127,7 @@ def nearest_indices(
     task. Pruning drops only what cannot enter the top k, for vectors of any length.
     """
     spark = windows.sparkSession
+    ship(spark)
     pool = F.lit(True) if not labelled_only else F.coalesce(F.col("label") != UNLABELLED, F.lit(True))
     base = windows.select("idx", F.coalesce(F.col(other).cast("string"), F.lit("")).alias("work"), pool.cast("int").alias("pooled"), "vec")
     n = base.count()
@@ -339,6 +341,7 @@ def in_order_runs(runs: DataFrame, least: int) -> DataFrame:
             "uid_a": pdf["uid_a"].iloc[0], "uid_b": pdf["uid_b"].iloc[0], "a": [x[0] for x in blocks],
             "b": [x[1] for x in blocks], "chars": [x[2] for x in blocks],
         })
+    ship(runs.sparkSession)
     return runs.groupBy("uid_a", "uid_b").applyInPandas(choose, runs.select("uid_a", "uid_b", "a", "b", "chars").schema)
 
 

@@ -241,12 +241,26 @@ def graph_page(spark, sf):
 
 
 # agents 0 and 2 share a family, so do 1 and 3; agent 4 has none
-@query("pending_reviews", f"""WITH {G}, ok AS (SELECT id, type, cseq, p_name FROM hyp WHERE status = 'proposed' AND p % 5 NOT IN (0, 2))
-SELECT 'agent:2' AS agent_id, CAST(row_number() OVER (ORDER BY type = 'conjecture', cseq, id) AS INTEGER) AS place, id, type, p_name AS text FROM ok QUALIFY place <= 25""")
+# every registered agent as a reviewer
+PENDING_SQL = """r AS (SELECT unnest([0, 1, 2, 3, 4]) AS a),
+ok AS (SELECT 'agent:' || a AS agent_id, id, type, cseq, p_name FROM hyp, r WHERE status = 'proposed' AND NOT (p % 5 = a OR (a <> 4 AND p % 5 <> 4 AND (p % 5) % 2 = a % 2)))"""
+
+
+@query("pending_reviews", f"""WITH {G}, {PENDING_SQL}
+SELECT agent_id, CAST(row_number() OVER (PARTITION BY agent_id ORDER BY type = 'conjecture', cseq, id) AS INTEGER) AS place, id, type, p_name AS text FROM ok QUALIFY place <= 25""")
 def pending_reviews(spark, sf):
-    who = inp.graph_agents(spark, sf).filter("id = 'agent:2'").select(F.col("id").alias("agent_id"))
-    head, _ = evd.pending_reviews(_n(spark, sf), inp.graph_authorship(spark, sf), inp.graph_agents(spark, sf), who)
-    return head
+    return _pending(spark, sf)[0]
+
+
+@query("pending_totals", f"WITH {G}, {PENDING_SQL} SELECT agent_id, count(*) AS pending, greatest(count(*) - 25, 0) AS not_listed FROM ok GROUP BY 1")
+def pending_totals(spark, sf):
+    return _pending(spark, sf)[1]
+
+
+def _pending(spark, sf):
+    agents = inp.graph_agents(spark, sf)
+    who = agents.select(F.col("id").alias("agent_id"))
+    return evd.pending_reviews(_n(spark, sf), inp.graph_authorship(spark, sf), agents, who)
 
 
 @query("review_conflicts", f"""WITH {G}, r AS (SELECT unnest([0, 1, 2, 3, 4]) AS a)

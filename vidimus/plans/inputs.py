@@ -72,6 +72,42 @@ def ladder_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- labelled documents as claims, each with three proposed attests -----------------------------------------------
+ADMISSION_SQL = """
+ask AS (SELECT doc_id AS d, k, CASE WHEN (toxic + quality + k) % 2 = 0 THEN 'agent:a' ELSE 'agent:b' || k END AS who FROM labels, (SELECT unnest([0, 1, 2]) AS k))
+"""
+
+
+def claim_log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A log in which every labelled document is a claim with one attested passage, proposed by agent:a;
+    and three attests a claim as proposals, in which the claim's own author turns up by label."""
+    docs = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "d")
+    node = lambda kind: F.concat(F.lit(f"{kind}:"), F.col("d").cast("string"))
+    none = F.lit(None).cast("string")
+    payload = F.struct(F.concat(F.lit("r"), F.col("d").cast("string")).alias("canonical_ref"))
+    detail = lambda **f: F.to_json(F.struct(*[c.alias(n) for n, c in f.items()]))
+    step = lambda event, by, id=none, kind=None, edge=none, edge_type=None, d=F.lit("{}"): F.struct(
+        F.lit(event).alias("event"), F.lit(by).alias("by"), id.alias("id"), F.lit(kind).cast("string").alias("kind"), edge.alias("edge"), F.lit(edge_type).cast("string").alias("edge_type"), d.alias("detail"))
+    steps = F.array(
+        step("propose", "agent:a", node("witness"), "witness", d=detail(payload=payload, converge=F.lit(False))),
+        step("propose", "agent:a", node("passage"), "passage", node("edge:p"), "part_of", detail(payload=payload, converge=F.lit(False), witness_id=node("witness"))),
+        step("propose", "agent:a", node("claim"), "claim", d=detail(payload=payload, converge=F.lit(False))),
+        step("attest", "agent:b9", node("passage"), "passage"),
+        step("add_edge", "agent:a", edge=node("edge:s"), edge_type="attests", d=detail(src=node("passage"), dst=node("claim"), converge=F.lit(False))),
+    )
+    rows = docs.select("d", F.posexplode(steps).alias("i", "e")).select("d", "i", "e.*")
+    log = _event_frame(
+        rows, seq=F.col("d") * 10 + F.col("i"), event=F.col("event"), authored_by=F.col("by"), at=_s("concat('t', d)"), node_id=F.col("id"),
+        node_type=F.col("kind"), edge_id=F.col("edge"), edge_type=F.col("edge_type"), detail=F.col("detail"),
+    )
+    ask = docs.select("d", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "toxic", "quality")
+    who = _s("CASE WHEN (toxic + quality + k) % 2 = 0 THEN 'agent:a' ELSE concat('agent:b', k) END")
+    batch = _event_frame(
+        ask, seq=F.lit(1_000_000_000_000) + F.col("d") * 10 + F.col("k"), event=F.lit("attest"), authored_by=who, at=_s("concat('t', d)"), node_id=node("claim"), detail=F.lit("{}"),
+    )
+    return log, batch
+
+
 # --- events as a log of runs ----------------------------------------------------------------------------
 RULES = ("RungSkipped", "UnattestableClaim", "NodeNotFound", "SelfAttestation", "EdgeSelfLoop", "NoEventLog", "SomethingNew")
 _RULE_SQL = "list_extract(['" + "','".join(RULES) + f"'], CAST(k % {len(RULES)} AS INTEGER) + 1)"

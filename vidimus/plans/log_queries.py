@@ -356,3 +356,16 @@ def edge_rule_audit(spark, sf):
 def refusals_tail_runs(spark, sf):
     last = inp.run_log(spark, sf).groupBy("run_id").agg(F.max("seq").alias("last_seq"))
     return tail(last, "last_seq", 10)
+
+
+# --- admission --------------------------------------------------------------------------------------------
+@query("admitted_events", f"""WITH {inp.ADMISSION_SQL}, first AS (SELECT d, min(k) FILTER (WHERE who <> 'agent:a') AS k FROM ask GROUP BY 1)
+SELECT 1000000000000 + d * 10 + ask.k AS seq, ask.k = first.k AS admitted,
+  CASE WHEN ask.k = first.k THEN '' WHEN who = 'agent:a' AND ask.k < first.k THEN 'SelfAttestation' ELSE 'later' END AS rule FROM ask JOIN first USING (d)""")
+def admitted_events(spark, sf):
+    log, batch = inp.claim_log(spark, sf)
+    admitted, refused = au.admit(log, batch)
+    went = admitted.groupBy(F.get(F.split("node_id", ":"), F.lit(1)).alias("d")).agg(F.min("seq").alias("at"))
+    out = refused.select("seq", F.lit(False).alias("admitted"), "rule", F.floor((F.col("seq") - 1_000_000_000_000) / 10).cast("string").alias("d")).join(went, "d")
+    rule = F.when(F.col("seq") < F.col("at"), F.col("rule")).otherwise("later")
+    return out.select("seq", "admitted", rule.alias("rule")).unionByName(admitted.select("seq", F.lit(True).alias("admitted"), F.lit("").alias("rule")))
