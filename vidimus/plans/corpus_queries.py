@@ -93,11 +93,11 @@ def folded_search(spark, sf):
     return sp.search_text(docs, both, k=20).select("query_id", "ref", "snippet")
 
 
-@query("excerpt_search", """WITH x AS (SELECT conv_id AS doc, turn AS ord, text AS excerpt FROM conversations), q AS (SELECT DISTINCT substr(text, 1, 8) AS query FROM conversations WHERE turn = 0)
+@query("excerpt_search", """WITH x AS (SELECT conv_id AS doc, turn AS ord, text AS excerpt FROM conversations), q AS (SELECT DISTINCT text AS query FROM conversations)
 SELECT query, doc, ord FROM q JOIN x ON contains(excerpt, query) WHERE trim(query) <> '' QUALIFY row_number() OVER (PARTITION BY query ORDER BY doc, ord) <= 20""")
 def excerpt_search(spark, sf):
     conv = inp.table(spark, sf, "conversations")
-    q = conv.filter("turn = 0").select(F.substring("text", 1, 8).alias("query")).distinct().withColumn("query_id", F.col("query"))
+    q = conv.select(F.col("text").alias("query")).distinct().withColumn("query_id", F.col("query"))
     x = conv.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.col("text").alias("excerpt"))
     return sp.search_excerpts(x, q).select("query", "doc", "ord")
 
@@ -107,20 +107,23 @@ def phrase_counts(spark, sf):
     return sp.phrase_df(inp.line_spans(spark, sf), inp.phrases(spark, sf), cap=2).withColumn("n", F.col("n").cast("bigint"))
 
 
-@query("located_cites", """WITH c AS (SELECT doc_id AS doc, substr(text, 5, CAST(6 + doc_id % 40 AS INTEGER)) AS excerpt, text FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'no such text here', text FROM documents WHERE doc_id % 7 = 0)
+@query("located_cites", """WITH c AS (SELECT doc_id AS doc, substr(text, CAST(5 + (doc_id * 131) % greatest(length(text) - 30, 1) AS INTEGER), CAST(6 + doc_id % 40 AS INTEGER)) AS excerpt, text FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'no such text here', text FROM documents WHERE doc_id % 7 = 0)
 SELECT doc, excerpt, CASE WHEN p = 0 THEN 'not_found' WHEN again THEN 'not_unique' ELSE 'located' END AS status, CASE WHEN p > 0 AND NOT again THEN p - 1 END AS span_start, CASE WHEN p > 0 AND NOT again THEN p - 1 + length(excerpt) END AS span_end
 FROM (SELECT *, strpos(text, excerpt) AS p, strpos(substr(text, strpos(text, excerpt) + 1), excerpt) > 0 AS again FROM c) WHERE excerpt <> ''""")
 def located_cites(spark, sf):
     docs = inp.table(spark, sf, "documents")
-    cut = F.expr("CASE WHEN doc_id % 7 = 0 THEN 'no such text here' ELSE substring(text, 5, cast(6 + doc_id % 40 AS int)) END")
+    cut = F.expr("CASE WHEN doc_id % 7 = 0 THEN 'no such text here' ELSE substring(text, cast(5 + (doc_id * 131) % greatest(length(text) - 30, 1) AS int), cast(6 + doc_id % 40 AS int)) END")
     cites = docs.select(F.col("doc_id").alias("doc"), cut.alias("excerpt")).filter("excerpt <> ''")
     return sp.locate_spans(cites, docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("body")))
 
 
-# every document cited once; a third of the recorded spans are five characters off
+# every document cited once, anywhere in its text; a third of the recorded spans are five characters off
+CITED_AT = "CAST(10 + (doc_id * 131) % greatest(length(text) - 40, 1) AS INT)"
+
+
 def _passages(docs):
-    off = F.when(F.col("doc_id") % 3 == 0, 15).otherwise(10)
-    cited = F.expr("CASE WHEN doc_id % 11 = 0 THEN 'not in there' WHEN doc_id % 13 = 0 THEN NULL ELSE substring(text, 11, 20) END")
+    off = F.expr(f"{CITED_AT} + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END")
+    cited = F.expr(f"CASE WHEN doc_id % 11 = 0 THEN 'not in there' WHEN doc_id % 13 = 0 THEN NULL ELSE substring(text, {CITED_AT} + 1, 20) END")
     has = F.col("doc_id") % 2 == 0
     return docs.select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("source_ref"), cited.alias("excerpt"),
@@ -129,9 +132,9 @@ def _passages(docs):
     )
 
 
-PASSAGE_SQL = """
-psg AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 11 = 0 THEN 'not in there' WHEN doc_id % 13 = 0 THEN NULL ELSE substr(text, 11, 20) END AS excerpt,
-  CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 3 = 0 THEN 15 ELSE 10 END END AS s FROM documents),
+PASSAGE_SQL = f"""
+psg AS (SELECT doc_id AS id, text, CASE WHEN doc_id % 11 = 0 THEN 'not in there' WHEN doc_id % 13 = 0 THEN NULL ELSE substr(text, {CITED_AT} + 1, 20) END AS excerpt,
+  CASE WHEN doc_id % 2 = 0 THEN {CITED_AT} + CASE WHEN doc_id % 3 = 0 THEN 5 ELSE 0 END END AS s FROM documents),
 loc AS (SELECT *, coalesce(excerpt, '') = '' AS none, strpos(text, excerpt) - 1 AS first_, s IS NOT NULL AND substr(text, s + 1, 20) = excerpt AS holds FROM psg)
 """
 
@@ -159,10 +162,10 @@ def span_verification(spark, sf):
 
 
 @query("tamper_control", """SELECT altered, result, integrity, count(*) AS n FROM (
-  SELECT CASE WHEN doc_id % 10 = 0 THEN true ELSE false END AS altered, 'intact' AS integrity, CASE WHEN doc_id % 10 = 0 THEN 'fail' ELSE 'pass' END AS result FROM documents WHERE length(text) > 30) GROUP BY 1, 2, 3""")
+  SELECT CASE WHEN doc_id % 10 = 0 THEN true ELSE false END AS altered, 'intact' AS integrity, CASE WHEN doc_id % 10 = 0 THEN 'fail' ELSE 'pass' END AS result FROM documents WHERE length(text) > 10) GROUP BY 1, 2, 3""")
 def tamper_control(spark, sf):
-    docs = inp.table(spark, sf, "documents").filter("length(text) > 30")
-    payload = F.to_json(F.struct(F.col("doc_id").cast("string").alias("source_ref"), F.substring("text", 11, 20).alias("excerpt")))
+    docs = inp.table(spark, sf, "documents").filter("length(text) > 10")
+    payload = F.to_json(F.struct(F.col("doc_id").cast("string").alias("source_ref"), F.expr("substring(text, cast(11 + (doc_id * 131) % greatest(length(text) - 40, 1) AS int), 20)").alias("excerpt")))
     nodes = docs.select(F.concat(F.lit("passage:"), F.col("doc_id").cast("string")).alias("id"), F.lit("passage").alias("type"), payload.alias("payload")).withColumn("payload_hash", tx.sha256("payload"))
     out = vf.tamper_control(nodes, docs.select(F.col("doc_id").cast("string").alias("ref"), "text"), pick=F.col("id").rlike("0$"))
     return out.groupBy("altered", "result", "integrity").agg(F.count(F.lit(1)).alias("n"))
