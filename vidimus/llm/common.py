@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +27,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that few texts are Python objects at a time."""
+SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: int = 1, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: at most `rows`, and of more than one row at most `size` bytes of
+    the column at `text` (a string), so that few texts are Python objects at a time."""
     for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+        size_of = pc.binary_length(b.column(text)).fill_null(0)
+        upto = np.cumsum(size_of.to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = upto[at - 1] if at else 0
+            n = int(np.clip(np.searchsorted(upto, before + size, side="right") - at, 1, rows))
+            yield b.slice(at, n)
+            at += n
 
 
 def longs(col: pa.Array) -> np.ndarray:

@@ -29,7 +29,7 @@ from vidimus.llm.common import fold, raw, sliced
 
 FOLDS, HELD = 5, 1
 K = 5
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 SPLIT = 200_000  # a first word this frequent has its pairs dealt by both words
 END_WORD = b"\n"  # no word can be white space
 BEGIN, UNKNOWN, FIRST_ID = 0, 1, 2
@@ -101,7 +101,7 @@ def _code(buckets: int, block_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, docs, known = TaskContext.get().partitionId() << 32, 0, [], {END_WORD: 0}
-        for b in sliced(batches, 128):
+        for b in sliced(batches):
             texts = b.column(1).to_pylist()
             words, n = tokens(texts)
             coded = words.dictionary_encode()
@@ -204,8 +204,7 @@ def _block(text: dict, replies: dict) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _replies(table: pa.Table, kind: str) -> list[tuple]:
-    rows = [r for r in table.to_pylist() if r["kind"] == kind]
-    return [(r["bucket"], r["p0"], r["p1"]) for r in rows]
+    return [(r["bucket"], r["p0"], r["p1"]) for r in table.select(["kind", "bucket", "p0", "p1"]).to_pylist() if r["kind"] == kind]
 
 
 def _pairs(word, count, context, words: Words, buckets: int, split: int):
@@ -302,34 +301,35 @@ def _score(words: Words, d: np.ndarray, buckets: int, split: int):
     """A coded block and all replies to it in; one row a text out."""
 
     def run(key, text, got):
-        out = []
+        out, replies = [], got.to_pylist()
         for t in text.to_pylist():
             word, count, context, n = _block(t, _replies(got, "ids"))
             ok, which, h, w, count_h, hot, of = _pairs(word, count, context, words, buckets, split)
-            total, few, covered = np.zeros(len(h), np.int64), np.zeros((K, len(h)), np.int64), np.zeros(len(h))
-            for r in got.to_pylist():
+            del word, context
+            total, left, covered = np.zeros(len(h), np.uint32), np.zeros(len(h)), np.zeros(len(h))
+            freed = np.arange(1, K + 1) * (1 - d[1:])  # what discounting leaves of a follower that occurs 1..K times
+            for r in replies:
                 if r["kind"] == "counts":
                     part = np.flatnonzero(of == r["bucket"])
                     total[part] = get(r["p0"])
                     _, place = np.unique(h[part], return_inverse=True)
-                    few[:, part], covered[part] = get(r["p1"]).reshape(K, -1)[:, place], get(r["p2"])[place]
-            for r in got.to_pylist():
+                    left[part], covered[part] = (freed @ get(r["p1"]).reshape(K, -1))[place], get(r["p2"])[place]
+            for r in replies:
                 if r["kind"] == "hot":
                     hot_h = np.array([x["h"] for x in r["hot"]])
                     order = np.argsort(hot_h)
                     place = order[np.searchsorted(hot_h[order], h[hot])]
-                    for i in range(K):
-                        few[i, hot] = np.array([x[f"n{i + 1}"] for x in r["hot"]])[place]
+                    left[hot] = (freed @ np.array([[x[f"n{i}"] for x in r["hot"]] for i in range(1, K + 1)]))[place]
                     covered[hot] = np.array([x["covered"] for x in r["hot"]])[place]
-            p1 = words.probability(count)
-            p = p1.copy()
-            if len(h):
-                left = (few * (np.arange(1, K + 1) * (1 - d[1:]))[:, None]).sum(axis=0)
+            del h, w, hot, of
+            p = words.probability(count)
+            if len(left):
                 # half a count is left where no follower is rare enough to be discounted
-                left, whole = np.where(left > 0, left, 0.5), np.where(left > 0, count_h, count_h + 0.5)
+                whole = np.where(left > 0, count_h, count_h + 0.5)
+                left = np.where(left > 0, left, 0.5)
                 back = np.where(count_h > 0, left / whole / (1 - covered), 1.0)
                 own = _discounted(total, d) / whole
-                p[ok] = np.where(total[which] > 0, own[which], back[which] * p1[ok])
+                p[ok] = np.where(total[which] > 0, own[which], back[which] * p[ok])
             at = np.cumsum(n) - n
             ids, flags = get(t["p0"]), get(t["p1"])
             out.append(pa.Table.from_arrays(
