@@ -47,6 +47,7 @@ def test_round_trip_equals_the_library(spark, library):
 def test_tables_of_known_words_do_not_change_results(monkeypatch, library):
     monkeypatch.setattr(bpe, "ARENA", 64)
     monkeypatch.setattr(bpe, "KNOWN_WORDS", 8)
+    monkeypatch.setattr(bpe, "PART", 40)
     small = bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
     for t in noise(60, 9):
         ids, n = small.encode([t, None, t])

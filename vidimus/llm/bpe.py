@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidimus.functions.workers import ship
-from vidimus.llm.common import sliced
+from vidimus.llm.common import SLICE_ROWS, sliced
 
 VOCABULARY = "word_bpe_49k.json"
 KNOWN_WORDS = 250_000
@@ -32,11 +32,14 @@ NONE = np.iinfo(np.int64).max
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WIDE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 
+GAP = re.compile(r"[ \n\t]")
+
 # The same for Latin-1, as tables over the 256 characters: 0 white space, 1 letter, 2 number, 3 other.
 LOWER = np.array([ord(chr(i).lower()) for i in range(256)], np.uint8)
 KIND = np.array([0 if regex.match(f"[{_SPACE}]", c) else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in map(chr, range(256))], np.uint8)
-SLOT_BITS = 21
-SLOTS, ARENA = 1 << SLOT_BITS, 1 << 24
+SLOT_BITS = 20
+SLOTS, ARENA = 1 << SLOT_BITS, 1 << 23
+PART = 1 << 20  # longer texts are encoded in parts, cut at white space
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHAR_KEYS = np.array([[xxhash.xxh64_intdigest(bytes([i]), seed) for i in range(256)] for seed in (1, 2)], np.uint64)
 _BASES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -120,7 +123,7 @@ class Bpe:
         """Empty both tables of known words (they are caches; results do not depend on them)."""
         self.ids = {t: np.array([i], "<u4").tobytes() for t, i in self.special.items()}
         self.slot_a, self.slot_b = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.uint64)
-        self.slot_at, self.slot_n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        self.slot_at, self.slot_n = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
         self.arena, self.used = np.zeros(ARENA, np.uint32), 0
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -227,7 +230,7 @@ class Bpe:
             new = slot[first]
             self.slot_a[new], self.slot_b[new], self.slot_at[new], self.slot_n[new] = a[first], b[first], begin, n
             own = {"at": begin[which], "n": n[which]}  # a slot may hold another word of this batch by now
-        where, n = self.slot_at[slot], self.slot_n[slot]
+        where, n = self.slot_at[slot].astype(np.int64), self.slot_n[slot].astype(np.int64)
         if own:
             where[missing], n[missing] = own["at"], own["n"]
         end = np.cumsum(n)
@@ -235,8 +238,24 @@ class Bpe:
         upto = np.r_[0, end][np.cumsum(words_of)]
         return flat, np.diff(np.r_[0, upto])
 
+    def _encode_parts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A long text in parts: words and special tokens hold no white space, so it may be cut there."""
+        ids, at = [], 0
+        while at < len(text):
+            cut = GAP.search(text, at + PART // 2)
+            stop = cut.end() if cut else len(text)
+            part = text[at:stop]
+            # a part without white space stays whole however long it is
+            ids.append(self.encode([part])[0] if len(part) <= PART else self._encode_wide(part))
+            at = stop
+        flat = np.concatenate(ids)
+        return flat, np.array([len(flat)])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each has); null is an empty text."""
+        if any(t and len(t) > PART for t in texts):
+            done = [self._encode_parts(t) if t and len(t) > PART else self.encode([t]) for t in texts]
+            return np.concatenate([ids for ids, _ in done]), np.concatenate([n for _, n in done])
         narrow, at, wide = [], [], {}
         for i, t in enumerate(texts):
             t = t or ""
@@ -302,7 +321,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in sliced(batches):
+        for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
             rows = [ids or [] for ids in b.column(1).to_pylist()]
             flat = np.array([i for ids in rows for i in ids], np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), bpe.decode(flat, np.array([len(r) for r in rows], np.int64))], ["doc_id", "text"])
@@ -317,7 +336,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in sliced(batches, 128):
+        for b in sliced(batches):
             ids, n = bpe.encode(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), bpe.written(ids, n), bpe.decode(ids, n)], ["doc_id", "n_tokens", "ids", "decoded"])
 

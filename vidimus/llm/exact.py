@@ -82,6 +82,12 @@ def exact_duplicates(docs: DataFrame, identify: Callable[[Column, int], list[Col
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns; of rows that repeat in full, one."""
-    kept = exact_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return semi(docs, kept).dropDuplicates()
+    """The rows of docs that stay, with their own columns; of rows that repeat in full, one.
+
+    Only rows whose doc_id turns up more than once are compared with each other; the list of such ids
+    is written first, so its size is known when the join is planned.
+    """
+    kept = cut_lineage(exact_duplicates(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    repeated = cut_lineage(kept.filter("n > 1").select("doc_id"))
+    once = semi(docs, kept.filter("n = 1"))
+    return once if repeated.isEmpty() else once.unionByName(semi(docs, repeated).dropDuplicates())

@@ -70,7 +70,7 @@ def figures(text: str | None) -> list[float]:
     size = np.array([len(x) for x in lines])
     joined = _KIND[np.frombuffer(b"".join(lines), np.uint8)]
     at = np.cumsum(size) - size
-    per_line = [np.add.reduceat((joined == k).astype(np.int64), at) / size for k in (0, 4, 5)]
+    per_line = [np.add.reduceat(joined == k, at, dtype=np.int64) / size for k in (0, 4, 5)]
     long = size >= 40
     worst = [float(p[long].max(initial=0)) for p in per_line]
     bad = (per_line[0] > 0.4) | (per_line[1] > 0.03) | (per_line[2] > 0.04)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from vidimus.functions.frames import cut_lineage
 from vidimus.functions.workers import ship
-from vidimus.llm.common import raw, sliced
+from vidimus.llm.common import SLICE_ROWS, raw, sliced
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
@@ -77,7 +77,7 @@ def base_figures(texts: list[str | None]) -> np.ndarray:
     ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
     n_words = np.diff(np.r_[0, np.searchsorted(starts, stop)])
     first_bytes = ((flat & 0xC0) != 0x80) & ~space
-    chars, symbols = (np.add.reduceat(x.astype(np.int64), begin) for x in (first_bytes, _SYMBOL[flat]))
+    chars, symbols = (np.add.reduceat(x, begin, dtype=np.int64) for x in (first_bytes, _SYMBOL[flat]))
     offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
     words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat[~space].tobytes())])
     numbered = words.dictionary_encode().indices.to_numpy(zero_copy_only=False) if len(starts) else np.zeros(0, np.int64)
@@ -94,7 +94,7 @@ def figure_table(docs: DataFrame, keep: list[str]) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, len(keep)):
             rows = base_figures(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *(pa.array(rows[:, i].copy()) for i in range(len(BASE)))], [*keep, *BASE])
 
@@ -208,7 +208,8 @@ def kept_documents(docs: DataFrame, labels: DataFrame, risk: float = RISK, confi
 
     @F.pandas_udf("struct<" + ", ".join(f"{n}: long" for n in BASE) + ">")
     def figures(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(base_figures(texts.tolist()), columns=BASE)
+        parts = [base_figures(texts[at : at + SLICE_ROWS].tolist()) for at in range(0, len(texts), SLICE_ROWS)]
+        return pd.DataFrame(np.concatenate([np.zeros((0, len(BASE)), np.int64), *parts]), columns=BASE)
 
     get = lambda n: F.col(f"__figures.{n}")
     right = limits.select(F.col("stratum").alias("__stratum"), F.col("limits").alias("__limits"))
