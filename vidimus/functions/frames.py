@@ -53,6 +53,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a scan out over the session's cores where its files have fewer parts than that.
+
+    A file with a single row group is one task however many cores wait. The rule looks at parts and
+    cores only: a table with a part for each core, and so any large one, keeps the parts of its files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
+
+
 def literal_map(mapping: dict[str, str], key: Column, default: str | None = None) -> Column:
     """Look a value up in a small fixed dictionary, inside the expression (no join)."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]

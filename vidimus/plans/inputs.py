@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas
 from vidimus.functions import text as tx
+from vidimus.functions.frames import spread
+
+
+# tables of long texts, with the key their rows may be dealt out by
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, in the partitions of its files at every size."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def _event_frame(df: DataFrame, **cols) -> DataFrame:
