@@ -6,6 +6,8 @@ no partial or fuzzy match.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,40 +67,56 @@ EQUIVALENT = [
     ("merchantability", "merchantability"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("organisation", "organization"),
     ("per cent", "percent"), ("recognise", "recognize"), ("share alike", "sharealike"), ("copyright owner", "copyright holder"), ("v ([0-9])", "version $1"), ("v([0-9])", "version $1"),
 ]
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that begins as a copyright line and names a year or the sign.
-COPYRIGHT = r"(?m)^[ \t*#/;-]*(?:copyright|\(c\)|\x{A9})[^\n]*(?:[0-9]{4}|\(c\)|\x{A9})[^\n]*$"
-PUNCTUATION = r"[\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}\x{A0}\x{A9}\x{AB}\x{BB}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]+"
+COPYRIGHT = r"^[ \t*#/;-]*(?:copyright|\(c\)|\x{A9})[^\n]*(?:[0-9]{4}|\(c\)|\x{A9})[^\n]*$"
+PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+#: White space and punctuation outside ASCII, and the spaces that PUNCTUATION has left beside them.
+WIDE_PUNCTUATION = r"[ \x{A0}\x{A9}\x{AB}\x{BB}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]+"
 
 
-def with_canonical(rows: DataFrame, text: str, out: str = "canon") -> DataFrame:
-    """rows with `out` in place of text: case, copyright lines, punctuation and equivalent spellings gone.
+def _plain_line(line: Column) -> Column:
+    """One line without case, punctuation, and all of it if it is a copyright line."""
+    low = F.lower(line)
+    said = low.contains("copyright") | low.contains("(c)") | low.contains("\u00a9")
+    bare = F.when(said, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
+    flat = F.regexp_replace(bare, PUNCTUATION, " ")
+    return F.trim(F.when(F.octet_length(line) > F.length(line), F.regexp_replace(flat, WIDE_PUNCTUATION, " ")).otherwise(flat))
 
-    Equivalent spellings matter only where a licence may be named, so other texts skip them.
-    """
-    low = rows.withColumn(text, F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER))
-    stated = F.col(text).contains("copyright") | F.col(text).contains("(c)") | F.col(text).contains("\u00a9")
-    bare = low.withColumn(text, F.when(stated, F.regexp_replace(text, COPYRIGHT, "")).otherwise(F.col(text)))
-    flat = bare.withColumn(text, F.trim(F.regexp_replace(text, PUNCTUATION, " ")))
-    one = F.col(text)
-    for spelled, to in EQUIVALENT:
-        one = F.regexp_replace(one, rf"\b{spelled}\b", to)
-    return flat.withColumn(out, F.when(F.col(text).rlike(HINT), one).otherwise(F.col(text))).drop(text)
 
+def _spelled(text: Column) -> Column:
+    """One of each equivalent spellings; matters only where a licence may be named."""
+    def replaced(t: Column) -> Column:
+        one = t
+        for words, to in EQUIVALENT:
+            one = F.regexp_replace(one, rf"\b{words}\b", to)
+        return F.when(functools.reduce(lambda a, b: a | b, [t.contains(h) for h in HINTS]), one).otherwise(t)
 
-#: Every canonical notice has one of these; no other text can be a known licence.
-HINT = r"licen[cs]|cc by|cc0|copyright|permission"
+    # over a one-element array, for two dozen expressions make a generated method too long to be compiled
+    return F.get(F.transform(F.array(text), replaced), F.lit(0))
 
 
-def with_digest(rows: DataFrame, text: str) -> DataFrame:
-    return with_canonical(rows, text).withColumn("digest", F.sha2("canon", 256)).drop("canon")
+def digests(texts: DataFrame) -> DataFrame:
+    """(doc_id, whole, digest): one row for each whole text and one for each of its lines.
+
+    Every text is normalised once, line by line; the whole text is its lines put together again.
+    """
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _plain_line)
+    cut = texts.select("doc_id", lines.alias("lines"))
+    whole = F.struct(F.lit(True).alias("whole"), F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("t"))
+    each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t")))
+    rows = cut.select("doc_id", F.explode(F.concat(F.array(whole), each)).alias("x")).select("doc_id", "x.whole", "x.t")
+    return rows.select("doc_id", "whole", F.sha2(F.encode(_spelled(F.col("t")), "UTF-8"), 256).alias("digest"))
+
+
+#: Every canonical notice has one of these; no other text can be a known licence.
+HINTS = ["licen", "cc by", "cc0", "copyright", "permission"]
 
 
 def known_licences(spark: SparkSession) -> DataFrame:
     """(licence, digest) of the built-in texts; one row a digest. Callers may join any such table."""
     rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES] + list(TEXTS.items())
-    made = spark.createDataFrame(rows, "licence string, text string")
-    return with_digest(made, "text").groupBy("digest").agg(F.min("licence").alias("licence"))
+    made = spark.createDataFrame(rows, "doc_id string, text string")
+    return digests(made).filter("whole").groupBy("digest").agg(F.min("doc_id").alias("licence"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -106,15 +124,16 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     licence: the known licence that the whole text is, or null. line_licences: those that a whole line
     is, sorted, joined by commas, empty where none; n_licence_lines counts such lines. Null and empty
-    texts match nothing. Rows that repeat a doc_id share the lines found under it. Other columns are
-    not read.
+    texts match nothing. Rows that repeat a doc_id share what is found under it (the first licence by
+    name). Other columns are not read; an empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    whole = with_digest(texts, "text").join(known, "digest", "left").select("doc_id", "licence")
-    lines = texts.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    found = with_digest(lines, "line").join(known, "digest").groupBy("doc_id").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set("licence"))).alias("line_licences"), F.count(F.lit(1)).alias("n_licence_lines")
-    ).withColumnRenamed("doc_id", "of_id")
-    return whole.join(found, whole["doc_id"].eqNullSafe(found["of_id"]), "left").select(
+    on_line = F.when(~F.col("whole"), F.col("licence"))
+    found = digests(texts).join(known, "digest").groupBy(F.col("doc_id").alias("of_id")).agg(
+        F.min(F.when(F.col("whole"), F.col("licence"))).alias("licence"),
+        F.concat_ws(",", F.array_sort(F.collect_set(on_line))).alias("line_licences"), F.count(on_line).alias("n_licence_lines"),
+    )
+    ids = texts.select("doc_id")
+    return ids.join(found, ids["doc_id"].eqNullSafe(found["of_id"]), "left").select(
         "doc_id", "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"), F.coalesce("n_licence_lines", F.lit(0)).cast("long").alias("n_licence_lines")
     )

@@ -26,12 +26,13 @@ def registered(sql: str | None = None) -> Callable[[Plan], Plan]:
 
 def _duck_canonical(text: str) -> str:
     """licences.canonical as DuckDB SQL over the column `text`; built from the same fixed values."""
-    low = f"translate(coalesce({text}, ''), '{licences.UPPER}', '{licences.LOWER}')"
-    flat = f"trim(regexp_replace(regexp_replace({low}, '{licences.COPYRIGHT}', '', 'g'), '{licences.PUNCTUATION}', ' ', 'g'))"
+    low = f"lower(coalesce({text}, ''))"
+    bare = f"regexp_replace({low}, '(?m){licences.COPYRIGHT}', '', 'g')"
+    flat = f"trim(regexp_replace(regexp_replace({bare}, '{licences.PUNCTUATION}', ' ', 'g'), '{licences.WIDE_PUNCTUATION}', ' ', 'g'))"
     one = "flat"
     for spelled, to in licences.EQUIVALENT:
         one = f"regexp_replace({one}, '\\b{spelled}\\b', '{to.replace('$1', chr(92) + '1')}', 'g')"
-    return f"SELECT *, CASE WHEN regexp_matches(flat, '{licences.HINT}') THEN {one} ELSE flat END AS canon FROM (SELECT *, {flat} AS flat"
+    return f"SELECT *, CASE WHEN {' OR '.join(f"contains(flat, '{h}')" for h in licences.HINTS)} THEN {one} ELSE flat END AS canon FROM (SELECT *, {flat} AS flat"
 
 
 def _known_values() -> str:
