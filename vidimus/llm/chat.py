@@ -31,13 +31,14 @@ def turn_table(messages: DataFrame) -> DataFrame:
 
 
 def prefix_hashes(turns: DataFrame, span: int = SPAN) -> DataFrame:
-    """turns with place (1, 2, ..) and prefix: the rolling hash of everything up to the turn."""
-    placed = cut_lineage(running_total(turns.withColumn("one", F.lit(1).cast("long")), ["conv_id"], "turn", "one", "place", span))
-    out = placed.drop("one")
+    """(conv_id, turn, place, prefix): place is 1, 2, .., prefix the rolling hash of everything up to
+    the turn. Only hashes of the messages go through the running sums, never their texts."""
+    own = [F.xxhash64(F.lit(i), F.to_json("said")).alias(f"said{i}") for i in range(LANES)]
+    out = running_total(turns.select("conv_id", "turn", *own, F.lit(1).cast("long").alias("one")), ["conv_id"], "turn", "one", "place", span).drop("one")
     for i in range(LANES):
-        own = F.xxhash64(F.lit(i), "place", F.to_json("said")).bitwiseAND(F.lit((1 << 31) - 1))
-        out = running_total(out.withColumn("own", own), ["conv_id"], "turn", "own", f"lane{i}", span).drop("own")
-    return cut_lineage(out.withColumn("prefix", F.array(*[f"lane{i}" for i in range(LANES)])).drop(*[f"lane{i}" for i in range(LANES)]))
+        here = F.xxhash64(f"said{i}", "place").bitwiseAND(F.lit((1 << 31) - 1))
+        out = running_total(out.withColumn(f"said{i}", here), ["conv_id"], "turn", f"said{i}", f"lane{i}", span).drop(f"said{i}")
+    return cut_lineage(out.select("conv_id", "turn", "place", F.array(*[f"lane{i}" for i in range(LANES)]).alias("prefix")))
 
 
 def maximal_conversations(hashed: DataFrame) -> DataFrame:
@@ -61,7 +62,12 @@ def format_chats(messages: DataFrame, span: int = SPAN) -> DataFrame:
     begins, so a conversation of any length is written by many tasks. Rows without a conv_id are left
     out; null roles and texts count as empty; an empty table gives no rows; other columns are not read.
     """
-    hashed = prefix_hashes(turn_table(messages), span)
-    kept = hashed.join(maximal_conversations(hashed), "conv_id").select("conv_id", "turn", "place", render("said").alias("rendered"), "turns")
-    sized = running_total(kept.withColumn("chars", F.length("rendered").cast("long")), ["conv_id"], "turn", "chars", "char_end", span)
-    return sized.select("conv_id", F.col("place").cast("long").alias("place"), "rendered", (F.col("char_end") - F.col("chars")).alias("char_start"), F.col("turns").cast("long").alias("turns"))
+    said = cut_lineage(turn_table(messages))
+    hashed = prefix_hashes(said, span)
+    kept = hashed.join(maximal_conversations(hashed), "conv_id").select("conv_id", "turn", "place", "turns")
+    shown = said.select("conv_id", "turn", render("said").alias("rendered"))
+    chars = shown.select("conv_id", "turn", F.length("rendered").cast("long").alias("chars"))
+    sized = running_total(kept.join(chars, ["conv_id", "turn"]), ["conv_id"], "turn", "chars", "char_end", span)
+    return sized.join(shown, ["conv_id", "turn"]).select(
+        "conv_id", F.col("place").cast("long").alias("place"), "rendered", (F.col("char_end") - F.col("chars")).alias("char_start"), F.col("turns").cast("long").alias("turns")
+    )
