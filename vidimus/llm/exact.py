@@ -16,7 +16,7 @@ from vidimus.functions.frames import cut_lineage
 from vidimus.llm.common import semi
 
 #: A chunk ends after six characters in a row whose code points are 0 or 1 modulo 4, of ASCII.
-LEAST, MOST, RUN = 64, 4096, 6
+LEAST, MOST, RUN = 512, 8192, 6
 
 
 def _half() -> str:
