@@ -164,6 +164,28 @@ def test_binomial_tail_and_certificates():
     assert rules.certified([], 0, 0.004, 0.0025) == 0
 
 
+def test_rules_act_in_small_strata(spark):
+    """Four languages of 311 to 488 good labels (as sf0.1 has them), at the production risk and confidence."""
+    rnd = random.Random(9)
+    body = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(40))
+    docs, labels = [], []
+    for lang, n in [("de", 488), ("fr", 490), ("es", 311), ("en", 400), ("xx", 50)]:
+        for i in range(n + 20):
+            docs.append((len(docs), body() + (f" $$$$$$$$$$$$$$$$$$$$$$$$$${i}" if i >= n else ""), lang))
+            labels.append((docs[-1][0], int(i < n), 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    quality = {i: q for i, q, _ in labels}
+    kept = {}
+    for r in rules.judge(df, lab).collect():
+        assert not r["base_failed"]
+        kept.setdefault((docs[r["doc_id"]][2], quality[r["doc_id"]]), []).append(r["kept"])
+    for lang in ("de", "fr", "es", "en"):
+        assert all(kept[lang, 1]) and not any(kept[lang, 0])
+    assert all(kept["xx", 1]) and all(kept["xx", 0])  # 50 labels say nothing about 2 % at 99 %
+    assert sorted({r for r, _ in rules.WALK}) == sorted(rules.LADDERS) and len(rules.WALK) == sum(map(len, rules.LADDERS.values()))
+
+
 def test_thresholds_control_risk(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))

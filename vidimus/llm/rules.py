@@ -1,11 +1,12 @@
 """Quality rules whose thresholds are risk-controlled on labelled holdouts.
 
-Each rule is a figure of the text with a fixed ladder of cutoffs, from lax to strict. In every stratum
-(language) the ladder is walked down on the labelled good documents: a cutoff holds as long as the
-exact binomial bound on its false-rejection rate stays under the rule's share of the allowed risk. The
-walk stops at the first cutoff that fails, so the ladder itself needs no correction (fixed-sequence
-testing); the confidence is divided by the number of strata and rules (Bonferroni). Then, with the
-given confidence, no stratum loses more than the allowed share of its good documents to all rules.
+Each rule is a figure of the text with a fixed ladder of cutoffs, from lax to strict. The ladders are
+merged into one walk in a fixed order, each step one cutoff further in one rule. In every stratum
+(language) it is walked on the labelled good documents: a step holds as long as the exact binomial
+bound on the share of them that all rules together reject there stays under the allowed risk. The walk
+stops at the first step that fails, so neither steps nor rules need a correction (fixed-sequence
+testing); the confidence is divided by the number of strata only (Bonferroni). Then, with the given
+confidence, no stratum loses more than the allowed share of its good documents to all rules.
 """
 from __future__ import annotations
 
@@ -36,6 +37,8 @@ LADDERS: dict[str, list[float]] = {
     "chars_per_word": [30.0, 20.0, 15.0, 12.0, 10.0, 9.0, 8.0],
     "words_per_char": [0.9, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3],
 }
+#: The walk: (rule, cutoff) of each step. Rules advance alike, each by its share of its own ladder.
+WALK = [(rule, cutoff) for _, rule, cutoff in sorted(((i + 1) / len(v), rule, c) for rule, v in LADDERS.items() for i, c in enumerate(v))]
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -141,30 +144,29 @@ def certified(rejected: list[int], n: int, risk: float, error: float) -> int:
 
 
 def cutoffs(table: DataFrame, labels: DataFrame, stratum: str = "stratum", risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """(stratum, rule, cutoff, n, rejected): the strictest certified cutoff of each rule and stratum.
+    """(stratum, rule, cutoff, n, rejected): the cutoff of each rule where its stratum's walk ends.
 
-    Learnt from documents that labels call good (quality = 1) and the base rules let pass. Rules for
-    which nothing is certified have no row. Ids with two different labels are not used.
+    Learnt from documents that labels call good (quality = 1) and the base rules let pass; rejected
+    counts those of the n over any cutoff of the stratum. Rules that the walk does not reach have no
+    row. Ids with two different labels are not used.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
     holdout = table.filter(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(good, "doc_id", "left_semi")
-    over = [
-        F.struct(F.lit(name).alias("rule"), sum((fig > c).cast("int") for c in LADDERS[name]).alias("steps")) for name, fig in rule_figures(F.col).items()
-    ]
-    counted = cut_lineage(holdout.select(stratum, F.explode(F.array(*over)).alias("x")).groupBy(stratum, "x.rule", "x.steps").agg(F.count(F.lit(1)).alias("n")))
-    strata = counted.select(stratum).distinct().count()
-    share, error = risk / len(LADDERS), (1 - confidence) / (max(1, strata) * len(LADDERS))
+    figures = rule_figures(F.col)
+    first = F.least(*[F.when(figures[rule] > c, F.lit(i)) for i, (rule, c) in enumerate(WALK)], F.lit(len(WALK)))
+    counted = cut_lineage(holdout.select(stratum, first.alias("first")).groupBy(stratum, "first").agg(F.count(F.lit(1)).alias("n")))
+    error = (1 - confidence) / max(1, counted.select(stratum).distinct().count())
 
     def choose(part: pd.DataFrame) -> pd.DataFrame:
-        rule = part["rule"].iloc[0]
-        ladder, n = LADDERS[rule], int(part["n"].sum())
-        # cutoffs fall along the ladder, so a document over one is over all the stricter ones behind it
-        rejected = [int(part.loc[part["steps"] >= len(ladder) - i, "n"].sum()) for i in range(len(ladder))]
-        held = certified(rejected, n, share, error)
-        return pd.DataFrame([(part[stratum].iloc[0], rule, ladder[held - 1], n, rejected[held - 1])] if held else [], columns=[stratum, "rule", "cutoff", "n", "rejected"])
+        n = int(part["n"].sum())
+        # each step is at least as strict as the one before, so a document rejected there stays rejected
+        rejected = [int(part.loc[part["first"] <= i, "n"].sum()) for i in range(len(WALK))]
+        held = certified(rejected, n, risk, error)
+        limits = dict(WALK[:held])
+        return pd.DataFrame([(part[stratum].iloc[0], rule, c, n, rejected[held - 1]) for rule, c in limits.items()], columns=[stratum, "rule", "cutoff", "n", "rejected"])
 
     kind = dict(counted.dtypes)[stratum]
-    return counted.groupBy(stratum, "rule").applyInPandas(choose, f"{stratum} {kind}, rule string, cutoff double, n long, rejected long")
+    return counted.groupBy(stratum).applyInPandas(choose, f"{stratum} {kind}, rule string, cutoff double, n long, rejected long")
 
 
 def passes(limits: Column, get) -> Column:
