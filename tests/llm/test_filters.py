@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -33,6 +34,25 @@ def test_licence_spellings_meet(spark):
     assert licences.scan(df.limit(0), licences.known_licences(spark)).count() == 0
 
 
+def test_whole_licences_in_their_usual_forms(spark):
+    def wrap(t, width):  # copyright lines stay lines
+        filled = lambda p: textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False)
+        return "\n\n".join(p if re.search(r"copyright (\(c\)|\[yyyy)", p.lower()) else filled(p) for p in re.split(r"\n\s*\n", t))
+
+    rows = [(k, v) for k, t in licences.TEXTS.items() for v in (t, wrap(t, 34), wrap(t, 61), f"Copyright The Jane Doe Authors\nAll rights reserved.\n\n{t}", f"\u00a9 Jane Doe\n{t}")]
+    for k in ("0BSD", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib"):
+        rows.append((k, f"{licences.NAMES[k][0]}\n\nCopyright Jane Doe and others\n\n{licences.TEXTS[k]}"))
+    for k in ("BSD-2-Clause", "BSD-3-Clause"):
+        rows.append((k, "Copyright: Jane Doe\n" + re.sub(r"(?m)^\d\. ", "  * ", licences.TEXTS[k])))
+    rows += [("Apache-2.0", licences.TEXTS["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Jane Doe"))]
+    rows += [(k, licences.TEXTS[k].split("END OF TERMS")[0]) for k in ("Apache-2.0", "GPL-2.0", "GPL-3.0")]
+    rows += [(None, licences.TEXTS[k] + "\nand more") for k in ("Zlib", "GPL-3.0")] + [(None, licences.TEXTS["GPL-2.0"].replace("warranty", "guarantee"))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licence"] for r in licences.scan(df, licences.known_licences(spark)).collect()}
+    assert [(i, rows[i][1][:60], got[i]) for i in got if got[i] != rows[i][0]] == []
+    assert set(licences.NAMES) - set(licences.TEXTS) == {"AGPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0"}  # notices only
+
+
 # --- urls -----------------------------------------------------------------------------------------
 
 

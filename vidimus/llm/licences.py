@@ -7,6 +7,9 @@ no partial or fuzzy match.
 from __future__ import annotations
 
 import functools
+import re
+from collections.abc import Iterator
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,16 +39,55 @@ NOTICES = [
     "{}", "the {}", "Licensed under {}.", "Licensed under the {}.", "Released under {}.", "Released under the {}.", "Distributed under the {}.",
     "This work is licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.",
 ]
-#: Full texts of short licences.
-TEXTS = {
-    "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
-granted, provided that the above copyright notice and this permission notice appear in all copies.
-
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
+_GRANT = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted"""
+_NO_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL
 IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
 INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
 ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
-THIS SOFTWARE.""",
+THIS SOFTWARE."""
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+"""
+_BSD_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+
+"""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF
+THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Long licences are files beside this module, and how many lines that are not blank their title may have.
+FILES = {"Apache-2.0": [3], "CC-BY-SA-4.0": [2], "CC0-1.0": [1, 2], "EPL-2.0": [1], "GPL-2.0": [2], "GPL-3.0": [2], "LGPL-3.0": [2], "MPL-2.0": [2]}
+#: Full texts, the short ones without a title.
+TEXTS = {k: resources.files(__package__).joinpath("licence_texts", f"{k}.txt").read_text("utf-8") for k in FILES} | {
+    "0BSD": f"{_GRANT}.\n\n{_NO_WARRANTY}",
+    "BSD-2-Clause": f"{_BSD}{_BSD_END}",
+    "BSD-3-Clause": f"{_BSD}{_BSD_THIRD}{_BSD_END}",
+    "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it
+and redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If
+you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not
+required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution.""",
+    "ISC": f"{_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_NO_WARRANTY}",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the
 rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
@@ -67,8 +109,13 @@ EQUIVALENT = [
     ("merchantability", "merchantability"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("organisation", "organization"),
     ("per cent", "percent"), ("recognise", "recognize"), ("share alike", "sharealike"), ("copyright owner", "copyright holder"), ("v ([0-9])", "version $1"), ("v([0-9])", "version $1"),
 ]
-#: A line that begins as a copyright line and names a year or the sign.
-COPYRIGHT = r"^[ \t*#/;-]*(?:copyright|\(c\)|\x{A9})[^\n]*(?:[0-9]{4}|\(c\)|\x{A9})[^\n]*$"
+#: What stands behind "copyright" within a licence, where a line may be broken before or behind it: no holder's name.
+INSIDE = sorted({rf"{a}(?:[^a-z\n]+{b}\b|[^a-z\n]*$)" for t in TEXTS.values() for a, b in re.findall(r"copyright[\s:,]+([a-z]+)[^a-z]+([a-z]+)", t.lower())})
+#: A line that begins as a copyright line and names a year or the sign, one that names a holder, one that reserves all rights.
+COPYRIGHT = (
+    r"^[ \t*#/;-]*(?:(?:copyright|\(c\)|\x{A9})[^\n]*(?:[0-9]{4}|\(c\)|\x{A9})[^\n]*"
+    rf"|(?:copyright[ \t:,]+(?!{'|'.join(INSIDE)})|\x{{A9}}[ \t]*)[a-z<\[{{\x{{80}}-\x{{10FFFF}}][^\n]*|all rights reserved[ \t.!]*)$"
+)
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: White space and punctuation outside ASCII, and the spaces that PUNCTUATION has left beside them.
 WIDE_PUNCTUATION = r"[ \x{A0}\x{A9}\x{AB}\x{BB}\x{2013}\x{2014}\x{2018}\x{2019}\x{201C}\x{201D}]+"
@@ -77,7 +124,7 @@ WIDE_PUNCTUATION = r"[ \x{A0}\x{A9}\x{AB}\x{BB}\x{2013}\x{2014}\x{2018}\x{2019}\
 def _plain_line(line: Column) -> Column:
     """One line without case, punctuation, and all of it if it is a copyright line."""
     low = F.lower(line)
-    said = low.contains("copyright") | low.contains("(c)") | low.contains("\u00a9")
+    said = low.contains("copyright") | low.contains("(c)") | low.contains("\u00a9") | low.contains("rights reserved")
     bare = F.when(said, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
     flat = F.regexp_replace(bare, PUNCTUATION, " ")
     return F.trim(F.when(F.octet_length(line) > F.length(line), F.regexp_replace(flat, WIDE_PUNCTUATION, " ")).otherwise(flat))
@@ -112,11 +159,28 @@ def digests(texts: DataFrame) -> DataFrame:
 HINTS = ["licen", "cc by", "cc0", "copyright", "permission"]
 
 
+def known_texts() -> Iterator[tuple[str, str]]:
+    """(licence, text) of every form that is known as a whole: with and without its title, its numbers
+    of clauses (BSD), and what is said behind the end of its terms. MIT has no titled form: its title
+    line stays text of its own."""
+    for k, text in TEXTS.items():
+        lines = [x for x in text.split("\n") if x.strip()]
+        plain = [text] + (["\n".join(re.sub(r"^\d\. ", "", x) for x in lines)] if k.startswith("BSD") else [])
+        titles = [t for name in NAMES[k] for t in (name, f"The {name}")] if k not in FILES and k != "MIT" else []
+        for form in [*plain, *("\n".join(lines[n:]) for n in FILES.get(k, [])), *(f"{t}\n{p}" for t in titles for p in plain)]:
+            yield k, form
+            terms, end, _ = form.partition("END OF TERMS AND CONDITIONS")
+            if end:
+                yield k, terms
+                yield k, terms + end
+
+
 def known_licences(spark: SparkSession) -> DataFrame:
     """(licence, digest) of the built-in texts; one row a digest. Callers may join any such table."""
-    rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES] + list(TEXTS.items())
-    made = spark.createDataFrame(rows, "doc_id string, text string")
-    return digests(made).filter("whole").groupBy("digest").agg(F.min("doc_id").alias("licence"))
+    rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES] + list(known_texts())
+    made = digests(spark.createDataFrame(rows, "doc_id string, text string")).filter("whole").groupBy("digest").agg(F.min("doc_id").alias("licence"))
+    # some hundred rows, collected so that joins see their size and not that of the texts
+    return spark.createDataFrame(made.collect(), "digest string, licence string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
