@@ -92,6 +92,15 @@ def test_verdicts_equal_plain_lookup(spark, max_bits):
     assert {r["verdict"] for r in none.collect()} == {"allow"}
 
 
+def test_parts_are_sized_by_all_keys(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(urls, "build_cascade", lambda universe: sizes.append(universe.count()) or urls.Cascade())
+    rows = spark.range(20000).select(F.concat(F.lit("k"), "id").alias("key"))
+    urls.mark_listed(rows, "key", rows.limit(10), "hit", 20000)
+    # an unlisted key may pass level 0, and then needs its place in level 1
+    assert len(sizes) == 6 and sum(sizes) == 20000 and max(sizes) * urls.BITS_PER_KEY < 1.2 * 20000
+
+
 def test_a_cascade_alternates(spark):
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 5 == 0).alias("listed"))
     cascade = urls.build_cascade(keys)

@@ -4,8 +4,8 @@ The cascade knows the whole key universe. Level 0 holds the listed keys; level 1
 level 0 lets through; level 2 the listed keys that level 1 lets through; and so on until nothing is let
 through wrongly. Walking the levels gives exact membership for every key of the universe. A level is
 one array of 64-bit words that every task reads as a value, so rows are judged without any join. A
-level is at most MAX_BITS long; a longer list is dealt by hash to several cascades, each with its own
-pass over the rows, so no task holds more than one level set of that size.
+larger universe is dealt by hash to several cascades, each with its own pass over the rows, so that all
+keys of one, listed or not, would fit a level of MAX_BITS (as evenly as the hash deals them).
 """
 from __future__ import annotations
 
@@ -109,7 +109,7 @@ def mark_listed(rows: DataFrame, key: str, listed: DataFrame, out: str = "listed
     named = listed.select(F.coalesce(F.col("key"), F.lit("")).alias("key"), F.lit(True).alias("listed"))
     both = keys.unionByName(named).groupBy("key").agg(F.max("listed").alias("listed"), F.min("listed").alias("outside"))
     universe = cut_lineage(both.filter(~F.col("outside")).select("key", "listed"))
-    parts = max(1, math.ceil(universe.filter("listed").count() * BITS_PER_KEY / max_bits))
+    parts = max(1, math.ceil(universe.count() * BITS_PER_KEY / max_bits))
     probe = F.coalesce(F.col(key), F.lit(""))
 
     def part_of(k: Column) -> Column:
