@@ -1,9 +1,9 @@
 """SimHash near-duplicates by tables of distances to reference fingerprints (pivots).
 
 Equal fingerprints are one vertex. Two fingerprints that differ in at most `bits` bits agree wholly on
-at least `same` of `blocks` aligned blocks of bits. Such agreement is what references that lie inside
-those blocks show (their coordinates are equal), and it is the key by which candidates meet. Where
-candidates meet, a table of Hamming distances to many reference fingerprints is filled once; pairs
+at least `same` of `blocks` aligned blocks of bits, and equal bits there are the key by which candidates
+meet; pivots select no candidate. Where candidates meet, a table of Hamming distances to many reference
+fingerprints (the pivots) is filled once and only discards: pairs
 whose largest coordinate difference is over `bits` are discarded (triangle inequality), the survivors
 are verified bit by bit. A set that shares a key gives a spanning forest of its links, never its pairs,
 and is dealt in tiles of bounded size: nothing is capped, and no task holds more than two tiles.
