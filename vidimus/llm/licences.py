@@ -111,10 +111,11 @@ EQUIVALENT = [
 ]
 #: What stands behind "copyright" within a licence, where a line may be broken before or behind it: no holder's name.
 INSIDE = sorted({rf"{a}(?:[^a-z\n]+{b}\b|[^a-z\n]*$)" for t in TEXTS.values() for a, b in re.findall(r"copyright[\s:,]+([a-z]+)[^a-z]+([a-z]+)", t.lower())})
-#: A line that begins as a copyright line and names a year or the sign, one that names a holder, one that reserves all rights.
-COPYRIGHT = (
-    r"^[ \t*#/;-]*(?:(?:copyright|\(c\)|\x{A9})[^\n]*(?:[0-9]{4}|\(c\)|\x{A9})[^\n]*"
-    rf"|(?:copyright[ \t:,]+(?!{'|'.join(INSIDE)})|\x{{A9}}[ \t]*)[a-z<\[{{\x{{80}}-\x{{10FFFF}}][^\n]*|all rights reserved[ \t.!]*)$"
+#: A line that begins as a copyright line and names a year or the sign.
+COPYRIGHT = r"^[ \t*#/;-]*(?:copyright|\(c\)|\x{A9})[^\n]*(?:[0-9]{4}|\(c\)|\x{A9})[^\n]*$"
+#: A line that names a holder without a year, and one that reserves all rights.
+HOLDER = (
+    rf"^[ \t*#/;-]*(?:(?:copyright[ \t:,]+(?!{'|'.join(INSIDE)})|\x{{A9}}[ \t]*)[a-z<\[{{\x{{80}}-\x{{10FFFF}}][^\n]*|all rights reserved[ \t.!]*)$"
 )
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: White space and punctuation outside ASCII, and the spaces that PUNCTUATION has left beside them.
@@ -125,7 +126,7 @@ def _plain_line(line: Column) -> Column:
     """One line without case, punctuation, and all of it if it is a copyright line."""
     low = F.lower(line)
     said = low.contains("copyright") | low.contains("(c)") | low.contains("\u00a9") | low.contains("rights reserved")
-    bare = F.when(said, F.regexp_replace(low, COPYRIGHT, "")).otherwise(low)
+    bare = F.when(said, F.regexp_replace(F.regexp_replace(low, COPYRIGHT, ""), HOLDER, "")).otherwise(low)
     flat = F.regexp_replace(bare, PUNCTUATION, " ")
     return F.trim(F.when(F.octet_length(line) > F.length(line), F.regexp_replace(flat, WIDE_PUNCTUATION, " ")).otherwise(flat))
 
