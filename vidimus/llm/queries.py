@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidimus.llm import bpe, chat, exact, licences, lm, packing, quality, rules, simhash, urls
+from vidimus.llm import bpe, chat, exact, licences, lm, packing, quality, rules, simhash, suffixes, urls
 from vidimus.llm.common import read
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +154,24 @@ def op9_exact_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, s, md5(b[s + 1 : s + 200]) AS k FROM (SELECT r, b, unnest(range(octet_length(b) - 199)) AS s FROM d)),
+twice AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+marked AS (SELECT r, s, coalesce(s > lag(s) OVER (PARTITION BY r ORDER BY s) + 200, true) AS new FROM twice),
+runs AS (SELECT r, s, sum(CAST(new AS INT)) OVER (PARTITION BY r ORDER BY s) AS span FROM marked),
+spans AS (SELECT r, min(s) AS b0, max(s) + 200 AS b1 FROM runs GROUP BY r, span),
+cuts AS (SELECT r, b0, b1 FROM spans UNION ALL SELECT r, octet_length(b), octet_length(b) FROM d),
+kept AS (SELECT r, b0, b1, coalesce(lag(b1) OVER (PARTITION BY r ORDER BY b0, b1), 0) AS past FROM cuts),
+pieces AS (SELECT r, b1 - b0 AS gone, b0, b1, CASE WHEN b0 > past THEN hex(b[past + 1 : b0]) ELSE '' END AS piece FROM kept JOIN d USING (r))
+SELECT doc_id, CAST(octet_length(any_value(b)) AS BIGINT) AS n_bytes, CAST(sum(gone) AS BIGINT) AS n_removed, count(*) FILTER (gone > 0) AS n_spans,
+  sha256(unhex(string_agg(piece, '' ORDER BY b0, b1))) AS kept_sha256
+FROM pieces JOIN d USING (r) GROUP BY r, doc_id
+"""
+
+
+@registered(OP11_SQL)
+def op11_suffix_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, sf_dir, "documents")).drop("spans")
