@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidimus.llm import bpe, chat, exact, licences, lm, negatives, packing, quality, rules, simhash, suffixes, urls
+from vidimus.llm import alignment, bpe, chat, exact, licences, lm, negatives, packing, quality, rules, simhash, suffixes, urls
 from vidimus.llm.common import read
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -193,3 +193,8 @@ FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 *
 @registered(OP12_SQL)
 def op12_segment_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+@registered()
+def op13_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
