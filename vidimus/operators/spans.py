@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
 from vidimus.functions.frames import top_k_per
+from vidimus.operators.phrase_index import add_spans
+from vidimus.operators.phrases import match_phrases
 
 MIN_RUN_CHARS = 2
 TAG = "<[^>]+>"
-ANCHOR_LENGTHS = (16, 8, 4, 2, 1)
 
 
 def judged_runs(body: Column | str, min_chars: int = MIN_RUN_CHARS, cls: str = tx.HAN_RUN) -> Column:
@@ -28,7 +29,8 @@ def judged_runs(body: Column | str, min_chars: int = MIN_RUN_CHARS, cls: str = t
 
 
 def citable_spans(docs: DataFrame, min_chars: int = MIN_RUN_CHARS, cls: str = tx.HAN_RUN) -> tuple[DataFrame, DataFrame]:
-    """Spans that can be located without doubt, numbered in document order, and the ledger of the rest."""
+    """Spans that can be located without doubt, with their place among the document's distinct runs, and
+    the ledger of the rest (C1)."""
     runs = docs.select("doc", F.posexplode(judged_runs("body", min_chars, cls)).alias("ord", "r")).select("doc", "ord", "r.*")
     ledger = runs.groupBy("outcome").agg(F.count(F.lit(1)).alias("runs"))
     return runs.filter("outcome = 'citable'").select("doc", F.col("ord").alias("span_no"), "span"), ledger
@@ -46,44 +48,14 @@ def span_report(docs: DataFrame, min_chars: int = MIN_RUN_CHARS, cls: str = tx.H
     )
 
 
-def build_span_table(docs: DataFrame, path: str, partition: Column | None = None, **kw) -> DataFrame:
-    """Write the span table, partitioned by collection, and return the build report.
-
-    The report reads the documents again with the same row-local expression rather than caching them.
-    """
+def build_span_table(docs: DataFrame, root: str, **kw) -> tuple[DataFrame, DataFrame]:
+    """Index the citable spans of documents the index below `root` does not hold yet; the builds so far
+    and the report of these documents (C2). Search it with `phrase_index.search_index`."""
     spans, _ = citable_spans(docs, **kw)
-    if partition is None:
-        spans.write.mode("errorifexists").parquet(path)
-    else:
-        spans.withColumn("collection", partition).write.mode("errorifexists").partitionBy("collection").parquet(path)
-    return span_report(docs, **kw)
+    return add_spans(spans, root), span_report(docs, **kw)
 
 
 # --- phrase search --------------------------------------------------------------------------------------
-def match_phrases(rows: DataFrame, text: str, queries: DataFrame, phrase: str = "query") -> DataFrame:
-    """Rows joined to every query whose phrase their text contains; blank phrases match nothing.
-
-    One plan for lists of any length. A query's leading 16, 8, 4, 2 or 1 characters are its anchor and
-    must occur in the text. Only a text's hash and its grams are exploded and met with the anchors; the
-    text itself is joined back once for the pairs that are left, and the whole phrase is checked there,
-    so a hash that two texts share costs a check and never a wrong row.
-    """
-    live = queries.filter(tx.strip_space(phrase) != "")
-    length, size = F.length(phrase), F.lit(1)
-    for n in reversed(ANCHOR_LENGTHS):
-        size = F.when(length >= n, F.lit(n)).otherwise(size)
-    keyed = live.withColumn("_n", size).withColumn("_anchor", F.substring(F.col(phrase), F.lit(1), F.col("_n")))
-    lengths = [r["_n"] for r in keyed.select("_n").distinct().collect()]  # at most five values
-    grams = F.array_distinct(F.concat(*[tx.grams_of_length(text, n) for n in sorted(lengths)])) if lengths else F.array().cast("array<string>")
-    anchors = keyed.select("_anchor").distinct()
-    met = rows.select(F.xxhash64(text).alias("_text"), F.explode(grams).alias("_anchor")).join(anchors, "_anchor", "left_semi").distinct()
-    pairs = met.join(keyed.drop("_n"), "_anchor").drop("_anchor")
-    return (
-        rows.withColumn("_text", F.xxhash64(text)).join(pairs, "_text").filter(F.contains(F.col(text), F.col(phrase)))
-        .select(*rows.columns, *queries.columns)
-    )
-
-
 def search(spans: DataFrame, queries: DataFrame, k: int | None = 20, order: list[str] | None = None) -> DataFrame:
     """Documents with a span that contains the phrase, the first such span each, in corpus order.
 

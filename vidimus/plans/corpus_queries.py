@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
-from vidimus.functions.frames import cut_lineage
+from vidimus.functions.frames import cut_lineage, scratch_path
+from vidimus.operators import phrase_index as pi
 from vidimus.operators import spans as sp
 from vidimus.operators import verify as vf
 from vidimus.operators import xref as xr
@@ -25,15 +26,15 @@ SPAN_SQL = r"""
 ch AS (SELECT page_id AS doc, html, unnest(string_split_regex(html, '<[^>]+>')) AS raw, generate_subscripts(string_split_regex(html, '<[^>]+>'), 1) AS i FROM pages),
 tr AS (SELECT doc, html, i, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS span FROM ch),
 uq AS (SELECT doc, any_value(html) AS html, span, min(i) AS i FROM tr WHERE span <> '' GROUP BY doc, span),
-jd AS (SELECT doc, span, i, CASE WHEN length(span) < 2 OR NOT regexp_matches(span, '\p{L}') THEN 'too_short'
+jd AS (SELECT doc, span, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS span_no, CASE WHEN length(span) < 2 OR NOT regexp_matches(span, '\p{L}') THEN 'too_short'
   WHEN strpos(html, span) = 0 OR strpos(substr(html, strpos(html, span) + 1), span) > 0 THEN 'not_unique' ELSE 'citable' END AS outcome FROM uq),
-spn AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS span_no, span FROM jd WHERE outcome = 'citable')
+spn AS (SELECT doc, span_no, span FROM jd WHERE outcome = 'citable')
 """
 
 
-@query("citable_spans", f"WITH {SPAN_SQL} SELECT doc, span FROM spn")
+@query("citable_spans", f"WITH {SPAN_SQL} SELECT doc, span_no, span FROM spn")
 def citable_spans(spark, sf):
-    return sp.citable_spans(_pages(spark, sf), cls=LET)[0].select("doc", "span")
+    return sp.citable_spans(_pages(spark, sf), cls=LET)[0].withColumn("span_no", F.col("span_no").cast("bigint"))
 
 
 @query("span_ledger", f"WITH {SPAN_SQL} SELECT outcome, count(*) AS runs FROM jd GROUP BY 1")
@@ -65,14 +66,44 @@ def phrase_search(spark, sf):
     return sp.search(inp.line_spans(spark, sf), inp.phrases(spark, sf), k=5).select("query_id", "doc", "span_no", "span")
 
 
-# every first turn of a conversation and every benchmark sentence as a phrase over whole texts
-@query("phrase_search_many", f"""WITH {inp.PHRASES_SQL}, many AS (SELECT query_id, query FROM qs UNION ALL SELECT -1 - conv_id, text FROM conversations WHERE turn = 0)
-SELECT query_id, count(*) AS docs, min(doc_id) AS first_doc FROM many JOIN documents d ON contains(d.text, many.query) WHERE trim(query) <> '' GROUP BY 1""")
+# one phrase of every document (its longest line), every turn of a conversation and every benchmark sentence, over whole texts
+@query("phrase_search_many", f"""WITH {inp.PHRASES_SQL}, ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+many AS (SELECT query FROM qs UNION SELECT line FROM (SELECT line FROM ln QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(line) DESC, i) = 1) UNION SELECT text FROM conversations)
+SELECT query, count(*) AS docs, min(doc_id) AS first_doc FROM many JOIN documents d ON contains(d.text, many.query) WHERE trim(query) <> '' GROUP BY 1""")
 def phrase_search_many(spark, sf):
     docs = inp.table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text")
-    said = inp.table(spark, sf, "conversations").filter("turn = 0").select((-1 - F.col("conv_id")).alias("query_id"), F.col("text").alias("query"))
-    hits = sp.match_phrases(docs, "text", inp.phrases(spark, sf).unionByName(said))
-    return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first_doc"))
+    longest = F.array_max(F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))["t"]
+    said = inp.table(spark, sf, "conversations").select(F.col("text").alias("query"))
+    many = inp.phrases(spark, sf).select("query").union(docs.select(longest.alias("query"))).union(said).distinct()
+    hits = sp.match_phrases(docs, "text", many)
+    return hits.groupBy("query").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first_doc"))
+
+
+# pieces of five lengths of every page's first citable span, looked up in the index that holds all pages
+PIECES_SQL = """pc AS (SELECT DISTINCT q FROM (SELECT unnest([span, substr(span, 1, 12), substr(span, 2, 3), substr(span, 2, 2), substr(span, 1, 1)]) AS q FROM spn QUALIFY row_number() OVER (PARTITION BY doc ORDER BY span_no) = 1) WHERE trim(q) <> '')"""
+
+
+def _span_index(spark, sf):
+    """The index of all pages, built in two steps: first the pages with even ids, then all."""
+    root = scratch_path(spark, "span-index")
+    pages = _pages(spark, sf)
+    sp.build_span_table(pages.filter("doc % 2 = 0"), root, cls=LET)
+    return root, sp.build_span_table(pages, root, cls=LET)[0]
+
+
+@query("span_index_builds", f"WITH {SPAN_SQL} SELECT CAST(doc % 2 AS INT) AS build, count(DISTINCT doc) AS documents, count(*) AS spans FROM spn GROUP BY 1")
+def span_index_builds(spark, sf):
+    return _span_index(spark, sf)[1].select("build", "documents", "spans")
+
+
+@query("span_index_search", f"WITH {SPAN_SQL}, {PIECES_SQL} SELECT q AS query, doc, min(span_no) AS span_no, arg_min(span, span_no) AS span FROM pc JOIN spn ON contains(span, q) GROUP BY 1, 2")
+def span_index_search(spark, sf):
+    root, _ = _span_index(spark, sf)
+    first = sp.citable_spans(_pages(spark, sf), cls=LET)[0].groupBy("doc").agg(F.min_by("span", "span_no").alias("span"))
+    cut = lambda at, n: F.substring("span", at, n)
+    pieces = first.select(F.explode(F.array(F.col("span"), cut(1, 12), cut(2, 3), cut(2, 2), cut(1, 1))).alias("query")).distinct()
+    hits = pi.search_index(spark, root, pieces.withColumn("query_id", F.xxhash64("query")))
+    return hits.select("query", F.col("doc").cast("bigint").alias("doc"), "span_no", "span")
 
 
 @query("collection_search", f"WITH {HITS_SQL} SELECT query_id, doc FROM (SELECT * FROM hit WHERE starts_with(CAST(doc AS VARCHAR), '1')) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CAST(doc AS VARCHAR)) <= 3")
@@ -177,18 +208,23 @@ def record_windows(spark, sf):
     return sp.record_window(docs, 120, offset=50).drop("raw_total_chars", "offsets_align")
 
 
-@query("shared_segments", """WITH w AS (SELECT doc_id AS key, CAST(doc_id % 40 AS BIGINT) AS start, substr(text, CAST(doc_id % 40 AS INTEGER) + 1, 200) AS text FROM documents WHERE length(text) > doc_id % 40),
-r AS (SELECT doc_id AS key, unnest([10 + doc_id % 50, 30 + doc_id % 20, 150, 190 + doc_id % 30]) AS a, unnest([40 + doc_id % 50, 30 + doc_id % 20 + doc_id % 25, 160, 300]) AS b FROM documents),
-c AS (SELECT key, start, text, unnest(range(CAST(length(text) AS BIGINT))) AS i FROM w), f AS (SELECT c.*, EXISTS (SELECT 1 FROM r WHERE r.key = c.key AND r.a <= c.start + i AND c.start + i < r.b) AS shared FROM c),
-g AS (SELECT *, sum(CASE WHEN shared = lag_ THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY i) AS island FROM (SELECT *, lag(shared) OVER (PARTITION BY key ORDER BY i) AS lag_ FROM f))
-SELECT key, start + min(i) AS start, start + max(i) + 1 AS "end", shared, substr(any_value(text), CAST(min(i) AS INTEGER) + 1, CAST(count(*) AS INTEGER)) AS text FROM g GROUP BY key, start, island, shared""")
+# every text in windows of 200 characters, with runs of up to 60 characters all along it, some of which touch, overlap or cross a window's edge
+@query("shared_segments", """WITH w AS (SELECT doc_id, i * 200 AS start, substr(text, CAST(i * 200 + 1 AS INTEGER), 200) AS text FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 200) AS BIGINT))) AS i FROM documents)),
+r AS (SELECT doc_id, j * 97 + doc_id % 50 AS a, j * 97 + doc_id % 50 + (j * 13 + doc_id) % 120 AS b FROM (SELECT doc_id, unnest(range(CAST(length(text) // 97 + 1 AS BIGINT))) AS j FROM documents)),
+c AS (SELECT doc_id, start, text, unnest(range(CAST(length(text) AS BIGINT))) AS i FROM w), h AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS at_ FROM r),
+f AS (SELECT c.*, h.at_ IS NOT NULL AS shared FROM c LEFT JOIN h ON h.doc_id = c.doc_id AND h.at_ = c.start + c.i),
+g AS (SELECT *, sum(CASE WHEN shared = lag_ THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, start ORDER BY i) AS island FROM (SELECT *, lag(shared) OVER (PARTITION BY doc_id, start ORDER BY i) AS lag_ FROM f))
+SELECT doc_id, start + min(i) AS start, start + max(i) + 1 AS "end", shared, substr(any_value(text), CAST(min(i) AS INTEGER) + 1, CAST(count(*) AS INTEGER)) AS text FROM g GROUP BY doc_id, start, island, shared""")
 def shared_segments(spark, sf):
-    docs = inp.table(spark, sf, "documents")
-    w = docs.filter("length(text) > doc_id % 40").select(
-        F.col("doc_id").alias("key"), F.expr("doc_id % 40").alias("start"), F.expr("substring(text, cast(doc_id % 40 AS int) + 1, 200)").alias("text"))
-    spans = F.expr("array(struct(10 + doc_id % 50 AS a, 40 + doc_id % 50 AS b), struct(30 + doc_id % 20 AS a, 30 + doc_id % 20 + doc_id % 25 AS b), struct(150L AS a, 160L AS b), struct(190 + doc_id % 30 AS a, 300L AS b))")
-    runs = docs.select(F.col("doc_id").alias("key"), F.explode(spans).alias("r")).select("key", F.col("r.a").alias("run_start"), F.col("r.b").alias("run_end"))
-    return sp.segments(runs, w).drop("ord")
+    docs = inp.table(spark, sf, "documents").filter("length(text) > 0")
+    key = F.struct("doc_id", "no")
+    w = docs.select("doc_id", "text", F.explode(F.expr("sequence(0L, (length(text) - 1) div 200)")).alias("no"))
+    w = w.select(key.alias("key"), (F.col("no") * 200).alias("start"), F.expr("substring(text, cast(no * 200 + 1 AS int), 200)").alias("text"))
+    runs = docs.select("doc_id", F.explode(F.expr("sequence(0L, length(text) div 97)")).alias("j"))
+    runs = runs.select("doc_id", F.expr("j * 97 + doc_id % 50").alias("run_start"), F.expr("j * 97 + doc_id % 50 + (j * 13 + doc_id) % 120").alias("run_end")).filter("run_start < run_end")
+    # a run goes to each window it touches
+    runs = runs.withColumn("no", F.explode(F.expr("sequence(run_start div 200, (run_end - 1) div 200)"))).select(key.alias("key"), "run_start", "run_end")
+    return sp.segments(runs, w).drop("ord").withColumn("doc_id", F.col("key.doc_id")).drop("key")
 
 
 @query("corpus_stats", "SELECT count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
@@ -412,7 +448,7 @@ def parallel_links(spark, sf):
     own = first.groupBy("doc").agg(F.min("ref").alias("own")).groupBy("own").agg(F.min("doc").alias("doc"))
     edges = spark.createDataFrame([], "type STRING, src STRING, dst STRING, retracted_at STRING")
     _, report = xr.link_parallels(nodes, edges, own.select(F.concat(F.lit("witness:"), "own").alias("witness_id"), "doc"), refs, catalogue)
-    return report.filter("bucket <> 'unparsed'").groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    return report.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 A = inp.GRAPH_SQL.split("psg AS (")[0].rstrip().rstrip(",")
