@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vidimus.functions import runs
 from vidimus.functions import text as tx
 from vidimus.operators import attribution as at
 from vidimus.operators import similarity as si
@@ -31,7 +32,7 @@ def test_citable_spans_are_unique_in_the_raw_body(spark):
     assert {r["status"] for r in sp.locate_spans(cites, d).collect()} == {"located"}
 
 
-def test_inline_and_anchor_search_agree(spark):
+def test_phrase_search_equals_containment(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
     qs = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(30)] + ["  "]
@@ -90,6 +91,28 @@ def test_apparatus_keeps_joint_groups(spark):
     assert got == {"w1": ("collated", 3, "A B, 【宋】 【元】", 1), "w2": ("no source", 0, "", 0), "w3": ("no apparatus", 0, "", 0)}
 
 
+def test_runs_within_a_row_equal_a_walk_over_all_places():
+    rng = random.Random(12)
+    for letters in ("a", "ab", "xyz", "abcdefgh天😀"):
+        for _ in range(60):
+            a, b = ("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2))
+            least = rng.randint(1, 6)
+            want = set()
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i] == b[j] and (i == 0 or j == 0 or a[i - 1] != b[j - 1]):
+                        n = 0
+                        while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                            n += 1
+                        if n >= least:
+                            want.add((i, j, n))
+            got = list(zip(*(x.tolist() for x in runs.maximal_runs(a, b, least))))
+            assert len(got) == len(set(got)) and set(got) == want
+            grams = [{t[i : i + least] for i in range(len(t) - least + 1)} for t in (a, b)]
+            assert runs.shared_grams(a, b, least) == (len(grams[0] & grams[1]), len(grams[0]), len(grams[1]))
+    assert len(runs.maximal_runs("a" * 20_000, "a" * 20_000, 12)[0]) == 2 * (20_000 - 11) - 1  # one run a diagonal, not a row for each pair of places
+
+
 def test_selected_blocks_equal_a_sequence_matcher():
     rng = random.Random(11)
     for _ in range(300):
@@ -185,6 +208,31 @@ def test_scores_equal_a_direct_count_with_own_work_withheld(spark):
     assert v[99] == "no evidence" and v[0] == "low evidence"
 
 
+def test_withholding_in_one_pass_equals_two_passes_and_leaks_are_errors(spark):
+    rng = random.Random(14)
+    rows = [(i, "ABC"[i % 3] if i % 4 else None, f"w{i % 5}", "".join(rng.choice({0: "abcd", 1: "cdef", 2: "abef"}[i % 3]) for _ in range(40))) for i in range(30)]
+    units = spark.createDataFrame(rows, "uid BIGINT, label STRING, work STRING, text STRING")
+    kept = at.select_units(units, min_chars=10, min_units=2, cls=tx.LETTER)
+    vocab = spark.createDataFrame([(f, g) for f in at.FEATURE_SETS for g in ("ab", "cd", "ef", "abc", "cde")], "feature_set STRING, gram STRING")
+    counts = at.unit_gram_counts(units, vocab)
+    out = kept.filter("uid % 3 = 1").select("uid")
+    hits = at.target_hits(units, counts)
+    want = {}
+    for case, extra in (("all", None), ("withheld", out)):
+        prof = at.build_profiles(counts, kept, vocab, extra)
+        for r in at.verdicts(hits, at.score(hits, counts, prof)).collect():
+            want.setdefault((r["feature_set"], r["uid"]), {})[case] = (r["first"], round(r["margin"], 9), round(r["gap"], 9))
+    got = at.sensitivity(units, counts, kept, vocab, out).collect()
+    assert len(got) == len(want) and any(r["leader_flips"] for r in got)
+    for r in got:
+        for case in ("all", "withheld"):
+            assert (r[f"first_{case}"], round(r[f"margin_{case}"], 9), round(r[f"gap_{case}"], 9)) == want[r["feature_set"], r["uid"]][case]
+    moved = kept.withColumn("work", F.when(F.col("uid") == 1, "elsewhere").otherwise(F.col("work")))
+    with pytest.raises(ValueError, match="own work"):
+        at.sensitivity(units, counts, moved, vocab, out)
+    assert [tuple(r) for r in at.leaks(units, kept, kept.filter("uid = 5")).collect()] == [(5, "withheld")]
+
+
 def test_withholding_an_unknown_unit_is_an_error(spark):
     units = spark.createDataFrame([(i, "AB"[i % 2], f"w{i}", "abab") for i in range(6)], "uid BIGINT, label STRING, work STRING, text STRING")
     vocab = spark.createDataFrame([("curated", "ab")], "feature_set STRING, gram STRING")
@@ -194,12 +242,34 @@ def test_withholding_an_unknown_unit_is_an_error(spark):
 
 
 def test_evidence_spreads_over_characters_and_strip_counts_zero_cells(spark):
-    w = spark.createDataFrame([("curated", 1, "ab", 1.0, [0, 3]), ("curated", 1, "bcd", -0.9, [1])], "feature_set STRING, uid BIGINT, gram STRING, weight DOUBLE, positions ARRAY<INT>")
-    ev = {r["pos"]: round(r["evidence"], 6) for r in at.char_evidence(w).collect()}
-    assert ev == {0: 0.5, 1: 0.2, 2: -0.3, 3: 0.2, 4: 0.5}
-    shape = spark.createDataFrame([("curated", 1, 950)], "feature_set STRING, uid BIGINT, n_chars BIGINT")
-    cells = at.strip(at.char_evidence(w), shape).orderBy("no").collect()
+    text = "abcdab" + "-" * 944
+    units = spark.createDataFrame([(1, text), (2, "none here"), (3, None)], "uid BIGINT, text STRING")
+    w = spark.createDataFrame([("curated", 1, "ab", 1.0), ("curated", 1, "bcd", -0.9), ("both", 1, "bcd", -0.9), ("both", 1, "zz", 5.0)], "feature_set STRING, uid BIGINT, gram STRING, weight DOUBLE")
+    ev = at.text_evidence(w, units)
+    assert {r["feature_set"]: len(r["evidence"]) for r in ev.collect()} == {"curated": 950, "both": 950}
+    got = {(r["feature_set"], r["pos"]): round(r["evidence"], 6) for r in at.char_evidence(ev).collect()}
+    assert got == {**{("curated", p): v for p, v in {0: 0.5, 1: 0.2, 2: -0.3, 3: -0.3, 4: 0.5, 5: 0.5}.items()}, **{("both", p): -0.3 for p in (1, 2, 3)}}
+    cells = [c for c in at.strip(ev).orderBy("no").collect() if c["feature_set"] == "curated"]
     assert [(c["start"], c["end"]) for c in cells] == [(0, 400), (400, 800), (800, 950)] and abs(cells[0]["mean"] - 1.1 / 400) < 1e-9
+    assert {r["feature_set"]: round(r["scale"], 6) for r in at.evidence_scale(ev).collect()} == {"curated": 0.5, "both": 0.3}
+    assert {r["feature_set"]: round(r["strip_scale"], 6) for r in at.strip_scale(at.strip(ev)).collect()} == {"curated": round(1.1 / 400, 6), "both": round(0.9 / 400, 6)}
+
+
+def test_spread_weights_equal_a_walk_over_hits():
+    rng = random.Random(6)
+    for letters in ("ab", "abcd天😀", "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))):
+        text = "".join(rng.choice(letters) for _ in range(4000 if len(letters) > 99 else 90))
+        grams = sorted({text[i : i + n] for n in (1, 2, 3, 4, 7) for i in rng.sample(range(len(text) - 7), 9)} | {"nope", "zz"})
+        weights = np.array([[rng.gauss(0, 1) if rng.random() < 0.7 else np.nan for _ in grams] for _ in range(2)])
+        total, cover = at.spread_weights(text, grams, weights)
+        for s in range(2):
+            want, seen = np.zeros(len(text)), np.zeros(len(text), bool)
+            for g, w in zip(grams, weights[s]):
+                for i in range(len(text)):
+                    if text.startswith(g, i) and not np.isnan(w):
+                        want[i : i + len(g)] += w / len(g)
+                        seen[i : i + len(g)] = True
+            assert np.allclose(total[s], want) and (cover[s] == seen).all() and not total[s][~seen].any()
 
 
 @pytest.mark.parametrize("root", ["hdfs://nn:8020/a/corpus", "s3a://bucket/a/corpus/", "file:/a/corpus", "file:///a/corpus", "/a/corpus", "a/corpus", "./a//corpus"])

@@ -10,14 +10,17 @@ Frames used throughout:
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
-from vidimus.functions.frames import lower_percentile, top_k_per
+from vidimus.functions.frames import top_k_per
+from vidimus.functions.workers import ship
 
 # The method's constants.
 MIN_CHARS = 2000
@@ -136,17 +139,6 @@ def unit_gram_counts(units: DataFrame, vocab: DataFrame, lengths: Sequence[int]
     return hits.join(sets, "gram").select(F.explode("sets").alias("feature_set"), "uid", "gram", "n")
 
 
-def unit_gram_positions(units: DataFrame, vocab: DataFrame, lengths: Sequence[int] = LENGTHS) -> DataFrame:
-    """As `unit_gram_counts`, with the 0-based offsets of every occurrence (one text's worth per row)."""
-    every = F.flatten(F.array(*[
-        F.transform(tx.grams_of_length("text", n), lambda g, i: F.struct(g.alias("gram"), i.alias("at"))) for n in lengths
-    ]))
-    occ = units.select("uid", F.explode(every).alias("o")).select("uid", "o.gram", "o.at")
-    sets = _sets_of(vocab)
-    hits = occ.join(sets.select("gram"), "gram", "left_semi").groupBy("uid", "gram").agg(F.collect_list("at").alias("positions"))
-    return hits.join(sets, "gram").select(F.explode("sets").alias("feature_set"), "uid", "gram", F.size("positions").cast("bigint").alias("n"), "positions")
-
-
 def class_totals(counts: DataFrame, kept: DataFrame) -> DataFrame:
     """Units and tokens per class and feature set."""
     j = counts.join(kept.select("uid", "label"), "uid")
@@ -333,51 +325,124 @@ def pair_weights(weights: DataFrame, top: int = TOP_GRAMS) -> DataFrame:
 
 
 # --- evidence along the text ---------------------------------------------------------------------------
-def char_evidence(weights: DataFrame) -> DataFrame:
-    """Evidence per character: each hit spreads weight / length over its characters.
-
-    `weights` must carry `positions` (see `unit_gram_positions`). Characters without a hit have no row.
+def spread_weights(text: str, grams: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence at each character of a text and whether any gram covers it, one row for each row of
+    `weights` (sets x grams; a gram that a set lacks is NaN).
+
+    A place of a gram adds its weight / length from the gram's first character to its last. Places are
+    found for all grams of one length at once and added by whole shifted arrays, so nothing is a row for a
+    hit or a character, and a character without a hit stays exactly zero."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    known, char = np.unique(chars, return_inverse=True)
+    number = {chr(c): i + 1 for i, c in enumerate(known.tolist())}
+    base = len(known) + 1
+    total, cover = np.zeros((len(weights), len(chars))), np.zeros((len(weights), len(chars)), bool)
+    lengths = np.array([len(g) for g in grams])
+    for n in sorted(set(lengths.tolist()) - {0}):
+        own = [i for i in np.flatnonzero(lengths == n).tolist() if all(c in number for c in grams[i])]
+        if not own or n > len(chars):
+            continue
+        code, keys = np.zeros(len(chars) - n + 1, np.int64), np.zeros(len(own), np.int64)
+        for k in range(n):  # the gram at each place as one number
+            code, keys = code * base + char[k : k + len(code)] + 1, keys * base + np.array([number[grams[i][k]] for i in own])
+            if base ** (k + 2) >= 1 << 62:  # too many different characters to write more: ranks instead
+                both = np.unique(np.concatenate([code, keys]), return_inverse=True)[1]
+                code, keys = both[: len(code)], both[len(code) :]
+        order = np.argsort(keys)
+        found = np.minimum(np.searchsorted(keys[order], code), len(own) - 1)
+        at = np.flatnonzero(keys[order][found] == code)
+        per = weights[:, np.array(own)[order]][:, found[at]] / n
+        there = ~np.isnan(per)
+        per = np.where(there, per, 0.0)
+        for k in range(n):
+            total[:, at + k] += per
+            cover[:, at + k] |= there
+    return total, cover
+
+
+def text_evidence(weights: DataFrame, units: DataFrame) -> DataFrame:
+    """(feature_set, uid, evidence): one number for each character of the text, null where no hit covers
+    it (T11). `weights` holds feature_set, uid, gram, weight; `units` holds uid, text.
+
+    One row for a text and set; a text's grams are gathered beside it, at most as many as it has places.
     """
-    n = F.length("gram")
-    spread = weights.select(*KEY, F.explode("positions").alias("at"), n.alias("_n"), (F.col("weight") / n).alias("w"))
-    chars = spread.select(*KEY, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("_n") - 1)).alias("pos"), "w")
-    return chars.groupBy(*KEY, "pos").agg(F.sum("w").alias("evidence"))
+    ship(units.sparkSession)
+    listed = weights.groupBy("uid", "gram").agg(F.collect_list(F.struct("feature_set", "weight")).alias("sets"))
+    listed = listed.groupBy("uid").agg(F.collect_list(F.struct("gram", "sets")).alias("grams"))
+    kind = dict(units.dtypes)["uid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 16) for x in batches for i in range(0, x.num_rows, 16)):
+            of, names, rows = [], [], []
+            for i, (text, grams) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                sets = sorted({s["feature_set"] for g in grams for s in g["sets"]})
+                row = {s: k for k, s in enumerate(sets)}
+                table = np.full((len(sets), len(grams)), np.nan)
+                for j, g in enumerate(grams):
+                    for s in g["sets"]:
+                        table[row[s["feature_set"]], j] = s["weight"]
+                total, cover = spread_weights(text, [g["gram"] for g in grams], table)
+                for k, s in enumerate(sets):
+                    of.append(i)
+                    names.append(s)
+                    rows.append(pa.array(total[k], pa.float64(), mask=~cover[k]))
+            upto = pa.array(np.cumsum([0, *(len(r) for r in rows)]), pa.int32())
+            flat = pa.concat_arrays([pa.array([], pa.float64()), *rows])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), b.column(0).take(pa.array(of, pa.int64())), pa.ListArray.from_arrays(upto, flat)], ["feature_set", "uid", "evidence"])
+
+    return units.select("uid", "text").filter("text IS NOT NULL").join(listed, "uid").mapInArrow(run, f"feature_set string, uid {kind}, evidence array<double>")
+
+
+def char_evidence(evidence: DataFrame) -> DataFrame:
+    """A row for each character that a hit covers (T11), for reports that want rows."""
+    rows = evidence.select(*KEY, F.posexplode("evidence").alias("pos", "evidence"))
+    return rows.filter("evidence IS NOT NULL")
+
+
+def _magnitude(values: Column, name: str, evidence: DataFrame) -> DataFrame:
+    """Lower 95th percentile of the magnitudes above zero, inside each row."""
+    sizes = F.sort_array(F.filter(F.transform(values, lambda v: F.round(F.abs(v), 12)), lambda v: v > 0))
+    at = F.floor(F.lit(0.95) * (F.size("_s") - 1)).cast("int")
+    return evidence.withColumn("_s", sizes).filter(F.size("_s") > 0).select(*KEY, F.get("_s", at).alias(name))
 
 
 def evidence_scale(evidence: DataFrame) -> DataFrame:
-    rows = evidence.withColumn("_a", F.round(F.abs("evidence"), 12)).filter("_a > 0")
-    return lower_percentile(rows, KEY, "_a", 0.95, "scale")
+    return _magnitude(F.col("evidence"), "scale", evidence)
+
 
+def strip(evidence: DataFrame) -> DataFrame:
+    """Mean evidence per cell of the whole text, zero cells included (T12). A cell is 400 characters, more
+    when the text would otherwise need over 600 cells."""
+    n = F.size("evidence").cast("bigint")
+    cell = F.greatest(F.lit(WINDOW), F.ceil(n / MAX_CELLS)).cast("bigint")
+    shape = evidence.withColumn("n_chars", n).filter("n_chars > 0").withColumn("cell", cell)
+    begins = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_chars") - 1) / F.col("cell")))
 
-def strip(evidence: DataFrame, targets: DataFrame) -> DataFrame:
-    """Mean evidence per cell of the whole text, zero cells included.
+    def one(no: Column) -> Column:
+        start = no * F.col("cell")
+        end = F.least(start + F.col("cell"), F.col("n_chars"))
+        inside = F.slice("evidence", (start + 1).cast("int"), (end - start).cast("int"))
+        total = F.aggregate(inside, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+        return F.struct(no.alias("no"), start.alias("start"), end.alias("end"), (total / (end - start)).alias("mean"))
 
-    `targets` holds feature_set, uid, n_chars. A cell is 400 characters, more when the text would
-    otherwise need over 600 cells."""
-    cell = F.greatest(F.lit(WINDOW), F.ceil(F.col("n_chars") / MAX_CELLS)).cast("bigint")
-    shape = targets.filter("n_chars > 0").select(*KEY, "n_chars", cell.alias("cell"))
-    sums = evidence.join(shape, KEY).groupBy(*KEY, F.floor(F.col("pos") / F.col("cell")).alias("no")).agg(F.sum("evidence").alias("s"))
-    cells = shape.withColumn("no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_chars") - 1) / F.col("cell")))))
-    start = F.col("no") * F.col("cell")
-    j = cells.join(sums, [*KEY, "no"], "left").withColumn("start", start)
-    end = F.least(F.col("start") + F.col("cell"), F.col("n_chars"))
-    return j.select(*KEY, "no", "start", end.alias("end"), (F.coalesce("s", F.lit(0.0)) / (end - F.col("start"))).alias("mean"))
+    return shape.select(*KEY, F.explode(F.transform(begins, one)).alias("c")).select(*KEY, "c.*")
 
 
 def strip_scale(cells: DataFrame) -> DataFrame:
-    rows = cells.withColumn("_a", F.round(F.abs("mean"), 12)).filter("_a > 0")
-    return lower_percentile(rows, KEY, "_a", 0.95, "strip_scale")
+    """The same percentile over a strip's cells (at most 600)."""
+    return _magnitude(F.col("m"), "strip_scale", cells.groupBy(*KEY).agg(F.collect_list("mean").alias("m")))
 
 
 def excerpt_rows(evidence: DataFrame, texts: DataFrame, offset: int = 0, size: int = EXCERPT) -> DataFrame:
     """One row per character of a bounded excerpt from a clamped offset, zeros included.
 
-    `texts` holds feature_set, uid, text."""
+    `texts` holds uid, text."""
     at = F.greatest(F.lit(0), F.least(F.lit(offset), F.length("text") - 1))
-    cut = texts.select(*KEY, at.alias("from"), tx.slice_text("text", at, F.lit(size)).alias("_t"))
-    chars = cut.select(*KEY, "from", F.posexplode(F.split("_t", "")).alias("i", "ch")).filter("ch <> ''")
-    rows = chars.select(*KEY, (F.col("from") + F.col("i")).alias("pos"), "ch")
-    return rows.join(evidence, [*KEY, "pos"], "left").withColumn("evidence", F.round(F.coalesce("evidence", F.lit(0.0)), 4))
+    cut = evidence.join(texts.select("uid", "text"), "uid").select(
+        *KEY, at.alias("from"), F.split(tx.slice_text("text", at, F.lit(size)), "").alias("_t"), F.slice("evidence", at + 1, F.lit(size)).alias("_e"))
+    chars = cut.select(*KEY, "from", "_e", F.posexplode("_t").alias("i", "ch")).filter("ch <> ''")
+    return chars.select(*KEY, (F.col("from") + F.col("i")).alias("pos"), "ch", F.round(F.coalesce(F.get("_e", F.col("i")), F.lit(0.0)), 4).alias("evidence"))
 
 
 def excerpt(rows: DataFrame) -> DataFrame:
@@ -410,17 +475,66 @@ def unit_listing(judged: DataFrame) -> DataFrame:
     return judged.filter("text IS NOT NULL").select("uid", "label", "chars", (F.col("fate") == "kept").alias("profiled"))
 
 
+def leaks(targets: DataFrame, feed: DataFrame, withhold: DataFrame | None = None) -> DataFrame:
+    """Units that would feed a profile they must stay out of: withheld ones still in the feed, and units
+    that the feed files under another work than the target list does, so that withholding a target's work
+    would leave its own text in (T5). Frames hold `uid`, `work`; empty is right."""
+    moved = feed.select("uid", F.col("work").alias("_w")).join(targets.select("uid", "work"), "uid").filter(~F.col("_w").eqNullSafe(F.col("work")))
+    out = moved.select("uid", F.lit("under another work").alias("why"))
+    if withhold is None:
+        return out
+    return out.unionByName(feed.select("uid").join(withhold.select("uid").distinct(), "uid", "left_semi").select("uid", F.lit("withheld").alias("why")))
+
+
 def sensitivity(targets: DataFrame, counts: DataFrame, kept: DataFrame, vocab: DataFrame, withhold: DataFrame) -> DataFrame:
-    """Leader, margin and gap of every target with and without some units withheld."""
-    hits = target_hits(targets, counts)
+    """Leader, margin and gap of every target with and without some units withheld.
 
-    def run(name: str, extra: DataFrame | None) -> DataFrame:
-        prof = build_profiles(counts, kept, vocab, extra)
-        v = verdicts(hits, score(hits, counts, prof))
-        return v.select(*KEY, F.col("first").alias(f"first_{name}"), F.col("margin").alias(f"margin_{name}"), F.col("gap").alias(f"gap_{name}"))
+    Both scenarios are columns of one pass: every count is summed for all units and for those that are
+    left, and what leaves a profile is a difference of the two, so counts are joined once. A unit that
+    would leak into a profile, and a withheld unit that is not profiled, are errors.
+    """
+    asked = withhold.select("uid").distinct()
+    unknown = [r["uid"] for r in asked.join(kept, "uid", "left_anti").limit(3).collect()]
+    if unknown:
+        raise ValueError(f"cannot withhold units that are not profiled: {unknown}")
+    leaked = [r["uid"] for r in leaks(targets, kept).limit(3).collect()]
+    if leaked:
+        raise ValueError(f"profiles would hold units of the target's own work: {leaked}")
+    cases = ("all", "withheld")
+    fed = counts.join(kept.select("uid", "label", "work").join(asked.withColumn("_out", F.lit(True)), "uid", "left"), "uid")
+    n = {"all": F.col("n"), "withheld": F.when(F.col("_out").isNull(), F.col("n")).otherwise(0)}
+    by_work = fed.groupBy("feature_set", "label", "work", "gram").agg(*[F.sum(n[c]).alias(c) for c in cases])
+    both = lambda: [F.sum(c).alias(c) for c in cases]
+    grams = by_work.groupBy("feature_set", "gram", "label").agg(*both())
+    own = by_work.groupBy("feature_set", "work", "gram").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct(*cases)))).alias("own"))
+    totals = by_work.groupBy("feature_set", "label").agg(*[F.sum(c).alias(f"total_{c}") for c in cases])
+    own_totals = by_work.groupBy("feature_set", "work", "label").agg(*[F.sum(c).alias(f"own_{c}") for c in cases])
+    sizes = vocab.groupBy("feature_set").agg(F.count(F.lit(1)).alias("n_features"))
 
-    both = run("all", None).join(run("withheld", withhold), KEY)
-    return both.withColumn("leader_flips", ~F.col("first_all").eqNullSafe(F.col("first_withheld")))
+    hits = target_hits(targets, counts)
+    cells = counts.join(hits.select(*KEY, "work"), KEY).join(own, ["feature_set", "work", "gram"], "left").join(grams, ["feature_set", "gram"])
+    mine = F.try_element_at("own", F.col("label"))
+    gain = lambda c: F.col("n") * (F.log(F.col(c) - F.coalesce(mine[c], F.lit(0)) + 0.5) - F.log(F.lit(0.5)))
+    sums = cells.groupBy(*KEY, "label").agg(*[F.sum(gain(c)).alias(f"gain_{c}") for c in cases])
+    # a class per set and target: classes are few, and each target has a row for each of them anyway
+    live = hits.filter("hits > 0").drop("label").join(totals.join(sizes, "feature_set"), "feature_set").join(own_totals, ["feature_set", "work", "label"], "left").join(sums, [*KEY, "label"], "left")
+
+    def scored(c: str) -> Column:
+        tokens = F.col(f"total_{c}") - F.coalesce(f"own_{c}", F.lit(0))
+        score = F.coalesce(f"gain_{c}", F.lit(0.0)) + F.col("hits") * (F.log(F.lit(0.5)) - F.log(tokens + F.lit(0.5) * F.col("n_features")))
+        return F.struct(F.lit(c).alias("case"), F.when(tokens > 0, score).alias("score"))
+
+    rows = live.select(*KEY, "label", F.explode(F.array(*[scored(c) for c in cases])).alias("s")).select(*KEY, "label", "s.*").filter("score IS NOT NULL")
+    best = F.min(F.struct(-F.round("score", 6), "label", "score"))
+    lead = rows.groupBy(*KEY, "case").agg(best.alias("lead"), F.count(F.lit(1)).alias("profiles"))
+    rest = rows.join(lead.select(*KEY, "case", F.col("lead.label").alias("_l")), [*KEY, "case"]).filter("label <> _l").groupBy(*KEY, "case").agg(F.max("score").alias("second"))
+    found = lead.join(rest, [*KEY, "case"], "left").withColumn("gap", F.when(F.col("profiles") >= 2, F.col("lead.score") - F.col("second")))
+    at = lambda c, v: F.max(F.when((F.col("case") == c) & (F.col("profiles") >= 2), v))
+    wide = found.groupBy(*KEY).agg(*[x for c in cases for x in (at(c, F.col("lead.label")).alias(f"first_{c}"), at(c, F.col("gap")).alias(f"gap_{c}"))])
+    out = hits.join(wide, KEY, "left")
+    for c in cases:
+        out = out.withColumn(f"margin_{c}", F.coalesce(F.try_divide(f"gap_{c}", "distinct"), F.lit(0.0))).withColumn(f"gap_{c}", F.coalesce(f"gap_{c}", F.lit(0.0)))
+    return out.select(*KEY, *[f"{m}_{c}" for c in cases for m in ("first", "margin", "gap")]).withColumn("leader_flips", ~F.col("first_all").eqNullSafe(F.col("first_withheld")))
 
 
 def with_provenance(df: DataFrame, ledger: DataFrame, dataset: str) -> DataFrame:

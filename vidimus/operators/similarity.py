@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidimus.functions import runs
 from vidimus.functions import text as tx
 from vidimus.functions.frames import cut_lineage, top_k_per
 from vidimus.functions.workers import ship
@@ -260,46 +262,48 @@ def _paired(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(ids, "uid", "left_semi")
 
 
+def _side_by_side(docs: DataFrame, pairs: DataFrame, cls: str) -> DataFrame:
+    """Each asked pair once, with both texts reduced to script characters; a text without a row is empty."""
+    kept = script_only(_paired(docs, pairs), cls)
+    ask = pairs.select("uid_a", "uid_b").distinct()
+    side = lambda c: kept.select(F.col("uid").alias(f"uid_{c}"), F.coalesce("kept", F.lit("")).alias(f"text_{c}"))
+    return ask.join(side("a"), "uid_a", "left").join(side("b"), "uid_b", "left").fillna("", ["text_a", "text_b"]).select("uid_a", "uid_b", "text_a", "text_b")
+
+
+def _on_pairs(pairs: DataFrame, work, names: str) -> DataFrame:
+    """work(text_a, text_b) -> columns of equal length, for every pair; the texts stay in their row."""
+    ship(pairs.sparkSession)
+    kinds = dict(pairs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
+            made = [work(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            of = pa.array(np.repeat(np.arange(b.num_rows), [len(m[0]) for m in made]))
+            cols = [np.concatenate([np.asarray(m[k], np.int64) for m in made]) for k in range(len(made[0]))] if made else []
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), *map(pa.array, cols)], ["uid_a", "uid_b", *names.split()])
+
+    return pairs.mapInArrow(run, ", ".join([f"uid_a {kinds['uid_a']}", f"uid_b {kinds['uid_b']}", *(f"{n} long" for n in names.split())]))
+
+
 def coverage(docs: DataFrame, pairs: DataFrame, gram: int = GRAM, cls: str = tx.HAN) -> DataFrame:
     """Share of each text's distinct grams found in the other, both ways, whole texts.
 
-    `pairs` holds `uid_a, uid_b`. Each asked pair is worked out once; no other pair is looked at.
+    `pairs` holds `uid_a, uid_b`. Each asked pair is worked out once, in its row; no other pair is looked
+    at and no gram is shuffled. A text asked for in many pairs is dealt over tasks by Spark's split of
+    skewed joins.
     """
-    grams = script_only(_paired(docs, pairs), cls).select(
-        "uid", F.explode(F.array_distinct(tx.grams_of_length("kept", gram))).alias("g")
-    )
-    sizes = grams.groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
-    ask = pairs.select("uid_a", "uid_b").distinct()
-    shared = (
-        ask.join(grams.withColumnRenamed("uid", "uid_a"), "uid_a")
-        .join(grams.withColumnRenamed("uid", "uid_b"), ["uid_b", "g"]).groupBy("uid_a", "uid_b").agg(F.count(F.lit(1)).alias("shared"))
-    )
-    j = ask.join(shared, ["uid_a", "uid_b"], "left")
-    for side in ("a", "b"):
-        j = j.join(sizes.select(F.col("uid").alias(f"uid_{side}"), F.col("n").alias(f"grams_{side}")), f"uid_{side}", "left")
-    j = j.fillna(0, ["shared", "grams_a", "grams_b"])
+    found = _on_pairs(_side_by_side(docs, pairs, cls), lambda a, b: [[n] for n in runs.shared_grams(a, b, gram)], "shared grams_a grams_b")
     share = lambda c: F.when(F.col(c) > 0, F.bround(F.col("shared") / F.col(c), 4)).otherwise(0.0)
-    return j.select("uid_a", "uid_b", "shared", "grams_a", "grams_b", share("grams_a").alias("share_of_a_in_b"), share("grams_b").alias("share_of_b_in_a"))
+    return found.select("*", share("grams_a").alias("share_of_a_in_b"), share("grams_b").alias("share_of_b_in_a"))
 
 
 def maximal_runs(docs: DataFrame, pairs: DataFrame, min_run: int = MIN_RUN, cls: str = tx.HAN) -> DataFrame:
     """Every maximal common run of at least `min_run` script characters per asked pair (N8 core, N9).
 
-    Postings of grams of that length meet by equality; matches on one diagonal that follow each other
-    are one run. Offsets `a`, `b` count script characters.
+    Both texts lie in one row; grams of that length that begin or end a run are the only ones that are
+    paired, so work and memory follow the texts and their runs. Offsets `a`, `b` count script characters.
     """
-    kept = script_only(_paired(docs, pairs), cls)
-    post = kept.select("uid", F.posexplode(tx.grams_of_length("kept", min_run)).alias("at", "g"))
-    ask = pairs.select("uid_a", "uid_b").distinct()
-    left = ask.join(post.select(F.col("uid").alias("uid_a"), F.col("at").alias("a"), "g"), "uid_a")
-    met = left.join(post.select(F.col("uid").alias("uid_b"), F.col("at").alias("b"), "g"), ["uid_b", "g"])
-    diag = met.select("uid_a", "uid_b", (F.col("a") - F.col("b")).alias("d"), "a", "b")
-    # a diagonal of one pair is at most as long as its shorter text
-    w = Window.partitionBy("uid_a", "uid_b", "d").orderBy("a")
-    island = diag.withColumn("_i", F.col("a") - F.row_number().over(w))
-    return island.groupBy("uid_a", "uid_b", "d", "_i").agg(
-        F.min("a").alias("a"), F.min("b").alias("b"), (F.count(F.lit(1)) + min_run - 1).alias("chars")
-    ).select("uid_a", "uid_b", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("chars").cast("bigint").alias("chars"))
+    return _on_pairs(_side_by_side(docs, pairs, cls), lambda a, b: runs.maximal_runs(a, b, min_run), "a b chars")
 
 
 def pick_blocks(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
@@ -333,16 +337,13 @@ def pick_blocks(runs: list[tuple[int, int, int]], least: int) -> list[tuple[int,
     return merged
 
 
-def in_order_runs(runs: DataFrame, least: int) -> DataFrame:
-    """The non-crossing selection per pair. Only run triples of one pair reach a task, never text."""
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks = pick_blocks(list(zip(pdf["a"].tolist(), pdf["b"].tolist(), pdf["chars"].tolist())), least)
-        return pd.DataFrame({
-            "uid_a": pdf["uid_a"].iloc[0], "uid_b": pdf["uid_b"].iloc[0], "a": [x[0] for x in blocks],
-            "b": [x[1] for x in blocks], "chars": [x[2] for x in blocks],
-        })
-    ship(runs.sparkSession)
-    return runs.groupBy("uid_a", "uid_b").applyInPandas(choose, runs.select("uid_a", "uid_b", "a", "b", "chars").schema)
+def in_order_runs(docs: DataFrame, pairs: DataFrame, min_run: int = MIN_RUN, cls: str = tx.HAN) -> DataFrame:
+    """The non-crossing selection of each pair's maximal runs, made where the runs are found."""
+    def choose(a: str, b: str) -> tuple:
+        blocks = pick_blocks(list(zip(*(x.tolist() for x in runs.maximal_runs(a, b, min_run)))), min_run)
+        return tuple(np.array(x, np.int64) for x in zip(*blocks)) if blocks else (np.zeros(0, np.int64),) * 3
+
+    return _on_pairs(_side_by_side(docs, pairs, cls), choose, "a b chars")
 
 
 def shared_runs(
@@ -352,16 +353,14 @@ def shared_runs(
     """Longest shared runs per pair with their text and original offsets.
 
     Offsets count characters of the original texts, punctuation included; `*_end` is exclusive."""
-    runs = maximal_runs(docs, pairs, min_run, cls)
-    if in_order:
-        runs = in_order_runs(runs, min_run)
+    found = (in_order_runs if in_order else maximal_runs)(docs, pairs, min_run, cls)
     if max_runs is not None:
-        runs = top_k_per(runs, ["uid_a", "uid_b"], [F.desc("chars"), F.col("a"), F.col("b")], max_runs)
+        found = top_k_per(found, ["uid_a", "uid_b"], [F.desc("chars"), F.col("a"), F.col("b")], max_runs)
     used = docs.select("uid", "text")
     pos = lambda side: _paired(used, pairs).select(
         F.col("uid").alias(f"uid_{side}"), tx.script_offsets("text", cls).alias(f"_o{side}"), tx.script_text("text", cls).alias(f"_k{side}")
     )
-    j = runs.join(pos("a"), "uid_a").join(pos("b").drop("_kb"), "uid_b")
+    j = found.join(pos("a"), "uid_a").join(pos("b").drop("_kb"), "uid_b")
     end = lambda o, c: F.get(F.col(o), (F.col(c) + F.col("chars") - 1).cast("int")) + 1
     return j.select(
         "uid_a", "uid_b", "chars", tx.slice_text("_ka", F.col("a"), F.col("chars")).alias("text"),
@@ -370,9 +369,9 @@ def shared_runs(
     )
 
 
-def longest_run(runs: DataFrame) -> DataFrame:
+def longest_run(found: DataFrame) -> DataFrame:
     """Longest shared run per pair."""
-    return runs.groupBy("uid_a", "uid_b").agg(F.max("chars").alias("longest_shared_run"))
+    return found.groupBy("uid_a", "uid_b").agg(F.max("chars").alias("longest_shared_run"))
 
 
 def confirm(near: DataFrame, windows: DataFrame, docs: DataFrame, size: int = DEFAULT_WINDOW, min_run: int = 4, cls: str = tx.HAN) -> DataFrame:

@@ -38,6 +38,10 @@ def setup(spark, sf) -> Setup:
     marks = curated(spark, sf)
     generic = at.common_grams(units.filter("label IS NULL"), at.vocabulary_shape(marks), LET)
     # the vocabulary is read by every later step: written once
+    generic = cut_lineage(generic)
+    short = at.shortfall(generic, at.vocabulary_shape(marks))
+    if short:
+        raise ValueError("the unlabelled texts hold too few grams: " + "; ".join(short))
     vocab = cut_lineage(at.feature_sets(marks, generic))
     return Setup(units, kept, marks, generic, vocab)
 
@@ -146,15 +150,13 @@ class Scored(NamedTuple):
     scores: DataFrame
 
 
-def scored(spark, sf, positions: bool = False) -> Scored:
+def scored(spark, sf) -> Scored:
     s = setup(spark, sf)
-    counts = (at.unit_gram_positions if positions else at.unit_gram_counts)(s.units, s.vocab)
-    counts = cut_lineage(counts)  # read by hits, profiles and scores
-    slim = counts.drop("positions")
-    hits = at.target_hits(s.units, slim)
-    prof = at.build_profiles(slim, s.kept, s.vocab)
+    counts = cut_lineage(at.unit_gram_counts(s.units, s.vocab))  # read by hits, profiles and scores
+    hits = at.target_hits(s.units, counts)
+    prof = at.build_profiles(counts, s.kept, s.vocab)
     summary = at.profile_summary(hits, prof)
-    return Scored(s, counts, hits, prof, summary, at.score(hits, slim, prof, summary))
+    return Scored(s, counts, hits, prof, summary, at.score(hits, counts, prof, summary))
 
 
 @query("attribution_scores", f"WITH {SCORE_SQL} SELECT feature_set, uid, label, rank, round(delta, 1) AS delta, round(score, 2) AS score FROM rk")
@@ -202,9 +204,10 @@ def pair_weights(spark, sf):
 
 
 def _evidence(spark, sf):
-    s = scored(spark, sf, positions=True)
-    pair = at.pairs(s.scores)
-    return s, cut_lineage(at.char_evidence(at.gram_weights(pair, s.counts, s.prof)))
+    """Evidence along every text, one array for a text and vocabulary."""
+    s = scored(spark, sf)
+    weights = at.gram_weights(at.pairs(s.scores), s.counts, s.prof)
+    return s, at.text_evidence(weights.select("feature_set", "uid", "gram", "weight"), s.setup.units)
 
 
 EV_SQL = PAIR_SQL + f""",
@@ -216,16 +219,16 @@ ev AS MATERIALIZED (SELECT feature_set, uid, pos + i AS pos, sum(w / length(gram
 @query("evidence_by_character", f"WITH {EV_SQL} SELECT feature_set, uid, count(*) AS painted, round(sum(e), 2) AS total, round(max(e), 3) AS strongest FROM ev GROUP BY 1, 2")
 def evidence_by_character(spark, sf):
     _, ev = _evidence(spark, sf)
-    return ev.groupBy("feature_set", "uid").agg(F.count(F.lit(1)).alias("painted"), F.round(F.sum("evidence"), 2).alias("total"), F.round(F.max("evidence"), 3).alias("strongest"))
+    total = F.aggregate(F.array_compact("evidence"), F.lit(0.0), lambda a, e: a + e)
+    return ev.select("feature_set", "uid", F.size(F.array_compact("evidence")).cast("bigint").alias("painted"), F.round(total, 2).alias("total"), F.round(F.array_max("evidence"), 3).alias("strongest"))
 
 
 @query("evidence_strip", f"""WITH {EV_SQL}, sh AS (SELECT feature_set, uid, length(text) AS len, greatest(400, CAST(ceil(length(text) / 600.0) AS BIGINT)) AS cell FROM pr JOIN un USING (uid) WHERE length(text) > 0),
 cl AS (SELECT sh.*, unnest(range(CAST((len - 1) // cell + 1 AS BIGINT))) AS no FROM sh), sm AS (SELECT ev.feature_set, ev.uid, pos // cell AS no, sum(e) AS s FROM ev JOIN sh USING (feature_set, uid) GROUP BY 1, 2, 3)
 SELECT feature_set, uid, no, no * cell AS start, least((no + 1) * cell, len) AS "end", round(coalesce(s, 0) / (least((no + 1) * cell, len) - no * cell), 5) AS mean FROM cl LEFT JOIN sm USING (feature_set, uid, no)""")
 def evidence_strip(spark, sf):
-    s, ev = _evidence(spark, sf)
-    shape = at.pairs(s.scores).select("feature_set", "uid").join(s.setup.units.select("uid", F.length("text").cast("bigint").alias("n_chars")), "uid")
-    return at.strip(ev, shape).withColumn("mean", F.round("mean", 5))
+    _, ev = _evidence(spark, sf)
+    return at.strip(ev).withColumn("mean", F.round("mean", 5))
 
 
 @query("evidence_scales", f"WITH {EV_SQL}, z AS (SELECT feature_set, uid, round(abs(e), 12) AS v FROM ev WHERE round(abs(e), 12) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY feature_set, uid ORDER BY v) AS rn, count(*) OVER (PARTITION BY feature_set, uid) AS n FROM z) SELECT feature_set, uid, round(v, 6) AS scale FROM r WHERE rn = CAST(floor(0.95 * (n - 1)) AS BIGINT) + 1")
@@ -239,8 +242,7 @@ rw AS (SELECT feature_set, uid, f, unnest(range(CAST(least(2400, length(text) -
 SELECT rw.feature_set, rw.uid, min(f + i) AS start, max(f + i) + 1 AS "end", round(sum(round(coalesce(e, 0), 4)), 4) AS total FROM rw LEFT JOIN ev ON ev.feature_set = rw.feature_set AND ev.uid = rw.uid AND ev.pos = rw.f + rw.i GROUP BY 1, 2""")
 def evidence_excerpts(spark, sf):
     s, ev = _evidence(spark, sf)
-    texts = at.pairs(s.scores).select("feature_set", "uid").join(s.setup.units.select("uid", "text"), "uid")
-    x = at.excerpt(at.excerpt_rows(ev, texts, offset=100))
+    x = at.excerpt(at.excerpt_rows(ev, s.setup.units, offset=100))
     total = F.aggregate("evidence", F.lit(0.0), lambda a, e: a + e)
     return x.select("feature_set", "uid", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.round(total, 4).alias("total"))
 
@@ -248,8 +250,8 @@ def evidence_excerpts(spark, sf):
 @query("evidence_bands")
 def evidence_bands(spark, sf):
     s, ev = _evidence(spark, sf)
-    texts = at.pairs(s.scores).select("feature_set", "uid").join(s.setup.units.select("uid", "text"), "uid")
-    return at.evidence_bands(at.excerpt_rows(ev, texts), at.evidence_scale(ev)).groupBy("feature_set", "band").agg(
+    ev = cut_lineage(ev)  # read by excerpts and scales
+    return at.evidence_bands(at.excerpt_rows(ev, s.setup.units), at.evidence_scale(ev)).groupBy("feature_set", "band").agg(
         F.count(F.lit(1)).alias("stretches"), F.sum(F.length("text")).alias("chars"))
 
 

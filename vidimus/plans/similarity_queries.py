@@ -60,26 +60,38 @@ def window_summary(spark, sf):
     return si.describe_windows(inp.windows(spark, sf)).withColumn("dim", F.col("dim").cast("bigint"))
 
 
-@query("window_texts", """WITH w AS (SELECT vec_id AS idx, vec_id // 3 AS d, vec_id % 3 * 400 AS start FROM embeddings)
-SELECT idx, start, CASE WHEN text IS NULL THEN 'no source' WHEN start < length(text) THEN 'ok' ELSE 'outside the source' END AS status, CASE WHEN start < length(text) THEN least(start + 400, length(text)) END AS "end",
-  CASE WHEN start < length(text) THEN substr(text, start + 1, 400) END AS text, CASE WHEN start < length(text) THEN sha256(text) END AS source_sha256 FROM w LEFT JOIN documents ON doc_id = d""")
+# every text in windows of 400 characters, and one more behind its end
+@query("window_texts", """WITH w AS (SELECT doc_id, text, i * 400 AS start FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 400) AS BIGINT) + 1)) AS i FROM documents))
+SELECT doc_id, start, CASE WHEN start < length(text) THEN 'ok' ELSE 'outside the source' END AS status, CASE WHEN start < length(text) THEN least(start + 400, length(text)) END AS "end",
+  CASE WHEN start < length(text) THEN substr(text, CAST(start + 1 AS INTEGER), 400) END AS text, CASE WHEN start < length(text) THEN sha256(text) END AS source_sha256 FROM w""")
 def window_texts(spark, sf):
-    w, docs = _text_windows(spark, sf)
-    return si.window_text(w, docs).drop("uid").withColumn("end", F.col("end").cast("bigint")).withColumn("start", F.col("start").cast("bigint"))
+    w, docs = _tiles(spark, sf)
+    out = si.window_text(w, docs).withColumnRenamed("uid", "doc_id").drop("idx")
+    return out.withColumn("end", F.col("end").cast("bigint")).withColumn("start", F.col("start").cast("bigint"))
+
+
+def _tiles(spark, sf):
+    """Windows of 400 characters over every whole text, and one behind its end; the documents."""
+    docs = inp.table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "text")
+    tiles = docs.select("uid", F.explode(F.expr("sequence(0, cast(ceil(length(text) / 400) AS int))")).alias("i"))
+    return tiles.select(F.concat_ws(":", "uid", "i").alias("idx"), "uid", (F.col("i") * 400).alias("start")), docs
 
 
 def _text_windows(spark, sf):
-    """Embeddings as windows of the documents: three per document, 400 characters apart."""
-    w = inp.table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("idx"), F.expr("vec_id div 3").alias("uid"), F.expr("concat('W', vec_id div 3)").alias("work"), F.expr("concat('L', label)").alias("label"),
-        F.expr("cast(vec_id % 3 * 400 AS int)").alias("start"), F.col("embedding").alias("vec"))
-    return w, inp.table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "text")
+    """Each vector is a window of 400 characters of the document with its number, at a place that its
+    number picks among all windows of that text."""
+    docs = inp.table(spark, sf, "documents").select(F.col("doc_id").alias("uid"), "text")
+    e = inp.table(spark, sf, "embeddings").join(docs, F.col("vec_id") == F.col("uid"), "left")
+    w = e.select(
+        F.col("vec_id").alias("idx"), F.col("vec_id").alias("uid"), F.expr("concat('W', vec_id div 3)").alias("work"), F.expr("concat('L', label)").alias("label"),
+        F.expr("cast(vec_id * 7 % greatest(1, coalesce(ceil(length(text) / 400), 1)) * 400 AS int)").alias("start"), F.col("embedding").alias("vec"))
+    return w, docs
 
 
-@query("window_snippets", "SELECT vec_id AS idx, replace(substr(coalesce(text, ''), CAST(vec_id % 3 * 400 + 1 AS INTEGER), 40), chr(10), '') AS snippet FROM embeddings LEFT JOIN documents ON doc_id = vec_id // 3")
+@query("window_snippets", "SELECT doc_id, i * 400 AS start, replace(substr(text, CAST(i * 400 + 1 AS INTEGER), 40), chr(10), '') AS snippet FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 400) AS BIGINT) + 1)) AS i FROM documents)")
 def window_snippets(spark, sf):
-    w, docs = _text_windows(spark, sf)
-    return si.snippets(w, docs).select("idx", "snippet")
+    w, docs = _tiles(spark, sf)
+    return si.snippets(w, docs).select(F.col("uid").alias("doc_id"), F.col("start").cast("bigint").alias("start"), "snippet")
 
 
 # --- verbatim reuse ----------------------------------------------------------------------------------------
@@ -123,8 +135,8 @@ def shared_runs(spark, sf):
     return si.shared_runs(_docs(spark, sf), inp.copies(spark, sf), cls=LET)
 
 
-@query("confirmed_neighbours", r"""WITH win AS (SELECT vec_id AS idx, vec_id // 3 AS uid, vec_id % 3 * 400 AS start, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-nn AS MATERIALIZED (SELECT a.idx, b.idx AS near_idx, row_number() OVER (PARTITION BY a.idx ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.idx) AS rank FROM win a JOIN win b ON a.uid <> b.uid QUALIFY rank <= 2),
+@query("confirmed_neighbours", r"""WITH win AS (SELECT vec_id AS idx, vec_id AS uid, vec_id // 3 AS work, CAST(vec_id * 7 % greatest(1, coalesce(ceil(length(text) / 400), 1)) AS BIGINT) * 400 AS start, CAST(embedding AS DOUBLE[]) AS v FROM embeddings LEFT JOIN documents ON doc_id = vec_id),
+nn AS MATERIALIZED (SELECT a.idx, b.idx AS near_idx, row_number() OVER (PARTITION BY a.idx ORDER BY round(list_dot_product(a.v, b.v), 12) DESC, b.idx) AS rank FROM win a JOIN win b ON a.work <> b.work QUALIFY rank <= 2),
 t AS (SELECT idx, regexp_replace(substr(text, CAST(start AS INTEGER) + 1, 400), '[^\p{L}]+', '', 'g') AS t FROM win JOIN documents ON doc_id = win.uid WHERE start < length(text)),
 pg AS MATERIALIZED (SELECT idx, i AS at, substr(t, CAST(i AS INTEGER), 4) AS g FROM (SELECT idx, t, unnest(range(1, CAST(length(t) AS BIGINT) - 2)) AS i FROM t WHERE length(t) >= 4)),
 mt AS (SELECT nn.idx, nn.near_idx, a.at AS a, b.at AS b FROM nn JOIN pg a ON a.idx = nn.idx JOIN pg b ON b.idx = nn.near_idx AND b.g = a.g),
