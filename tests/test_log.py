@@ -1,6 +1,8 @@
 import random
 
+import pytest
 from logs import agent, attest, edge, propose, shift, verdict, verify
+from pyspark.sql import functions as F
 
 from vidimus.operators import audit as au
 from vidimus.operators import census as ce
@@ -238,3 +240,43 @@ def test_hidden_question_takes_what_only_it_holds(spark):
         ("attests", "passage:s", "claim:b"), ("part_of", "passage:p", "witness:w"), ("part_of", "passage:s", "witness:v")], "type STRING, src STRING, dst STRING")
     got = {r["id"] for r in evd.hide_questions(n, e, spark.createDataFrame([("question:1",)], "id STRING")).collect()}
     assert got == {"question:1", "claim:a", "passage:p", "witness:w"}
+
+
+def test_snapshot_commits_by_its_manifest(spark, log, tmp_path):
+    from vidimus.sources import artifacts as ar
+    from vidimus.sources.corpus import SourceError
+
+    ev = log(propose("witness", "w"), propose("passage", "p", witness="w"), propose("claim", "c"), attest("passage:p"), edge("contradicts", "claim:c", "passage:p", id="edge:x"))
+    graph = pj.project(ev)
+    dest = str(tmp_path / "snap")
+    with pytest.raises(SourceError, match="no complete snapshot"):
+        ar.read_snapshot(spark, dest)
+    wrong = {**graph._asdict(), "nodes": graph.nodes.filter("id <> 'claim:c'")}
+    with pytest.raises(SourceError, match="does not replay"):
+        ar.snapshot(wrong, ev, dest)
+    assert len(ar.stale_stages(spark, dest)) == 1
+    manifest = ar.snapshot(graph._asdict(), ev, dest)
+    assert {r["table"] for r in manifest.collect()} == {*graph._fields, "events"} and len(ar.stale_stages(spark, dest)) == 1
+    tables, checked = ar.read_snapshot(spark, dest)
+    assert all(r["intact"] for r in checked.collect()) and tables["events"].count() == 5
+    with pytest.raises(SourceError, match="already"):
+        ar.snapshot(graph._asdict(), ev, dest)
+    stage = manifest.first()["stage"]
+    spark.read.parquet(f"{dest}/{stage}/agents").unionByName(tables["agents"].limit(1)).write.parquet(f"{dest}/other")
+    changed = tables["nodes"].withColumn("status", F.lit("accepted"))
+    changed.write.parquet(f"{dest}/changed")
+    spark.read.parquet(f"{dest}/changed").write.mode("overwrite").parquet(f"{dest}/{stage}/nodes")
+    assert {r["table"]: r["intact"] for r in ar.read_snapshot(spark, dest)[1].collect()}["nodes"] is False
+
+
+def test_a_hub_is_many_pages(spark):
+    n = 100_000
+    edges = spark.range(n).select(
+        F.concat(F.lit("edge:"), "id").alias("id"), F.lit("attests").alias("type"), F.concat(F.lit("passage:"), F.col("id") % 5000).alias("src"), F.lit("claim:hub").alias("dst"),
+        ((F.col("id") * 7919) % n).alias("created_seq"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("retracted_at"), F.lit(None).cast("string").alias("retracted_reason"))
+    want = spark.createDataFrame([("claim:hub",), ("passage:7",), ("claim:none",)], "id STRING")
+    pages = pj.edge_pages(edges, want, size=300, span=1000).collect()
+    hub = sorted((r for r in pages if r["id"] == "claim:hub"), key=lambda r: r["page"])
+    assert {r["side"] for r in hub} == {"in"} and [r["page"] for r in hub] == list(range(334)) and all(len(r["edges"]) == 300 for r in hub[:-1])
+    assert [e["created_seq"] for r in hub for e in r["edges"]] == list(range(n))
+    assert [(r["side"], r["page"], len(r["edges"])) for r in pages if r["id"] == "passage:7"] == [("out", 0, 20)]

@@ -19,6 +19,20 @@ def test_streaks_over_batches_equal_the_whole_log(spark, tmp_path):
     assert key(st.stored_streaks(spark, store)) == key(refusal_streaks(spark.createDataFrame(rows, ddl)))
 
 
+def test_streaks_over_late_and_repeated_batches_equal_the_whole_log(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(s, rng.choice("aab"), rng.choice(["r1", "r1", "r2"]), rng.choice(["w", "x", None]), rng.choice(["n1", None])) for s in range(120)]
+    ddl = "seq BIGINT, authored_by STRING, rule STRING, attempted STRING, node_id STRING"
+    key = lambda df: {(r["authored_by"], r["rule"], r["category"], r["count"], r["first_seq"], r["last_seq"], tuple(r["attempted"]), tuple(r["node_ids"])) for r in df.collect()}
+    for span in (7, 1000):
+        mixed = rng.sample(rows, len(rows))
+        store = str(tmp_path / f"s{span}")
+        for epoch, part in enumerate([mixed[:50], mixed[40:41], [], mixed[50:], mixed[:9]]):
+            for _ in range(2):
+                st.streak_batch(spark.createDataFrame(part, ddl), store, epoch, span=span)
+        assert key(st.stored_streaks(spark, store)) == key(refusal_streaks(spark.createDataFrame(rows, ddl)))
+
+
 def test_partial_folds_in_any_order_equal_a_replay(spark, log, tmp_path):
     ev = log(
         propose("witness", "w"), propose("passage", "p", witness="w"), propose("witness", "w", by="agent:z"), propose("claim", "c"), attest("passage:p"),

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from vidimus import schemas
 from vidimus.functions import text as tx
-from vidimus.functions.frames import multiset_diff
+from vidimus.functions.frames import SPAN, multiset_diff
+
+PAGE = 1000  # edges of a node in one row
 
 STATUS_OF = {"attest": "attested", "accept": "accepted", "reject": "rejected", "reopen": "proposed"}
 VERDICT_OF = {"accept": "accepted", "reject": "rejected", "reopen": "reopened"}
@@ -362,23 +364,38 @@ def node_view(nodes: DataFrame, edges: DataFrame, node_authorship: DataFrame) ->
     )
 
 
+def edge_pages(edges: DataFrame, ids: DataFrame, size: int = PAGE, span: int = SPAN) -> DataFrame:
+    """The edges of the wanted nodes (`id`), withdrawn ones included, as numbered pages of at most `size`
+    in the order they were made: (id, side, page, edges), side `out` or `in`, pages from 0 (E16, G6).
+
+    A hub is many pages. Places are counted within chunks of the sequence and shifted by the sizes of the
+    chunks before, so neither a window nor a row ever holds all edges of a node.
+    """
+    from vidimus.operators.evidence import edge_view
+
+    shown = edge_view(edges)
+    entry = F.struct("created_seq", "id", "type", "src", "dst", "discounts", "reason", "retracted").alias("edge")
+    ends = shown.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("side")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("side")))).alias("end"), entry)
+    mine = ends.select("end.id", "end.side", "edge", F.floor(F.col("edge.created_seq") / span).alias("_chunk")).join(ids.select("id").distinct(), "id", "left_semi")
+    key = ["id", "side", "_chunk"]
+    before = Window.partitionBy("id", "side").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = mine.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = Window.partitionBy(*key).orderBy("edge.created_seq", "edge.id")
+    placed = mine.withColumn("_place", F.row_number().over(inside) - 1).join(sizes, key).withColumn("page", F.floor((F.col("_place") + F.col("_before")) / size))
+    return placed.groupBy("id", "side", "page").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+
+
 def node_detail(
     nodes: DataFrame, edges: DataFrame, node_authorship: DataFrame, ids: DataFrame,
 ) -> DataFrame:
-    """Wanted nodes with their verifications, edges both ways (withdrawn ones included) and, for
-    claims and conjectures only, the independence of their support (E16)."""
-    from vidimus.operators.evidence import edge_view, independent_support, verifications
+    """Wanted nodes with their verifications, how many edges they have each way (withdrawn ones included;
+    the edges themselves are `edge_pages`) and, for claims and conjectures only, the independence of their
+    support (E16)."""
+    from vidimus.operators.evidence import independent_support, verifications
 
     want = nodes.join(ids.select("id").distinct(), "id", "left_semi")
     view = node_view(want, edges, node_authorship)
-    shown = edge_view(edges)
-    entry = F.struct("created_seq", "id", "type", "src", "dst", "discounts", "reason", "retracted")
-    out = shown.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_semi").groupBy(F.col("src").alias("id")).agg(
-        F.array_sort(F.collect_list(entry)).alias("edges_out")
-    )
-    inn = shown.join(ids.select(F.col("id").alias("dst")).distinct(), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(
-        F.array_sort(F.collect_list(entry)).alias("edges_in")
-    )
+    degree = lambda end, name: edges.groupBy(F.col(end).alias("id")).agg(F.count(F.lit(1)).alias(name))
     checks = verifications(nodes, edges).join(
         ids.select(F.col("id").alias("subject_id")).distinct(), "subject_id", "left_semi"
     ).groupBy(F.col("subject_id").alias("id")).agg(
@@ -387,9 +404,8 @@ def node_detail(
     support = independent_support(want, edges).select(
         "id", F.struct("attesting_count", "distinct_witnesses", "independent", "vacuous").alias("support")
     )
-    return (
-        view.join(checks, "id", "left").join(out, "id", "left").join(inn, "id", "left").join(support, "id", "left")
-    )
+    out = view.join(checks, "id", "left").join(degree("src", "edges_out"), "id", "left").join(degree("dst", "edges_in"), "id", "left").join(support, "id", "left")
+    return out.fillna(0, ["edges_out", "edges_in"])
 
 
 def creation_provenance(nodes: DataFrame, ev: DataFrame) -> DataFrame:

@@ -213,7 +213,18 @@ def node_details(spark, sf):
     ids = nodes.filter(F.col("type").isin(*schemas.REVIEWABLE_TYPES)).select("id")
     d = pj.node_detail(nodes, _e(spark, sf), inp.graph_authorship(spark, sf), ids)
     n = lambda c: F.when(F.col(c).isNull(), F.lit(0)).otherwise(F.size(c)).cast("bigint").alias(c)
-    return d.select("id", F.get("authorship", F.lit(0))["author"].alias("first_author"), n("edges_out"), n("verifications"), F.col("support.attesting_count").alias("attesting_count"))
+    return d.select("id", F.get("authorship", F.lit(0))["author"].alias("first_author"), "edges_out", n("verifications"), F.col("support.attesting_count").alias("attesting_count"))
+
+
+# all edges of every witness, withdrawn ones too, in pages of 50
+@query("witness_pages", f"""WITH {G}, e AS (SELECT 'edge:po' || substr(id, 9) AS eid, id AS src, 'witness:S' || s AS dst, 10000000000 + o * 8 + l AS seq FROM psg
+  UNION ALL SELECT CASE type WHEN 'parallel_of' THEN 'edge:pl' ELSE 'edge:ds' END || s, a, b, s FROM par UNION ALL SELECT 'edge:pl' || s || ':rev', b, a, s FROM par WHERE type = 'parallel_of'),
+ends AS (SELECT src AS id, 'out' AS side, eid, seq FROM e WHERE src LIKE 'witness:%' UNION ALL SELECT dst, 'in', eid, seq FROM e),
+pg AS (SELECT *, (row_number() OVER (PARTITION BY id, side ORDER BY seq, eid) - 1) // 50 AS page FROM ends)
+SELECT id, side, page, count(*) AS edges, string_agg(eid, ' ' ORDER BY seq, eid) AS ids FROM pg GROUP BY 1, 2, 3""")
+def witness_pages(spark, sf):
+    pages = pj.edge_pages(_e(spark, sf), _n(spark, sf).filter("type = 'witness'").select("id"), size=50, span=1_000_000_000)
+    return pages.select("id", "side", "page", F.size("edges").cast("bigint").alias("edges"), F.array_join(F.transform("edges", lambda e: e["id"]), " ").alias("ids"))
 
 
 @query("question_tally", f"""WITH {G}, adr AS (SELECT 'question:Q' || (p // 40) AS id, hyp.status, sup.* EXCLUDE (id, type) FROM hyp JOIN sup USING (id) WHERE p % 11 <> 0)

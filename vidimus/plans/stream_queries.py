@@ -12,8 +12,11 @@ from vidimus.streaming import log as st
 
 
 def _raw(spark, sf):
-    schema = inp.table(spark, sf, "events").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    """The events table as four files that arrive one after the other, each with rows from everywhere in
+    the sequence, so that every batch but the first is late for most of it."""
+    events, parts = inp.table(spark, sf, "events"), scratch_path(spark, "arriving")
+    events.repartition(4, "event_id").write.parquet(parts)
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(parts)
     return rows.select(F.col("event_id").alias("seq"), "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
@@ -60,3 +63,28 @@ def stream_projection(spark, sf):
     log = spark.readStream.schema(spark.read.parquet(parts).schema).option("maxFilesPerTrigger", 1).parquet(parts)
     st.stream_project(log, store, f"{store}/checkpoint").awaitTermination()
     return st.stored_graph(spark, store).nodes.select("id", "type", "status", "rejected_reason", "created_seq", "updated_seq")
+
+
+# the log as text files of which the last repeats lines of the others; the tail stops after two files and starts again
+@query("log_tail", "SELECT event_id AS seq, 'agent:' || user_id AS authored_by, 'analysis' AS event, CAST(event_id % 3 AS VARCHAR) AS run_id FROM events")
+def log_tail(spark, sf):
+    from vidimus.sources.eventlog import to_line
+
+    root = scratch_path(spark, "tail")
+    e = inp.table(spark, sf, "events")
+    lines = e.select(
+        F.col("event_id").alias("seq"), F.lit("analysis").alias("event"), F.concat(F.lit("agent:"), "user_id").alias("authored_by"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"),
+        (F.col("event_id") % 3).cast("string").alias("run_id"), F.lit(None).cast("string").alias("detail"))
+    line = to_line(lines).alias("value")
+    lines.filter("seq % 2 = 0").select(line).coalesce(1).write.text(f"{root}/log/first")
+    lines.filter("seq % 2 = 1 AND seq % 5 <> 0").select(line).coalesce(1).write.text(f"{root}/log/second")
+
+    def read_on() -> None:
+        tail = st.tail(spark, f"{root}/log/*", "3650 days", max_files=1)
+        keep = lambda b, n: b.select("seq", "authored_by", "event", "run_id").write.mode("overwrite").parquet(f"{root}/seen/epoch={n}")
+        tail.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    read_on()
+    lines.filter("seq % 5 = 0 OR seq % 7 = 0").select(line).coalesce(1).write.text(f"{root}/log/third")
+    read_on()
+    return spark.read.parquet(f"{root}/seen").drop("epoch")

@@ -6,12 +6,12 @@ folder per micro-batch that a replayed batch overwrites, so a restart never coun
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vidimus.functions.frames import SPAN, scratch_path
 from vidimus.operators import projection as pj
-from vidimus.operators.census import UNKNOWN_CALL_COST, refusal_streaks, rule_category
+from vidimus.operators.census import UNKNOWN_CALL_COST, rule_category
 from vidimus.sources.eventlog import parse_lines
 
 
@@ -134,39 +134,45 @@ def compact(spark: SparkSession, store: str, target: str) -> None:
 
 
 # --- streaks ---------------------------------------------------------------------------------------------
-_STREAK = "authored_by STRING, rule STRING, category STRING, count BIGINT, first_seq BIGINT, last_seq BIGINT, attempted ARRAY<STRING>, node_ids ARRAY<STRING>"
-
-
-def _epochs(spark: SparkSession, path: str) -> list[int]:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/epoch=*")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-    return sorted(int(f.getPath().getName().split("=")[1]) for f in found)
+_REFUSED = "authored_by STRING, seq BIGINT, rule STRING, attempted STRING, node_id STRING"
+_NAMED = "ARRAY<STRUCT<seq: BIGINT, name: STRING>>"
+_RUN = f"authored_by STRING, chunk BIGINT, rule STRING, count BIGINT, first_seq BIGINT, last_seq BIGINT, attempted {_NAMED}, node_ids {_NAMED}, leads BOOLEAN, trails BOOLEAN"
+
+
+def _folded(refused: DataFrame) -> DataFrame:
+    """Runs of one rule within each author's rows of one chunk; whether a run is the first or last there."""
+    key = ["authored_by", "chunk"]
+    w = Window.partitionBy(*key).orderBy("seq")  # a chunk holds at most `span` sequence numbers
+    marked = refused.withColumn("_new", (~F.lag("rule").over(w).eqNullSafe(F.col("rule")) | (F.row_number().over(w) == 1)).cast("int"))
+    runs = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    size = runs.groupBy(*key, "_run").agg(F.first("rule").alias("rule"), F.count(F.lit(1)).alias("count"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    size = size.withColumn("_runs", F.max("_run").over(Window.partitionBy(*key)))
+
+    def named(column: str, out: str) -> DataFrame:
+        firsts = runs.filter(F.col(column).isNotNull()).groupBy(*key, "_run", column).agg(F.min("seq").alias("seq"))
+        return firsts.groupBy(*key, "_run").agg(F.array_sort(F.collect_list(F.struct("seq", F.col(column).alias("name")))).alias(out))
+
+    j = size.join(named("attempted", "attempted"), [*key, "_run"], "left").join(named("node_id", "node_ids"), [*key, "_run"], "left")
+    none = F.array().cast(_NAMED)
+    return j.select(
+        *key, "rule", "count", "first_seq", "last_seq", F.coalesce("attempted", none).alias("attempted"), F.coalesce("node_ids", none).alias("node_ids"),
+        (F.col("_run") == 1).alias("leads"), (F.col("_run") == F.col("_runs")).alias("trails"),
+    )
 
 
 def streak_batch(refused: DataFrame, store: str, epoch: int, span: int = SPAN) -> None:
-    """One micro-batch of refusals, later than every earlier batch, folded into open and closed streaks."""
+    """One micro-batch of refusals, in any order and however late, folded into the store.
+
+    Refusals are kept by chunk of the sequence. A batch folds again, whole, just those chunks it has rows
+    in, from all batches up to its own; other chunks keep the runs they have. A repeated sequence number
+    counts once, and a batch that is run again writes the same folders."""
     spark = refused.sparkSession
-    before = [e for e in _epochs(spark, f"{store}/open") if e < epoch]
-    held = spark.read.schema(_STREAK).parquet(f"{store}/open/epoch={before[-1]}") if before else spark.createDataFrame([], _STREAK)
-    runs = refusal_streaks(refused, 1, span).persist()
-    ends = runs.groupBy("authored_by").agg(F.min("first_seq").alias("_first"), F.max("first_seq").alias("_last"))
-    cols = [c.split(" ")[0] for c in _STREAK.split(", ")]
-    h = held.select(F.col("authored_by"), F.struct(*[c for c in cols if c != "authored_by"]).alias("h"))
-    j = runs.join(ends, "authored_by").join(h, "authored_by", "left")
-    grows = (F.col("first_seq") == F.col("_first")) & F.coalesce(F.col("h.rule") == F.col("rule"), F.lit(False))
-    both = lambda c: F.when(grows, F.array_distinct(F.concat(F.col(f"h.{c}"), F.col(c)))).otherwise(F.col(c)).alias(c)
-    merged = j.select(
-        "authored_by", "rule", "category", (F.col("count") + F.when(grows, F.col("h.count")).otherwise(0)).alias("count"),
-        F.when(grows, F.col("h.first_seq")).otherwise(F.col("first_seq")).alias("first_seq"), "last_seq", both("attempted"), both("node_ids"),
-        (F.col("first_seq") == F.col("_last")).alias("_open"), grows.alias("_grew"),
-    )
-    broken = held.join(merged.filter("_grew").select("authored_by"), "authored_by", "left_anti").join(ends.select("authored_by"), "authored_by", "left_semi")
-    idle = held.join(ends.select("authored_by"), "authored_by", "left_anti")
-    closed = merged.filter("NOT _open").select(*cols).unionByName(broken.select(*cols)).filter(F.col("count") >= 2)
-    open_ = merged.filter("_open").select(*cols).unionByName(idle.select(*cols))
-    closed.write.mode("overwrite").parquet(f"{store}/closed/epoch={epoch}")
-    open_.write.mode("overwrite").parquet(f"{store}/open/epoch={epoch}")
-    runs.unpersist()
+    rows = refused.select("authored_by", F.col("seq").cast("bigint").alias("seq"), "rule", "attempted", "node_id")
+    rows.withColumn("chunk", F.floor(F.col("seq") / span)).write.mode("overwrite").partitionBy("chunk").parquet(f"{store}/refused/epoch={epoch}")
+    held = spark.read.schema(f"{_REFUSED}, epoch INT, chunk BIGINT").parquet(f"{store}/refused").filter(F.col("epoch") <= epoch)
+    touched = held.filter(F.col("epoch") == epoch).select("chunk").distinct()
+    again = held.join(touched, "chunk", "left_semi").drop("epoch").dropDuplicates(["seq"])
+    _folded(again).write.mode("overwrite").parquet(f"{store}/runs/epoch={epoch}")
 
 
 def stream_streaks(refused: DataFrame, store: str, checkpoint: str, span: int = SPAN):
@@ -175,11 +181,22 @@ def stream_streaks(refused: DataFrame, store: str, checkpoint: str, span: int =
 
 
 def stored_streaks(spark: SparkSession, store: str, min_len: int = 2) -> DataFrame:
-    """Closed streaks, and the open one of each author counted as it stands."""
-    last = _epochs(spark, f"{store}/open")[-1]
-    closed = spark.read.schema(_STREAK).parquet(*[f"{store}/closed/epoch={e}" for e in _epochs(spark, f"{store}/closed")])
-    open_ = spark.read.schema(_STREAK).parquet(f"{store}/open/epoch={last}")
-    return closed.unionByName(open_).filter(F.col("count") >= min_len)
+    """The streaks as they stand: each chunk's newest runs, those at its ends joined to the next chunk's."""
+    runs = spark.read.schema(f"{_RUN}, epoch INT").parquet(f"{store}/runs")
+    runs = runs.join(runs.groupBy("chunk").agg(F.max("epoch").alias("epoch")), ["chunk", "epoch"])
+    outer = F.col("leads") | F.col("trails")
+    w = Window.partitionBy("authored_by").orderBy("first_seq")  # two runs a chunk at most
+    joins = F.lag("rule").over(w).eqNullSafe(F.col("rule")) & (F.lag("chunk").over(w) < F.col("chunk"))
+    ends = runs.filter(outer).withColumn("_new", (~F.coalesce(joins, F.lit(False))).cast("int"))
+    ends = ends.withColumn("_streak", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    names = lambda c: F.array_distinct(F.transform(F.array_sort(F.flatten(F.collect_list(c))), lambda x: x["name"])).alias(c)
+    long = ends.groupBy("authored_by", "_streak").agg(
+        F.first("rule").alias("rule"), F.sum("count").alias("count"), F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), names("attempted"), names("node_ids"))
+    inner = runs.filter(~outer)
+    plain = lambda c: F.transform(c, lambda x: x["name"]).alias(c)
+    cols = ["authored_by", "rule", "count", "first_seq", "last_seq", "attempted", "node_ids"]
+    every = long.select(cols).unionByName(inner.select(*cols[:5], plain("attempted"), plain("node_ids")))
+    return every.filter(F.col("count") >= min_len).select("authored_by", "rule", rule_category("rule").alias("category"), *cols[2:])
 
 
 # --- admission ----------------------------------------------------------------------------------------------
