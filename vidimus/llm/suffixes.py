@@ -15,6 +15,7 @@ prefix of another, the order at any byte is that of what is left of its word, th
 """
 from __future__ import annotations
 
+import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ HOT = BATCH  # bytes of different segments of one anchor; beyond it windows are
 
 _BYTE = np.random.Generator(np.random.PCG64(11)).integers(0, 1 << 64, 256, dtype=np.uint64)
 _ODD = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+WORD = 10  # bytes of a word, about
 _PER_KEY, _BITS = 7, 9  # symbols in a 64-bit key, bits of each: 0 behind a word, 1 end of a segment, byte + 2
 
 
@@ -50,7 +52,8 @@ def lyndon_groups(symbols: np.ndarray) -> tuple[list[list[int]], list[int]]:
     n, kinds = len(symbols), int(symbols.max()) + 1
     order = np.argsort(symbols, kind="stable")
     size = np.bincount(symbols, minlength=kinds)
-    members = [part.tolist() for part in np.split(order, np.cumsum(size)[:-1])]
+    upto, order = np.cumsum(size).tolist(), order.tolist()
+    members = [order[i:j] for i, j in zip([0, *upto], upto)]
     size, group = size.tolist(), symbols.tolist()
     below, above = list(range(-1, kinds - 1)), [*range(1, kinds), -1]
     smaller, done, out = [-1] * n, bytearray(n), []
@@ -131,36 +134,40 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     return np.array(rank, np.int64)
 
 
-_LETTER = np.zeros(258, bool)
-_LETTER[[ord(c) + 2 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
+def _word_ends(symbols: np.ndarray) -> np.ndarray:
+    """Which symbols end a word: the end of a segment, and as many byte values, common ones first, as make
+    words of some WORD bytes."""
+    count = np.bincount(symbols, minlength=258)
+    count[:2] = 0
+    chosen, left = np.zeros(258, bool), len(symbols) / WORD
+    for v in np.argsort(-count, kind="stable").tolist():
+        if 0 < count[v] <= left:
+            chosen[v] = True
+            left -= count[v]
+    if not chosen.any() and count.any():
+        chosen[np.flatnonzero(count)[np.argmin(count[count > 0])]] = True
+    chosen[1] = True
+    return chosen[symbols]
 
 
 def _word_ranks(text: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Dense ranks of what is left of the word at each place; last: end of the word of every symbol."""
-    def key(column: int) -> np.ndarray:
-        out = np.zeros(len(rows), np.int64)
+    left, rank = last[at] - at, np.zeros(len(at), np.int64)
+    by_length = np.argsort(-left, kind="stable")
+    at, left = at[by_length], left[by_length]
+    text = np.r_[text, np.zeros(_PER_KEY, text.dtype)]
+    for column in range(int(left.max(initial=0)) // _PER_KEY, -1, -1):  # from the far ends of long words
+        n = int(np.searchsorted(-left, -column * _PER_KEY, "right"))  # the words that reach this far
+        place, more = at[:n] + column * _PER_KEY, left[:n] - column * _PER_KEY
+        key = np.zeros(n, np.int64)
         for t in range(_PER_KEY):
-            i = rows + column * _PER_KEY + t
-            out = out << _BITS | np.where(i <= end, text[np.minimum(i, len(text) - 1)], 0)
-        return out
-
-    rows, end = at, last[at]
-    first = key(0)
-    long = np.flatnonzero(end - rows >= _PER_KEY)
-    rest = np.zeros(len(at), np.int64)
-    if len(long):
-        rows, end = at[long], last[at[long]]
-        keys = [key(c) for c in range(int((end - rows).max()) // _PER_KEY, 0, -1)]
-        order = np.lexsort(keys)
-        new = np.zeros(len(order), bool)
-        for k in keys:
-            new[1:] |= k[order[1:]] != k[order[:-1]]
-        rest[long[order]] = np.cumsum(new)
-    order = np.lexsort((rest, first)) if len(long) else np.argsort(first, kind="stable")
-    a, b = first[order], rest[order]
-    rank = np.empty(len(at), np.int64)
-    rank[order] = np.cumsum(np.r_[False, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    return rank
+            key = key << _BITS | np.where(more >= t, text[place + t], 0)
+        order = np.lexsort((rank[:n], key))
+        a, b = key[order], rank[:n][order]
+        rank[order] = np.cumsum(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    out = np.empty(len(at), np.int64)
+    out[by_length] = rank
+    return out
 
 
 def repeated_windows(segments: list[bytes], weights: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +178,7 @@ def repeated_windows(segments: list[bytes], weights: np.ndarray, width: int = WI
     text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     symbols = text.astype(np.int64) + 2
     symbols[start + size] = 1
-    stop = np.flatnonzero(~_LETTER[symbols])  # ends of words
+    stop = np.flatnonzero(_word_ends(symbols))
     head = np.r_[0, stop[:-1] + 1]
     last = np.repeat(stop, np.diff(np.r_[-1, stop]))
     of = np.repeat(np.arange(len(segments)), size - width + 1)
@@ -301,6 +308,7 @@ def _by_suffix_array(fetched: DataFrame, width: int, batch: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(sig), pa.array(first.astype("i4")), pa.array(last.astype("i4"))], ["anchor", "sig", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the many small groups are no cycles
         held, size, before = [], 0, None
         for b in sliced(batches, text=3, rows=4096):
             for row in zip(*(c.to_pylist() for c in b.columns)):
