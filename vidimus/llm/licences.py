@@ -144,16 +144,18 @@ def _spelled(text: Column) -> Column:
 
 
 def digests(texts: DataFrame) -> DataFrame:
-    """(doc_id, whole, digest): one row for each whole text and one for each of its lines.
+    """The rows of texts without `text`, and for each whole text (line -1) and each of its lines
+    (line from 0) a row with its digest.
 
     Every text is normalised once, line by line; the whole text is its lines put together again.
     """
+    keys = [c for c in texts.columns if c != "text"]
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), _plain_line)
-    cut = texts.select("doc_id", lines.alias("lines"))
-    whole = F.struct(F.lit(True).alias("whole"), F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("t"))
-    each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), x.alias("t")))
-    rows = cut.select("doc_id", F.explode(F.concat(F.array(whole), each)).alias("x")).select("doc_id", "x.whole", "x.t")
-    return rows.select("doc_id", "whole", F.sha2(F.encode(_spelled(F.col("t")), "UTF-8"), 256).alias("digest"))
+    cut = texts.select(*keys, lines.alias("lines"))
+    whole = F.struct(F.lit(-1).alias("line"), F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("t"))
+    each = F.transform("lines", lambda x, i: F.struct(i.alias("line"), x.alias("t")))
+    rows = cut.select(*keys, F.explode(F.concat(F.array(whole), each)).alias("x")).select(*keys, "x.line", "x.t")
+    return rows.select(*keys, "line", F.sha2(F.encode(_spelled(F.col("t")), "UTF-8"), 256).alias("digest"))
 
 
 #: Every canonical notice has one of these; no other text can be a known licence.
@@ -162,12 +164,11 @@ HINTS = ["licen", "cc by", "cc0", "copyright", "permission"]
 
 def known_texts() -> Iterator[tuple[str, str]]:
     """(licence, text) of every form that is known as a whole: with and without its title, its numbers
-    of clauses (BSD), and what is said behind the end of its terms. MIT has no titled form: its title
-    line stays text of its own."""
+    of clauses (BSD), and what is said behind the end of its terms."""
     for k, text in TEXTS.items():
         lines = [x for x in text.split("\n") if x.strip()]
         plain = [text] + (["\n".join(re.sub(r"^\d\. ", "", x) for x in lines)] if k.startswith("BSD") else [])
-        titles = [t for name in NAMES[k] for t in (name, f"The {name}")] if k not in FILES and k != "MIT" else []
+        titles = [t for name in NAMES[k] for t in (name, f"The {name}", f"{name} ({k})", f"The {name} ({k})")] if k not in FILES else []
         for form in [*plain, *("\n".join(lines[n:]) for n in FILES.get(k, [])), *(f"{t}\n{p}" for t in titles for p in plain)]:
             yield k, form
             terms, end, _ = form.partition("END OF TERMS AND CONDITIONS")
@@ -179,9 +180,10 @@ def known_texts() -> Iterator[tuple[str, str]]:
 def known_licences(spark: SparkSession) -> DataFrame:
     """(licence, digest) of the built-in texts; one row a digest. Callers may join any such table."""
     rows = [(k, n.format(name)) for k, names in NAMES.items() for name in names for n in NOTICES] + list(known_texts())
-    made = digests(spark.createDataFrame(rows, "doc_id string, text string")).filter("whole").groupBy("digest").agg(F.min("doc_id").alias("licence"))
-    # some hundred rows, collected so that joins see their size and not that of the texts
-    return spark.createDataFrame(made.collect(), "digest string, licence string")
+    made = digests(spark.createDataFrame(rows, "licence string, text string")).filter("line = -1").groupBy("digest").agg(F.min("licence").alias("licence"))
+    # some hundred rows of two short strings, written into the plan, so that joins know their size
+    values = ", ".join("('{}', '{}')".format(r["digest"], r["licence"]) for r in made.collect())
+    return spark.sql(f"SELECT * FROM VALUES {values} AS known(digest, licence)")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -189,16 +191,19 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     licence: the known licence that the whole text is, or null. line_licences: those that a whole line
     is, sorted, joined by commas, empty where none; n_licence_lines counts such lines. Null and empty
-    texts match nothing. Rows that repeat a doc_id share what is found under it (the first licence by
-    name). Other columns are not read; an empty table gives no rows.
+    texts match nothing. Each row has what its own text says, whatever its doc_id: rows that repeat an
+    id or have none are told apart by a 128-bit hash of their texts. Other columns are not read; an empty
+    table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    on_line = F.when(~F.col("whole"), F.col("licence"))
-    found = digests(texts).join(known, "digest").groupBy(F.col("doc_id").alias("of_id")).agg(
-        F.min(F.when(F.col("whole"), F.col("licence"))).alias("licence"),
-        F.concat_ws(",", F.array_sort(F.collect_set(on_line))).alias("line_licences"), F.count(on_line).alias("n_licence_lines"),
+    text = F.col("text").cast("string")
+    keys = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+    hits = digests(docs.select(*keys, text.alias("text"))).join(known, "digest")
+    is_line = F.col("line") >= 0
+    found = hits.groupBy("h1", "h2").agg(
+        F.min(F.when(~is_line, F.col("licence"))).alias("licence"), F.concat_ws(",", F.array_sort(F.collect_set(F.when(is_line, F.col("licence"))))).alias("line_licences"),
+        F.count_distinct(F.when(is_line, F.col("line"))).alias("n_licence_lines"),  # equal texts bring each line more than once
     )
-    ids = texts.select("doc_id")
-    return ids.join(found, ids["doc_id"].eqNullSafe(found["of_id"]), "left").select(
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keys)
+    return ids.join(found, ["h1", "h2"], "left").select(
         "doc_id", "licence", F.coalesce("line_licences", F.lit("")).alias("line_licences"), F.coalesce("n_licence_lines", F.lit(0)).cast("long").alias("n_licence_lines")
     )

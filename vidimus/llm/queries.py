@@ -36,7 +36,7 @@ def _duck_canonical(text: str) -> str:
 
 
 def _known_values() -> str:
-    rows = [(k, n.format(name)) for k, names in licences.NAMES.items() for name in names for n in licences.NOTICES] + list(licences.TEXTS.items())
+    rows = [(k, n.format(name)) for k, names in licences.NAMES.items() for name in names for n in licences.NOTICES] + list(licences.known_texts())
     return ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in rows)
 
 
