@@ -74,3 +74,19 @@ def test_empty_table_and_no_training_rows(spark):
     held = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 5 == 1)
     rows = lm.score_texts(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).collect()
     assert rows[0]["n_known"] == 0 and rows[0]["score"] == 0.0
+
+
+def test_one_word_of_a_megabyte_beside_many(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    rows = [(i, " ".join(words[i * 500 : i * 500 + 500])) for i in range(40)] + [(900, "x" * 1_000_000 + " w1"), (901, "y" * 1_000_000)]
+    got = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), buckets=1).collect()}
+    assert len(got) == len(rows) and got[900]["n_tokens"] == 3 and all(math.isfinite(r["score"]) for r in got.values())
+
+
+def test_buckets_follow_the_text(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 10)
+    seen = []
+    code = lm._code
+    monkeypatch.setattr(lm, "_code", lambda buckets, size: seen.append(buckets) or code(buckets, size))
+    assert lm.score_texts(spark.createDataFrame([(1, "a" * 55), (2, None)], "doc_id long, text string")).count() == 2
+    assert seen == [6]

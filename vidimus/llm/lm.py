@@ -29,6 +29,7 @@ from vidimus.llm.common import fold, raw, sliced
 
 FOLDS, HELD = 5, 1
 K = 5
+BUCKET_BYTES = 16 << 20  # of text for each hash bucket of the tables
 BLOCK_BYTES = 16 << 20
 SPLIT = 200_000  # a first word this frequent has its pairs dealt by both words
 END_WORD = b"\n"  # no word can be white space
@@ -142,7 +143,7 @@ def _count_words(buckets: int):
             own = at[upto : upto + len(part)]
             upto += len(part)
             rows.append(("ids", block, bucket, put(ids[own].astype(np.uint32)), put(total[own])))
-        order = seen[np.argsort([names[i] for i in seen])] if len(seen) else seen
+        order = np.array(sorted(seen.tolist(), key=names.__getitem__), np.int64)  # a list: words may be of any length
         rows.append(("table", None, bucket, put_words([names[i] for i in order]), put(ids[order]), put(total[order])))
         end = int(total[names.index(END_WORD)]) if END_WORD in names else 0
         sums = [int(total.sum()), len(seen), end, *(int((total == r).sum()) for r in range(1, K + 2))]
@@ -363,12 +364,14 @@ def score_texts(docs: DataFrame, buckets: int | None = None, split: int = SPLIT,
     bucket, below model_path (words and pairs, `kind` = table). A null or empty text is one end token;
     a null doc_id counts as training; rows that repeat are counted and scored each; an empty table, or
     one without training rows, knows no word: everything is then the unknown word. Columns other than
-    doc_id and text are not read. `buckets` is the number of hash buckets of the tables (the session's
-    shuffle partitions by default).
+    doc_id and text are not read. `buckets` is the number of hash buckets of the tables; by default as
+    many as keep BUCKET_BYTES of text each, and no fewer than the session's shuffle partitions.
     """
     spark = docs.sparkSession
     ship(spark)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     path = model_path or scratch_path(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (fold("doc_id", FOLDS) != HELD).alias("train"))
     coded = _written(rows.mapInArrow(_code(buckets, block_bytes), PACKED), f"{path}/blocks")
