@@ -280,3 +280,21 @@ def test_a_hub_is_many_pages(spark):
     assert {r["side"] for r in hub} == {"in"} and [r["page"] for r in hub] == list(range(334)) and all(len(r["edges"]) == 300 for r in hub[:-1])
     assert [e["created_seq"] for r in hub for e in r["edges"]] == list(range(n))
     assert [(r["side"], r["page"], len(r["edges"])) for r in pages if r["id"] == "passage:7"] == [("out", 0, 20)]
+
+
+def test_admission_reads_only_what_bears_on_the_batch(spark, log, monkeypatch):
+    other = [propose("witness", "far"), propose("passage", "far", witness="far"), propose("claim", "far", text="no"), attest("passage:far"), edge("attests", "passage:far", "claim:far")]
+    ev = log(agent("agent:a", model="fam/x"), agent("agent:b", model="fam/y"), agent("agent:c", model="other/z"), *base(), *other)
+    ask = log(
+        attest("claim:c", by="agent:b"), attest("claim:c", by="agent:c"), attest("claim:far", by="agent:b"), edge("attests", "passage:p1", "claim:none"), propose("claim", "new", text="x"),
+        edge("attests", "passage:p1", "claim:new"), attest("claim:new", by="agent:c"), shift("retract_edge", "edge:none"), start=100)
+    seqs = {r["seq"] for r in au.bearing(ev, ask.filter("seq = 101")).collect()}
+    assert 0 < len(seqs) < ev.count() and not seqs & {r["seq"] for r in ev.filter("node_id LIKE '%far'").collect()}
+
+    def judged():
+        admitted, refused_ = au.admit(ev, ask)
+        return sorted(r["seq"] for r in admitted.collect()), sorted((r["seq"], r["rule"], r["message"]) for r in refused_.collect())
+
+    near = judged()
+    monkeypatch.setattr(au, "bearing", lambda whole, batch: whole)
+    assert near == judged() and near[0] and near[1]

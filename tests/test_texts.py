@@ -149,8 +149,9 @@ def test_segments_merge_and_clip(spark):
     assert got == [("abcd", True, 10), ("efg", False, 14), ("hij", True, 17)]
 
 
-@pytest.mark.parametrize("block", [8, 16, 512])
-def test_pruned_neighbours_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, pivots", [(8, 1024), (16, 3), (512, 1024)])
+def test_pruned_neighbours_equal_brute_force(spark, block, pivots, monkeypatch):
+    monkeypatch.setattr(si, "PIVOTS", pivots)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(5, 6))
     v = np.concatenate([c + 0.15 * rng.normal(size=(20, 6)) for c in centres] + [np.tile(centres[0], (30, 1))])

@@ -195,6 +195,15 @@ def target_hits(targets: DataFrame, counts: DataFrame, sets: Sequence[str] = FEA
     return skeleton.join(seen, KEY, "left").fillna(0, ["hits", "distinct"])
 
 
+def _beside(hits: DataFrame, classes: DataFrame) -> DataFrame:
+    """Every target with every class of its feature set. The classes, a row for each set and label, travel
+    as one value, so no join has a key of three values."""
+    per_set = classes.groupBy("feature_set").agg(F.collect_list(F.struct(*classes.columns)).alias("classes"))
+    listed = per_set.agg(F.map_from_entries(F.collect_list(F.struct("feature_set", "classes")))).scalar()
+    rows = hits.withColumn("_c", F.explode(F.try_element_at(listed, F.col("feature_set"))))
+    return rows.select(*hits.columns, *[F.col(f"_c.{c}").alias(c) for c in classes.columns if c != "feature_set"])
+
+
 def profile_summary(hits: DataFrame, prof: Profiles, sequence: DataFrame | None = None, min_units: int = MIN_UNITS) -> DataFrame:
     """Per target and class: units left after withholding, units before, tokens left, thin flag, place in
     the historical sequence, and why an empty profile is empty (T6, T14)."""
@@ -203,10 +212,9 @@ def profile_summary(hits: DataFrame, prof: Profiles, sequence: DataFrame | None
         classes = classes.join(prof.extra_units, "label", "left").fillna(0, ["extra"])
     else:
         classes = classes.withColumn("extra", F.lit(0))
-    # the class list is a small table: pair it with the feature sets, then with the targets by set
     per_set = classes.select("*", F.explode(F.array(*[F.lit(s) for s in FEATURE_SETS])).alias("feature_set"))
     per_set = per_set.join(prof.totals, ["feature_set", "label"], "left").join(prof.sizes, "feature_set").fillna(0, ["total"])
-    j = hits.withColumnRenamed("label", "own_label").join(per_set, "feature_set")
+    j = _beside(hits.withColumnRenamed("label", "own_label"), per_set)
     j = j.join(prof.own_totals, ["feature_set", "work", "label"], "left").join(prof.own_units, ["work", "label"], "left")
     j = j.fillna(0, ["own_total", "own_units"])
     out = j.select(
@@ -516,8 +524,7 @@ def sensitivity(targets: DataFrame, counts: DataFrame, kept: DataFrame, vocab: D
     mine = F.try_element_at("own", F.col("label"))
     gain = lambda c: F.col("n") * (F.log(F.col(c) - F.coalesce(mine[c], F.lit(0)) + 0.5) - F.log(F.lit(0.5)))
     sums = cells.groupBy(*KEY, "label").agg(*[F.sum(gain(c)).alias(f"gain_{c}") for c in cases])
-    # a class per set and target: classes are few, and each target has a row for each of them anyway
-    live = hits.filter("hits > 0").drop("label").join(totals.join(sizes, "feature_set"), "feature_set").join(own_totals, ["feature_set", "work", "label"], "left").join(sums, [*KEY, "label"], "left")
+    live = _beside(hits.filter("hits > 0").drop("label"), totals.join(sizes, "feature_set")).join(own_totals, ["feature_set", "work", "label"], "left").join(sums, [*KEY, "label"], "left")
 
     def scored(c: str) -> Column:
         tokens = F.col(f"total_{c}") - F.coalesce(f"own_{c}", F.lit(0))

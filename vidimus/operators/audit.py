@@ -290,6 +290,23 @@ def _strands(batch: DataFrame) -> DataFrame:
     return batch.select("seq").join(named, "seq", "left").select("seq", F.coalesce("strand", "seq").alias("strand"))
 
 
+def bearing(log: DataFrame, batch: DataFrame) -> DataFrame:
+    """The events of a log that the judgement of a batch can depend on.
+
+    These are the events on nodes and edges that the batch names, the events on passages that attest such
+    a node (whether they stand decides whether it may be attested), and the registrations of whoever wrote
+    any of these. Everything else is left out before any state is built, so rounds of admission cost what
+    the batch touches."""
+    ours, things = F.startswith("thing", F.lit("agent/")), _touched(log)
+    named = _touched(batch).filter(~ours).select("thing").distinct()
+    near = cut_lineage(log.join(things.filter(~ours).join(named, "thing", "left_semi").select("seq").distinct(), "seq", "left_semi"))
+    passages = near.filter("event = 'add_edge' AND edge_type = 'attests'").select(_detail("src").alias("thing")).distinct()
+    around = things.join(passages, "thing", "left_semi").select("seq")
+    writers = near.select("authored_by").unionByName(batch.select("authored_by")).distinct()
+    registered = log.filter("event = 'register_agent'").select("seq", _detail("payload.id").alias("authored_by")).join(writers, "authored_by", "left_semi").select("seq")
+    return log.join(near.select("seq").unionByName(around).unionByName(registered).distinct(), "seq", "left_semi")
+
+
 def admit(log: DataFrame, proposals: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
     """Split a batch of proposed events into admitted and refused (with the rule), in the order of seq.
 
@@ -297,8 +314,10 @@ def admit(log: DataFrame, proposals: DataFrame, span: int = SPAN) -> tuple[DataF
     admitted before it; a refused one leaves no trace. The whole batch is judged at once as if every
     proposal were applied: the first violation of each strand of dependent events is then certain, for
     all before it were right to count. It is taken out and the rest judged again, until nothing is
-    refused, so rounds are as many as the refusals of one strand. Each round is a written table.
+    refused, so rounds are as many as the refusals of one strand. Each round is a written table and
+    reads, of the log, only what bears on the batch.
     """
+    log = cut_lineage(bearing(log, proposals))
     strand = cut_lineage(_strands(proposals))
     live, refused = cut_lineage(proposals.select("seq")), None
     while True:

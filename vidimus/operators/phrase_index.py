@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
-from vidimus.functions.frames import cut_lineage
+from vidimus.functions.frames import cut_lineage, union_all
 from vidimus.functions.workers import ship
 
 GRAM, BITS = 3, 21  # characters of a gram, bits of a character
@@ -66,10 +66,6 @@ def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grams[chars > 0], np.repeat(np.arange(len(texts)), size)
 
 
-def bucket_of(grams: np.ndarray) -> np.ndarray:
-    return ((grams >> 2 * BITS) * _MIX + (grams >> BITS & (1 << BITS) - 1)) % BUCKETS
-
-
 def encode_segment(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Distinct grams, ascending, their numbers of places, and their postings: for each place the step to
     its span's number and the step to its offset (from the span's start in a new span)."""
@@ -155,7 +151,7 @@ def add_spans(spans: DataFrame, root: str) -> DataFrame:
     list of builds.
 
     A build is written beside the earlier ones and counts once its row in `builds` is written, which is
-    the last step; what a failed build has left is never read, and its number is not used again. A
+    the last step; what a failed build has left is never read, and the next build writes over it. A
     document known to the index is left out whole. A null document or span is left out.
     """
     spark = spans.sparkSession
@@ -268,7 +264,9 @@ def search_index(spark: SparkSession, root: str, queries: DataFrame) -> DataFram
     pairs = postings.filter(F.col("bucket").isin(few)).withColumn("pair", F.shiftleft(F.shiftright("gram", BITS), BITS)).join(two, ["bucket", "pair"])
     heads = postings.withColumn("head", F.shiftright("gram", 2 * BITS)).join(one, "head")
     cols = ["query_id", "query", "segment", "build", "at", "places"]
-    found = _decoded(met.select(cols).unionByName(pairs.select(cols)).unionByName(heads.select(cols)))
+    asked_for = {r["n"] for r in short.select(F.length("query").alias("n")).distinct().collect()}  # 1 or 2: tables nobody asks are not read
+    parts = [met, *([pairs] if 2 in asked_for else []), *([heads] if 1 in asked_for else [])]
+    found = _decoded(union_all([p.select(cols) for p in parts]))
     checked = spans.join(found, ["build", "segment", "number"]).filter(
         F.exists("at", lambda p: F.substring(F.col("span"), p + 1, F.length("query")) == F.col("query")))
     return checked.groupBy("query_id", "query", "doc").agg(F.min("span_no").alias("span_no"), F.min_by("span", "span_no").alias("span"))

@@ -16,6 +16,7 @@ from vidimus.functions.frames import cut_lineage, top_k_per
 from vidimus.functions.workers import ship
 
 BLOCK_ROWS = 512
+PIVOTS = 1024  # at most: their vectors pass through the driver and go to every task
 DEFAULT_WINDOW = 400
 UNLABELLED = "grey"
 GRAM = 10
@@ -122,8 +123,8 @@ def nearest_indices(
     """Exact k nearest windows of every window, or of those in `asked` (`idx`), as `idx, near_idx,
     cosine, rank` (N1 core). Nearness is the inner product, so unit vectors give cosines.
 
-    Windows are grouped around as many pivots as the square root of their number and packed into blocks
-    of about `block` rows; a cell that holds most windows is simply many blocks. A block is compared with
+    Windows are grouped around as many pivots as the square root of their number, PIVOTS at most, and packed
+    into blocks of about `block` rows; a cell that holds most windows is simply many blocks. A block is compared with
     the blocks of exactly those cells that could improve a result (bound by the angle to the pivot and
     the norms in the cell), one matrix product per block pair, and only each window's best k leave a
     task. Pruning drops only what cannot enter the top k, for vectors of any length.
@@ -135,8 +136,8 @@ def nearest_indices(
     n = base.count()
     if n == 0:
         return spark.createDataFrame([], "idx BIGINT, near_idx BIGINT, cosine DOUBLE, rank INT")
-    wanted = math.isqrt(n - 1) + 1
-    rows = base.orderBy(F.xxhash64("idx"), "idx").limit(wanted).select("vec").collect()  # the square root of n rows
+    wanted = min(math.isqrt(n - 1) + 1, PIVOTS)
+    rows = base.orderBy(F.xxhash64("idx"), "idx").limit(wanted).select("vec").collect()  # bounded, however many windows there are
     pivots = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
     placed = base.mapInPandas(_assign(pivots), "idx BIGINT, work STRING, pooled INT, cell INT, near DOUBLE, norm DOUBLE, vec BINARY")
     placed = cut_lineage(placed)

@@ -6,6 +6,8 @@ texts are the same derivations for the reference SQL.
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,73 @@ def ladder_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- parts as small stories, one for each way to keep or break a rule ---------------------------------------------------
+def _story(event, node=None, by="agent:b§", edge=None, kind=None, **detail) -> dict:
+    """One event of a story; § stands for the part, so each part has nodes, edges and agents of its own."""
+    name = node if node is None or node.startswith("decision") else f"{node}§"
+    return {"event": event, "authored_by": by, "node_id": name, "node_type": node.split(":")[0] if node and event in ("propose", "verify") else None, "edge_id": edge and f"{edge}§", "edge_type": kind, "detail": detail}
+
+
+def _proposed(node, witness=None, by="agent:a§") -> dict:
+    where = {"witness_id": f"{witness}§"} if witness else {}
+    return _story("propose", node, by, f"edge:{node}" if witness else None, "part_of" if witness else None, payload={"text": node}, converge=False, **where)
+
+
+def _edge(kind, src, dst, edge="edge:x", **more) -> dict:
+    return _story("add_edge", None, "agent:a§", edge, kind, src=f"{src}§", dst=f"{dst}§", **more)
+
+
+def _shift(event, edge="edge:x", by="researcher", reason="wrong") -> dict:
+    return _story(event, None, by, edge, reason=reason)
+
+
+def _agent(name, model) -> dict:
+    return _story("register_agent", None, "researcher", payload={"id": f"{name}§", "kind": "worker", "model": model})
+
+
+def _verdict(event, node, by="researcher", reason="because", n=1) -> dict:
+    return _story(event, node, by, decision_node_id=f"decision:{n}§", reason=reason)
+
+
+_START = [
+    _proposed("witness:w1"), _proposed("witness:w2"), _proposed("passage:p1", "witness:w1"), _proposed("passage:p2", "witness:w2"), _proposed("claim:c"), _story("attest", "passage:p1"),
+    _story("attest", "passage:p2"), _edge("attests", "passage:p1", "claim:c", "edge:a1"), _edge("attests", "passage:p2", "claim:c", "edge:a2"),
+]
+_TWIN = _edge("parallel_of", "witness:w1", "witness:w2")
+_KIN = [_agent("agent:a", "Fam/x"), _agent("agent:k", "fam/y")]
+#: What follows the same start, and the rule that its last event breaks (null: none).
+STORIES = [
+    ([_story("attest", "claim:c")], None), ([_story("attest", "claim:c", "agent:a§")], "SelfAttestation"),
+    ([*_KIN, _story("attest", "claim:c", "agent:k§")], "ReviewerNotIndependent"), ([*_KIN, _agent("agent:a", "other/x"), _story("attest", "claim:c", "agent:k§")], None),
+    ([_story("attest", "claim:c"), _story("attest", "claim:c", "agent:d§")], "RungSkipped"), ([_story("attest", "nothing:x")], "NodeNotFound"),
+    ([_proposed("claim:d"), _story("attest", "claim:d")], "UnattestableClaim"), ([_proposed("claim:d"), _edge("attests", "passage:p1", "claim:d"), _story("attest", "claim:d")], None),
+    ([_proposed("conjecture:d"), _story("attest", "conjecture:d")], "UnattestableConjecture"),
+    ([_proposed("conjecture:d"), _proposed("query:q"), _edge("tests", "query:q", "conjecture:d"), _story("attest", "conjecture:d")], None),
+    ([_proposed("passage:d")], "EdgeEndpointMissing"), ([_proposed("passage:d", "witness:none")], "EdgeEndpointMissing"),
+    ([_edge("attests", "passage:p1", "passage:p1")], "EdgeSelfLoop"), ([_edge("attests", "passage:p1", "claim:none")], "EdgeEndpointMissing"), ([_edge("attests", "passage:none", "claim:c")], "EdgeEndpointMissing"),
+    ([_edge("attests", "witness:w1", "claim:c")], "EdgeDomainViolation"), ([_TWIN], None), ([_TWIN, {**_TWIN, "detail": {**_TWIN["detail"], "converge": True}}], None), ([_TWIN, _TWIN], "MalformedEvent"),
+    ([_TWIN, _shift("retract_edge"), _edge("parallel_of", "witness:w2", "witness:w1", "edge:y")], "PersistentRetraction"), ([_TWIN, _shift("retract_edge"), _shift("restore_edge")], None),
+    ([_shift("retract_edge", "edge:none")], "EdgeNotFound"), ([_TWIN, _shift("restore_edge")], "EdgeAlreadyRetracted"), ([_TWIN, _shift("retract_edge"), _shift("retract_edge")], "EdgeAlreadyRetracted"),
+    ([_TWIN, _shift("retract_edge", by="agent:b§")], "NotResearcher"), ([_TWIN, _shift("retract_edge", reason=" ")], "MissingRejectionReason"),
+    ([_story("ask", "question:q", payload={"text": "?"})], "NotResearcher"), ([_story("ask", "question:q", "researcher", payload={"text": "?"})], None),
+    ([_story("attest")], "MalformedEvent"), ([_edge("contradicts", "claim:c", "passage:p1")], "ValidationError"), ([_edge("contradicts", "claim:c", "passage:p1", reason="so")], None),
+    ([_verdict("accept", "claim:c")], "RungSkipped"), ([_story("attest", "claim:c"), _verdict("accept", "claim:c")], None), ([_verdict("reject", "claim:c", reason=" ")], "MissingRejectionReason"),
+    ([_verdict("reject", "witness:w1"), _proposed("witness:w1")], "PersistentRejection"), ([_verdict("reject", "witness:w1"), _verdict("reopen", "witness:w1", n=2), _proposed("witness:w1")], None),
+]
+STORIES_SQL = "stories AS (SELECT * FROM (VALUES {}) v(story, place, rule))".format(", ".join(
+    f"({i}, {len(_START) + len(more) - 1}, '{rule}')" for i, (more, rule) in enumerate(STORIES) if rule))
+
+
+def story_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part tells one of the stories, by its number; sequence numbers are part * 32 + place."""
+    rows = [(i, place, e["event"], e["authored_by"], e["node_id"], e["node_type"], e["edge_id"], e["edge_type"], json.dumps(e["detail"], ensure_ascii=False)) for i, (more, _) in enumerate(STORIES) for place, e in enumerate([*_START, *more])]
+    told = spark.createDataFrame(rows, "story INT, place INT, event STRING, authored_by STRING, node_id STRING, node_type STRING, edge_id STRING, edge_type STRING, detail STRING")
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(STORIES)).cast("int").alias("story"))
+    own = lambda c: F.replace(F.col(c), F.lit("§"), F.concat(F.lit("~"), F.col("p_partkey").cast("string")))
+    named = {c: own(c) for c in ("authored_by", "node_id", "edge_id", "detail")}
+    return _event_frame(part.join(told, "story"), seq=F.col("p_partkey") * 32 + F.col("place"), event=F.col("event"), at=_s("concat('t', p_partkey)"), node_type=F.col("node_type"), edge_type=F.col("edge_type"), **named)
+
+
 # --- labelled documents as claims, each with three proposed attests -----------------------------------------------
 ADMISSION_SQL = """
 ask AS (SELECT doc_id AS d, k, CASE WHEN (toxic + quality + k) % 2 = 0 THEN 'agent:a' ELSE 'agent:b' || k END AS who FROM labels, (SELECT unnest([0, 1, 2]) AS k))

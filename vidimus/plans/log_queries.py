@@ -288,7 +288,7 @@ def rebuild_diff(spark, sf):
 # the log and its projection copied, replayed, committed and read back; a first try with a damaged table leaves a stale stage
 @query("graph_snapshot", f"""WITH {FOLD_SQL}, n AS (SELECT 'events' AS "table", count(*) AS rows FROM lad UNION ALL SELECT 'nodes', (SELECT count(*) FROM fold) + (SELECT count(*) FROM dec)
   UNION ALL SELECT 'node_authorship', count(*) FILTER (event <> 'propose' OR created_seq IS NOT NULL) + count(*) FILTER (event IN ('accept', 'reject', 'reopen')) FROM lad LEFT JOIN born ON born.id = lad.node_id
-  UNION ALL SELECT 'edges', (SELECT count(*) FROM dec) UNION ALL SELECT 'edge_authorship', (SELECT count(*) FROM dec) UNION ALL SELECT 'agents', 0)
+  UNION ALL SELECT 'edges', (SELECT count(*) FROM lad WHERE event = 'propose' AND node_type = 'passage') UNION ALL SELECT 'edge_authorship', (SELECT count(*) FROM lad WHERE event = 'propose' AND node_type = 'passage') UNION ALL SELECT 'agents', 0)
 SELECT "table", CAST(rows AS BIGINT) AS rows, true AS intact, CAST(1 AS INTEGER) AS stale_stages FROM n""")
 def graph_snapshot(spark, sf):
     from vidimus.sources import artifacts as ar
@@ -378,6 +378,14 @@ def refusals_tail_runs(spark, sf):
     return tail(last, "last_seq", 10)
 
 
+# every part keeps or breaks one rule, in a log where all parts' stories are mixed
+@query("rule_stories", f"WITH {inp.STORIES_SQL} SELECT p_partkey AS part, place, rule FROM part JOIN stories ON story = p_partkey % {len(inp.STORIES)}")
+def rule_stories(spark, sf):
+    found = au.audit(inp.story_log(spark, sf))
+    return found.select(F.expr("seq div 32").alias("part"), F.expr("cast(seq % 32 AS int)").alias("place"), "rule")
+
+
+
 # --- admission --------------------------------------------------------------------------------------------
 @query("admitted_events", f"""WITH {inp.ADMISSION_SQL}, first AS (SELECT d, min(k) FILTER (WHERE who <> 'agent:a') AS k FROM ask GROUP BY 1)
 SELECT 1000000000000 + d * 10 + ask.k AS seq, ask.k = first.k AS admitted,
