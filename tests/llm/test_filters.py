@@ -90,6 +90,10 @@ def test_verdicts_equal_plain_lookup(spark, max_bits):
     got = {r["page_id"]: tuple(r)[1:] for r in urls.judge_urls(pages, URL_RULES, keys).collect()}
     assert got == {i: plain_verdict(u, listed) for i, u in rows}
     assert urls.judge_urls(pages.limit(0), URL_RULES, keys).count() == 0
+    whole = spark.createDataFrame([("x.org/deep",), ("é.org",), ("h7.org/p",)], "key string")
+    rows2 = [(1, "http://x.org/deep?q"), (2, "http://x.org/"), (3, "x://É.org#z"), (4, "http://H7.org/p"), (5, "http://h8.org/p"), (6, None)]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge_urls(spark.createDataFrame(rows2, "page_id long, url string"), [], whole, by=("host", "path")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "allow"}
     none = urls.judge_urls(pages, [], keys.limit(0))
     assert {r["verdict"] for r in none.collect()} == {"allow"}
 

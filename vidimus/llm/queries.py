@@ -90,7 +90,7 @@ def op4_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
-#: Fixed values of the contract, and the list used beside them: hosts seen with a tracking parameter.
+#: Fixed values of the contract, and the list used beside them: pages (host and path) seen with a tracking parameter.
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 ]
@@ -107,7 +107,7 @@ j AS (SELECT *, CASE
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule,
-  bool_or(contains(url, 'utm_source=')) OVER (PARTITION BY host) AS listed FROM p)
+  bool_or(contains(url, 'utm_source=')) OVER (PARTITION BY host || path) AS listed FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM j
 """
@@ -116,8 +116,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com
 @registered(OP5_SQL)
 def op5_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.filter(F.col("url").contains(TRACKED)).select(urls.host_and_path()[0].alias("key")).distinct()
-    return urls.judge_urls(pages, URL_RULES, listed)
+    listed = pages.filter(F.col("url").contains(TRACKED)).select(F.concat(*urls.host_and_path()).alias("key")).distinct()
+    return urls.judge_urls(pages, URL_RULES, listed, by=("host", "path"))
 
 
 @registered()

@@ -122,12 +122,13 @@ def mark_listed(rows: DataFrame, key: str, listed: DataFrame, out: str = "listed
     return functools.reduce(DataFrame.unionByName, marked)
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[Rule], listed: DataFrame, by: tuple[str, ...] = ("host",)) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of pages: the longest rule's verdict, else
-    block where the host is listed (listed.key), else allow."""
+    block where the page's key is listed (listed.key), else allow. The key is the host, or what `by`
+    names (`host`, `path`) put together."""
     host, path = host_and_path()
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    marked = mark_listed(split, "host", listed)
+    marked = mark_listed(split.withColumn("key", F.concat(*by)), "key", listed)
     rule, verdict = rule_for(rules, F.col("host"), F.col("path"))
     own = F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))
     return marked.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
