@@ -55,6 +55,23 @@ def test_tables_of_known_words_do_not_change_results(monkeypatch, library):
         assert ids.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
 
 
+def test_every_character_as_in_the_library(library):
+    points = [c for c in [*range(0x3400), *range(0x9F00, 0xAC40), *range(0xD700, 0xD800), *range(0xF900, 0x20010), *range(0x323A0, 0x33500), *range(0xE0000, 0xE0200)]]
+    coder = bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["".join(f"a{chr(c)}1!{chr(c)}? e{chr(c)}\u0323\u0301 " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    texts += ["\u2019 'l", "\u2019 'll", "\u2019 'r", "\u2019'"]
+    ids, n = coder.encode(texts)
+    for t, got, want in zip(texts, np.split(ids, np.cumsum(n)[:-1]), library.encode_batch(texts, add_special_tokens=False)):
+        assert got.tolist() == want.ids, t
+
+
+def test_long_words_with_structure_are_told_apart(library):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1 << 12))
+    texts = [one, one.translate(str.maketrans("ab", "ba"))]
+    ids, n = bpe.Bpe(public_tokenizers.path("word_bpe_49k.json")).encode(texts)
+    assert [x.tolist() for x in np.split(ids, n[:1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def fewest(lengths, capacity):
     """The least number of bins, by trying everything."""
     best, lengths = len(lengths), sorted(lengths, reverse=True)

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from vidimus.functions.workers import ship
 from vidimus.llm.common import SLICE_ROWS, sliced
@@ -28,26 +28,56 @@ VOCABULARY = "word_bpe_49k.json"
 KNOWN_WORDS = 250_000
 NONE = np.iinfo(np.int64).max
 
-# The splitting pattern of the vocabulary file, after lower case.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WIDE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-
 GAP = re.compile(r"[ \n\t]")
 
-# The same for Latin-1, as tables over the 256 characters: 0 white space, 1 letter, 2 number, 3 other.
+# The white space of the vocabulary file's splitting pattern.
+_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 LOWER = np.array([ord(chr(i).lower()) for i in range(256)], np.uint8)
-KIND = np.array([0 if regex.match(f"[{_SPACE}]", c) else 1 if regex.match(r"\p{L}", c) else 2 if regex.match(r"\p{N}", c) else 3 for c in map(chr, range(256))], np.uint8)
+
+
+@functools.lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """For each code point 0 white space, 1 letter, 2 number, 3 other, as the splitting pattern has it.
+
+    The library's own pattern matcher is asked once, for its Unicode version is neither Python's nor that
+    of another matcher. No code point past plane 3 is a letter or a number."""
+    kind = np.full(0x110000, 3, np.uint8)
+    points = np.r_[0:0xD800, 0xE000:0x40000].astype("<u4")
+    text = points.tobytes().decode("utf-32-le")
+    for k, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+")):
+        for _, (i, j) in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(text):
+            kind[points[i:j]] = k
+    kind[_SPACE] = 0
+    return kind
+
+
+@functools.lru_cache(maxsize=1)
+def _settled() -> np.ndarray:
+    """Code points assigned since Unicode 3.2: all later versions normalise texts of these alike."""
+    known = unicodedata.ucd_3_2_0.category
+    return np.array([known(chr(c)) != "Cn" for c in range(0x30000)])
+
+
+def normalised(text: str, char: np.ndarray) -> str:
+    """Composed (NFC) and lower case as the library has them; `char` holds the code points of the text. Python
+    does it many times faster, but knows other versions' characters."""
+    if int(char.max(initial=0)) < len(_settled()) and _settled()[char].all():
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    return NORMALISER.normalize_str(text)
+
+
+NORMALISER = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 SLOT_BITS = 20
 SLOTS, ARENA = 1 << SLOT_BITS, 1 << 23
 PART = 1 << 20  # longer texts are encoded in parts, cut at white space
 MIX = np.uint64(0x9E3779B97F4A7C15)
 _CHAR_KEYS = np.array([[xxhash.xxh64_intdigest(bytes([i]), seed) for i in range(256)] for seed in (1, 2)], np.uint64)
-_BASES = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_SEEDS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def word_bounds(char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in lower-case Latin-1 characters, as the pattern finds them."""
-    kind = KIND[char]
+    """Starts and ends of the words in lower-case characters (code points), as the pattern finds them."""
+    kind = kinds()[char]
     before = np.r_[np.uint8(0), kind[:-1]]
     start = (kind != 0) & ((kind != before) | (kind == 2))
     # an apostrophe that stands alone takes s, t, m, d, re, ve or ll from the letters behind it
@@ -56,7 +86,7 @@ def word_bounds(char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     quote = quote[kind[quote + 1] == 1]
     if len(quote):
         one = char[quote + 1]
-        two = char[np.minimum(quote + 2, len(char) - 1)]
+        two = np.where(quote + 2 < len(char), char[np.minimum(quote + 2, len(char) - 1)], 0)
         short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
         long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
         take = np.where(short, 2, np.where(long, 3, 0))
@@ -70,15 +100,22 @@ def word_bounds(char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.r_[stop, len(char)][np.searchsorted(stop, starts, side="right")]
 
 
+def _weights(n: int, seed: int) -> np.ndarray:
+    """A scattered odd weight for each place; powers of one number would give some long words equal sums."""
+    x = np.arange(1, n + 1, dtype=np.uint64) * MIX + np.uint64(seed)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(31)) | np.uint64(1)
+
+
 def word_keys(char: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit keys of each word: sums over its characters, weighted by their places."""
     flat = np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
     place = flat - np.repeat(starts, size)
     symbols, first = char[flat], np.cumsum(size) - size
     keys = []
-    for table, base in zip(_CHAR_KEYS, _BASES):
-        power = np.cumprod(np.full(int(size.max()), base, np.uint64))
-        keys.append(np.add.reduceat(table[symbols] * power[place], first))
+    for table, seed in zip(_CHAR_KEYS, _SEEDS):
+        keys.append(np.add.reduceat(table[symbols] * _weights(int(size.max()), seed)[place], first))
     return keys[0] * MIX, keys[1]
 
 
@@ -185,7 +222,9 @@ class Bpe:
             if part in self.special:
                 out.append(part)
             elif part:
-                out += WIDE.findall(unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower())
+                low = normalised(part, np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4"))
+                starts, ends = word_bounds(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4"))
+                out += [low[i:j] for i, j in zip(starts.tolist(), ends.tolist())]
         return out
 
     def _encode_wide(self, text: str) -> np.ndarray:
