@@ -144,6 +144,16 @@ def test_packed_documents(spark, library):
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
+def test_pieces_of_newer_characters_and_of_words_at_the_end(spark, library):
+    texts = ["a\u05581!\u0558?", "\u2019 'l", "x\U00011dbey " * 900, "\ua7cb\u1c89" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = []
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids + [0]
+        want += [(i, p, s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for p, s in enumerate(range(0, len(ids), 2048))]
+    assert sorted(tuple(r)[:5] for r in packing.pack_documents(df).collect()) == want
+
+
 def test_digests_of_the_query(spark, library, tmp_path):
     from vidimus.llm.queries import QUERIES
 
