@@ -408,15 +408,20 @@ def char_evidence(evidence: DataFrame) -> DataFrame:
     return rows.filter("evidence IS NOT NULL")
 
 
-def _magnitude(values: Column, name: str, evidence: DataFrame) -> DataFrame:
+def _magnitude(values: Column, name: str, evidence: DataFrame, all_rows: bool = False) -> DataFrame:
     """Lower 95th percentile of the magnitudes above zero, inside each row."""
     sizes = F.sort_array(F.filter(F.transform(values, lambda v: F.round(F.abs(v), 12)), lambda v: v > 0))
     at = F.floor(F.lit(0.95) * (F.size("_s") - 1)).cast("int")
-    return evidence.withColumn("_s", sizes).filter(F.size("_s") > 0).select(*KEY, F.get("_s", at).alias(name))
+    return evidence.withColumn("_s", sizes).filter(F.lit(all_rows) | (F.size("_s") > 0)).withColumn(name, F.get("_s", at)).drop("_s")
+
+
+def with_scale(evidence: DataFrame) -> DataFrame:
+    """The texts with their scale beside them, inside the row; null where no evidence is above zero."""
+    return _magnitude(F.col("evidence"), "scale", evidence, all_rows=True)
 
 
 def evidence_scale(evidence: DataFrame) -> DataFrame:
-    return _magnitude(F.col("evidence"), "scale", evidence)
+    return _magnitude(F.col("evidence"), "scale", evidence).select(*KEY, "scale")
 
 
 def strip(evidence: DataFrame) -> DataFrame:
@@ -439,7 +444,7 @@ def strip(evidence: DataFrame) -> DataFrame:
 
 def strip_scale(cells: DataFrame) -> DataFrame:
     """The same percentile over a strip's cells (at most 600)."""
-    return _magnitude(F.col("m"), "strip_scale", cells.groupBy(*KEY).agg(F.collect_list("mean").alias("m")))
+    return _magnitude(F.col("m"), "strip_scale", cells.groupBy(*KEY).agg(F.collect_list("mean").alias("m"))).select(*KEY, "strip_scale")
 
 
 def excerpt_rows(evidence: DataFrame, texts: DataFrame, offset: int = 0, size: int = EXCERPT) -> DataFrame:

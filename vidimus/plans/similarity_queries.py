@@ -150,10 +150,9 @@ def confirmed_neighbours(spark, sf):
 
 @query("method_report")
 def method_report(spark, sf):
-    from vidimus.operators import attribution as at
-    from vidimus.plans.attribution_queries import scored
+    from vidimus.operators import scoring as sc
+    from vidimus.plans.attribution_queries import answers
 
     w, docs = _text_windows(spark, sf)
     near = cut_lineage(si.neighbours(w, 1))
-    s = scored(spark, sf)
-    return si.method_report(at.verdicts(s.hits, s.scores), near, si.confirm(near, w, docs, cls=LET))
+    return si.method_report(sc.verdicts(answers(spark, sf)), near, si.confirm(near, w, docs, cls=LET))
