@@ -82,3 +82,17 @@ def test_index_built_in_parts_finds_what_spans_contain(spark, tmp_path, monkeypa
     # a build without its row in `builds` is never read
     spark.read.parquet(f"{root}/spans/build=0").write.parquet(f"{root}/spans/build=7")
     assert {(r["query_id"], r["doc"]): (r["span_no"], r["span"]) for r in pi.search_index(spark, root, queries).collect()} == want
+
+
+def test_long_phrases_of_a_long_list_are_found_by_anchors(spark, monkeypatch):
+    rng = random.Random(12)
+    texts = _texts(rng, "ab ", 40, 300) + _texts(rng, "天地😀", 20, 90) + ["x" * 900, "ab" * 200, None, "", "\0" * 40]
+    cut = lambda t, n: t[(at := rng.randrange(len(t) - n + 1)) : at + n]
+    asked = [cut(t, n) for t in texts if t for n in (31, 32, 33, 60, len(t)) if n <= len(t)] + ["b" * 33, "x" * 32, " " * 40, "ab" * 16, texts[0] + "!", None]
+    rows = spark.createDataFrame([*enumerate(texts), (0, texts[1])], "doc BIGINT, span STRING").repartition(3)
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id BIGINT, query STRING")
+    dealt = []
+    monkeypatch.setattr(ph, "_dealt", lambda r, t, p, g, deal=ph._dealt: dealt.append(p.selectExpr("max(length(__phrase))").first()[0]) or deal(r, t, p, g))
+    got = sorted((r["doc"], r["query_id"]) for r in ph.match_phrases(rows, "span", queries, group=40).collect())
+    want = sorted((i, j) for i, t in [*enumerate(texts), (0, texts[1])] for j, q in enumerate(asked) if t and q and q.strip() and q in t)
+    assert got == want and all(n < ph.LONG for n in dealt)

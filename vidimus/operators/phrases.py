@@ -10,14 +10,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
+from vidimus.functions.frames import cut_lineage
 from vidimus.functions.workers import ship
 
+ANCHOR, LONG = 8, 32  # characters of an anchor, and of the least text in which one is chosen
 GROUP_CHARS = 1_000_000  # of phrases in one automaton
 HIT = "__phrase"
 _STEP = 1024
@@ -115,16 +118,66 @@ def _dealt(rows: DataFrame, text: str, phrases: DataFrame, groups: int) -> DataF
     return dealt.mapInArrow(run, _schema(rows))
 
 
+def anchors(text: str) -> np.ndarray:
+    """Hashes of the text's anchors: in every LONG characters the gram of the least hash. Whatever holds a
+    text has the text's anchors; a text below LONG characters has none."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(points) < LONG:
+        return np.zeros(0, np.int64)
+    code = np.zeros(len(points) - ANCHOR + 1, np.uint64)
+    for k in range(ANCHOR):
+        code = code * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(code)] + np.uint64(1)
+    code = (code ^ code >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    code ^= code >> np.uint64(32)
+    least = code
+    width, step = LONG - ANCHOR + 1, 1  # of windows in grams; minima of 1, 2, 4, ... grams
+    while 2 * step <= width:
+        least, step = np.minimum(least[:-step], least[step:]), 2 * step
+    rest = width - step
+    return np.unique(np.minimum(least[: len(least) - rest], least[rest:])).view(np.int64)
+
+
+def _anchored(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, __anchor) for every different anchor of a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+            found = [anchors(t or "") for t in b.column(1).to_pylist()]
+            of = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), pa.array(np.concatenate(found))], [key, "__anchor"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} long, __anchor long")
+
+
+def _by_anchor(rows: DataFrame, text: str, phrases: DataFrame) -> DataFrame:
+    """Rows and phrases of LONG characters or more that meet in the phrase's rarest anchor, if the text holds
+    the phrase. Work follows the texts, the phrases and the places of their rarest anchors."""
+    base = cut_lineage(rows.withColumn("__row", F.monotonically_increasing_id()))
+    asked = cut_lineage(phrases.withColumn("__asked", F.monotonically_increasing_id()))
+    there = cut_lineage(_anchored(base, "__row", text))
+    sizes = there.groupBy("__anchor").agg(F.count(F.lit(1)).alias("__n"))
+    wanted = _anchored(asked, "__asked", HIT).join(sizes, "__anchor", "left").fillna(0, ["__n"])
+    rarest = wanted.groupBy("__asked").agg(F.min(F.struct("__n", "__anchor")).alias("__r")).filter("__r.__n > 0").select("__asked", F.col("__r.__anchor").alias("__anchor"))
+    met = there.join(rarest, "__anchor").select("__row", "__asked").join(asked, "__asked").join(base, "__row")
+    return met.filter(F.contains(F.col(f"`{text}`"), F.col(HIT))).select(*[F.col(f"`{n}`") for n in rows.columns], HIT)
+
+
 def match_phrases(rows: DataFrame, text: str, queries: DataFrame, phrase: str = "query", group: int = GROUP_CHARS) -> DataFrame:
     """Rows joined to every query whose phrase their text contains; blank and null phrases match nothing.
 
-    Phrases may be of any length and number, equal ones included. Work is that of reading the texts once
-    for each `group` characters of different phrases; for lists far beyond that, search a stored index.
+    Phrases may be of any length and number, equal ones included. Up to `group` characters of different phrases
+    are one automaton. Beyond that, phrases of LONG characters or more are found by their anchors, and the texts
+    are read once for each `group` characters of the shorter ones.
     """
     ship(rows.sparkSession)
     live = queries.filter(tx.strip_space(phrase) != "")
     different = live.select(F.col(phrase).alias(HIT)).distinct()
     chars = different.agg(F.sum(F.length(HIT))).first()[0] or 0
-    groups = max(1, math.ceil(chars / group))
-    found = _sent(rows, text, different) if groups == 1 else _dealt(rows, text, different, groups)
+    if chars <= group:
+        found = _sent(rows, text, different)
+    else:
+        short = different.filter(F.length(HIT) < LONG)
+        groups = math.ceil((short.agg(F.sum(F.length(HIT))).first()[0] or 0) / group)
+        found = _by_anchor(rows, text, different.filter(F.length(HIT) >= LONG))
+        if groups:
+            found = found.unionByName(_sent(rows, text, short) if groups == 1 else _dealt(rows, text, short, groups))
     return found.join(live.withColumn(HIT, F.col(phrase)), HIT).select(*rows.columns, *queries.columns)
