@@ -55,6 +55,18 @@ def test_tables_of_known_words_do_not_change_results(monkeypatch, library):
         assert ids.tolist() == want * 2 and n.tolist() == [len(want), 0, len(want)]
 
 
+def test_a_new_word_takes_the_slot_of_a_known_word_of_its_batch(monkeypatch, library):
+    monkeypatch.setattr(bpe, "SLOT_BITS", 6)
+    monkeypatch.setattr(bpe, "SLOTS", 1 << 6)
+    coder, rnd = bpe.Bpe(public_tokenizers.path("word_bpe_49k.json")), random.Random(7)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    for at in range(0, 400, 20):
+        texts = [" ".join(words[max(at - 20, 0) : at + 20]), words[at]]
+        ids, n = coder.encode(texts)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, n[:1])] == want
+
+
 def test_every_character_as_in_the_library(library):
     points = [c for c in [*range(0x3400), *range(0x9F00, 0xAC40), *range(0xD700, 0xD800), *range(0xF900, 0x20010), *range(0x323A0, 0x33500), *range(0xE0000, 0xE0200)]]
     coder = bpe.Bpe(public_tokenizers.path("word_bpe_49k.json"))

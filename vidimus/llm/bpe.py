@@ -254,24 +254,22 @@ class Bpe:
             self._forget()
         slot = (a >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         missing = (self.slot_a[slot] != a) | (self.slot_b[slot] != b)
-        own: dict[str, np.ndarray] = {}
+        # read before new words are put in, which may take the slot of a known word of this very batch
+        where, n = self.slot_at[slot].astype(np.int64), self.slot_n[slot].astype(np.int64)
         if missing.any():
             at = np.flatnonzero(missing)
             _, first, which = np.unique(a[at] ^ b[at] * MIX, return_index=True, return_inverse=True)
             first = at[first]
             lower = char.tobytes()
-            flat, n = self.merge([lower[i:j].decode("latin-1").encode() for i, j in zip(starts[first].tolist(), ends[first].tolist())])
+            flat, made = self.merge([lower[i:j].decode("latin-1").encode() for i, j in zip(starts[first].tolist(), ends[first].tolist())])
             if self.used + len(flat) > len(self.arena):
                 self.arena = np.r_[self.arena[: self.used], flat, np.zeros(ARENA, np.uint32)]
             self.arena[self.used : self.used + len(flat)] = flat
-            begin = self.used + np.cumsum(n) - n
+            begin = self.used + np.cumsum(made) - made
             self.used += len(flat)
             new = slot[first]
-            self.slot_a[new], self.slot_b[new], self.slot_at[new], self.slot_n[new] = a[first], b[first], begin, n
-            own = {"at": begin[which], "n": n[which]}  # a slot may hold another word of this batch by now
-        where, n = self.slot_at[slot].astype(np.int64), self.slot_n[slot].astype(np.int64)
-        if own:
-            where[missing], n[missing] = own["at"], own["n"]
+            self.slot_a[new], self.slot_b[new], self.slot_at[new], self.slot_n[new] = a[first], b[first], begin, made
+            where[missing], n[missing] = begin[which], made[which]
         end = np.cumsum(n)
         flat = self.arena[np.arange(end[-1]) + np.repeat(where - end + n, n)]
         upto = np.r_[0, end][np.cumsum(words_of)]
