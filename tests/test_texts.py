@@ -1,6 +1,7 @@
 import difflib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -298,6 +299,26 @@ def test_nearest_windows_of_any_length(spark):
     assert {(r["idx"], r["rank"]): r["near_idx"] for r in rows} == {(i, n + 1): j for i in (3, 7, 399) for n, j in enumerate(want[i])}
 
 
+def test_windows_are_sent_a_bounded_number_of_times(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 512)).astype(np.float32)  # nothing prunes: every block meets every block
+    df = spark.createDataFrame([(i, f"w{i % 9}", "L", v[i].tolist()) for i in range(3000)], "idx BIGINT, work STRING, label STRING, vec ARRAY<FLOAT>")
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert si.nearest_indices(df, 2, block=64).count() == 6000
+        time.sleep(1)
+        assert shuffled() - before < 25 * v.nbytes
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_checkpoint_folder_is_an_error_on_a_cluster():
     from vidimus.functions import frames
 

@@ -17,6 +17,8 @@ from vidimus.functions.workers import ship
 
 BLOCK_ROWS = 512
 PIVOTS = 1024  # at most: their vectors pass through the driver and go to every task
+GRID = 8  # least number of tiles of asked windows and of slices of the pool
+TILE_BYTES = 64 << 20  # vectors of one tile
 DEFAULT_WINDOW = 400
 UNLABELLED = "grey"
 GRAM = 10
@@ -74,14 +76,15 @@ def _cosines(q: np.ndarray, p: np.ndarray, q_works: list, p_works: list, pooled:
 
 
 def _plan_block(pivots: np.ndarray, radius: np.ndarray, norms: np.ndarray, k: int, other: bool):
-    """Per block: the k-th best product each window already has inside its own block, and the cells that
-    could still hold something as good: a cell's windows lie within the angle `radius` of its pivot and
-    their norms within `norms` (least, greatest). Cells without pooled windows are skipped."""
+    """Each block with `kth`, the k-th best product each window already has inside its own block, and `cells`,
+    those that could still hold something as good: a cell's windows lie within the angle `radius` of its pivot
+    and their norms within `norms` (least, greatest). Cells without pooled windows are skipped."""
     cells_used = np.flatnonzero(np.isfinite(radius))
     reach, least, most = radius[cells_used], norms[0, cells_used], norms[1, cells_used]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            made = []
             for r in b.itertuples(index=False):
                 n = len(r.works)
                 v = _matrix(r.vecs, n)
@@ -91,29 +94,73 @@ def _plan_block(pivots: np.ndarray, radius: np.ndarray, norms: np.ndarray, k: in
                 angle = np.arccos(np.clip(_unit(v) @ pivots[cells_used].T, -1.0, 1.0))
                 cosine = np.cos(np.maximum(0.0, angle - reach))
                 bound = size * np.where(cosine >= 0, cosine * most, cosine * least) + SLACK * size * most
-                cells = cells_used[(bound >= kth[:, None]).any(axis=0)]
-                yield pd.DataFrame({
-                    "cell": np.int32(r.cell), "sub": np.int32(r.sub), "p_cell": cells.astype(np.int32),
-                })
+                made.append((kth.tobytes(), cells_used[(bound >= kth[:, None]).any(axis=0)].tolist()))
+            yield b.assign(kth=[m[0] for m in made], cells=[m[1] for m in made])
     return run
 
 
-def _best_in_block(k: int, other: bool):
-    """Batch function over (query block, pool block) rows: each query's best k in that pool block."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                q_idx, p_idx = np.frombuffer(r.q_idx, np.int64), np.frombuffer(r.p_idx, np.int64)
-                cos = _cosines(
-                    _matrix(r.q_vecs, len(q_idx)), _matrix(r.p_vecs, len(p_idx)), r.q_works, r.p_works,
-                    np.frombuffer(r.p_pooled, np.int8), other,
-                )
-                top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-                val = np.take_along_axis(cos, top, axis=1)
-                out = pd.DataFrame({
-                    "idx": np.repeat(q_idx, top.shape[1]), "near_idx": p_idx[top].ravel(), "cosine": val.ravel(),
-                })
-                yield out[np.isfinite(out["cosine"])]
+class _Best:
+    """The best k of a block of asked windows, over the pool blocks it has met so far."""
+
+    def __init__(self, idx: bytes, works: np.ndarray, vecs: bytes, kth: bytes, k: int, most: float):
+        self.idx, self.works, self.k = np.frombuffer(idx, np.int64), works, k
+        self.vecs = np.frombuffer(vecs, np.float32).reshape(len(self.idx), -1)
+        # the same product may differ in its last bits from one matrix shape to another
+        self.slack = 1e-12 * (1 + most * np.linalg.norm(self.vecs.astype(np.float64), axis=1))
+        self.floor = np.frombuffer(kth, np.float64).copy()
+        self.row, self.near, self.cos = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def meet(self, idx: np.ndarray, works: np.ndarray, vecs: np.ndarray, other: bool) -> None:
+        cos = self.vecs.astype(np.float64) @ vecs.T
+        row, col = np.nonzero(cos >= (self.floor - self.slack)[:, None])
+        if other:
+            apart = self.works[row] != works[col]
+            row, col = row[apart], col[apart]
+        if not len(row):
+            return
+        self.row, self.near = np.r_[self.row, row], np.r_[self.near, idx[col]]
+        self.cos = np.r_[self.cos, np.round(cos[row, col], 12)]
+        order = np.lexsort((self.near, -self.cos, self.row))
+        row = self.row[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)]))
+        order = order[rank < self.k]
+        full = order[rank[rank < self.k] == self.k - 1]
+        self.row, self.near, self.cos, last = self.row[order], self.near[order], self.cos[order], (self.row[full], self.cos[full])
+        self.floor[last[0]] = np.maximum(self.floor[last[0]], last[1])
+
+
+_MET = "part INT, kind INT, cell INT, idx BINARY, works ARRAY<STRING>, pooled BINARY, vecs BINARY, kth BINARY, cells ARRAY<INT>"
+
+
+def _best_in_part(k: int, other: bool, most: float):
+    """Batch function over sorted rows, in each part blocks of asked windows first (kind 0), which stay, and
+    then the pool blocks, which stream past: the best k of each asked window in that part of the pool."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, codes = None, [], {}
+
+        def results() -> Iterator[pa.RecordBatch]:
+            for _, best in held:
+                yield pa.RecordBatch.from_arrays([pa.array(best.idx[best.row]), pa.array(best.near), pa.array(best.cos)], ["idx", "near_idx", "cosine"])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                r = {n: batch.column(i)[at].as_py() for i, n in enumerate(batch.schema.names)}
+                if r["part"] != part:
+                    yield from results()
+                    part, held, codes = r["part"], [], {}
+                works = np.array([codes.setdefault(w, len(codes)) for w in r["works"]], np.int64)
+                if r["kind"] == 0:
+                    held.append((frozenset(r["cells"]), _Best(r["idx"], works, r["vecs"], r["kth"], k, most)))
+                    continue
+                pooled = np.frombuffer(r["pooled"], np.int8) == 1
+                if not pooled.any():
+                    continue
+                idx, works, vecs = np.frombuffer(r["idx"], np.int64)[pooled], works[pooled], _matrix(r["vecs"], len(works))[pooled]
+                for cells, best in held:
+                    if r["cell"] in cells:
+                        best.meet(idx, works, vecs, other)
+        yield from results()
     return run
 
 
@@ -127,7 +174,7 @@ def nearest_indices(
     into blocks of about `block` rows; a cell that holds most windows is simply many blocks. A block is compared with
     the blocks of exactly those cells that could improve a result (bound by the angle to the pivot and
     the norms in the cell), one matrix product per block pair, and only each window's best k leave a
-    task. Pruning drops only what cannot enter the top k, for vectors of any length.
+    task. A task holds a tile of the asked blocks while a slice of the pool streams past. Pruning drops only what cannot enter the top k, for vectors of any length.
     """
     spark = windows.sparkSession
     ship(spark)
@@ -158,15 +205,20 @@ def nearest_indices(
     mine = blocks
     if asked is not None:  # only asked windows look for neighbours; the pool stays whole
         mine = cut_lineage(cut.join(asked.select("idx").distinct(), "idx", "left_semi").groupBy("cell", "sub").applyInPandas(lambda pdf: _pack(pdf), packed))
-    todo = mine.mapInPandas(_plan_block(pivots, radius, norms, k, other is not None), "cell INT, sub INT, p_cell INT")
-    todo = todo.withColumn("p_sub", F.explode(F.sequence(F.lit(0), (F.get(subs_of, F.col("p_cell")) - 1).cast("int"))))
-    side = lambda frame, p, keys: frame.select(
-        F.col("cell").alias(keys[0]), F.col("sub").alias(keys[1]), *[F.col(c).alias(f"{p}_{c}") for c in ("idx", "works", "pooled", "vecs")]
-    )
-    met = todo.join(side(mine, "q", ("cell", "sub")), ["cell", "sub"]).join(side(blocks, "p", ("p_cell", "p_sub")), ["p_cell", "p_sub"])
-    part = met.select("q_idx", "q_works", "q_vecs", "p_idx", "p_works", "p_pooled", "p_vecs").mapInPandas(
-        _best_in_block(k, other is not None), "idx BIGINT, near_idx BIGINT, cosine DOUBLE"
-    )
+    planned = cut_lineage(mine.mapInPandas(_plan_block(pivots, radius, norms, k, other is not None), f"{packed}, kth BINARY, cells ARRAY<INT>"))
+    # a grid: each part holds one tile of the asked blocks and meets one slice of the pool, so a window is sent
+    # `side` times in each role, however many blocks there are; more sides only beyond TILE_BYTES of vectors each
+    side = max(-(-n * pivots.shape[1] * 4 // TILE_BYTES), min(GRID, math.isqrt(int(subs.sum()))))
+    piece = lambda seed: F.pmod(F.xxhash64("cell", "sub", F.lit(seed)), F.lit(side)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(side - 1))
+    tiles = planned.withColumn("tile", piece(1))
+    needs = cut_lineage(tiles.select("tile", F.explode("cells").alias("cell")).distinct())  # what no block of a tile asks for is not sent there
+    cols = [c.split()[0] for c in _MET.split(", ")]
+    ask = tiles.withColumn("slice", F.explode(every)).withColumn("kind", F.lit(0))
+    pool = blocks.join(needs, "cell").withColumn("slice", piece(2)).selectExpr("*", "1 AS kind", "CAST(NULL AS BINARY) AS kth", "CAST(NULL AS ARRAY<INT>) AS cells")
+    numbered = [x.withColumn("part", (F.col("tile") * side + F.col("slice")).cast("int")).select(cols) for x in (ask, pool)]
+    met = numbered[0].unionByName(numbered[1]).repartition("part").sortWithinPartitions("part", "kind")
+    part = met.mapInArrow(_best_in_part(k, other is not None, float(norms[1].max())), "idx BIGINT, near_idx BIGINT, cosine DOUBLE")
     return top_k_per(part, ["idx"], [F.desc("cosine"), F.col("near_idx")], k)
 
 
