@@ -298,3 +298,35 @@ def test_admission_reads_only_what_bears_on_the_batch(spark, log, monkeypatch):
     near = judged()
     monkeypatch.setattr(au, "bearing", lambda whole, batch: whole)
     assert near == judged() and near[0] and near[1]
+
+
+def _small_graph(spark):
+    """Two claims; passages linked to a passage, to a witness and by their witnesses; one edge withdrawn."""
+    edge = "id STRING, type STRING, src STRING, dst STRING, created_seq BIGINT, reason STRING, retracted_at STRING, retracted_reason STRING"
+    rows = [("attests", "passage:a", "claim:1"), ("attests", "passage:b", "claim:1"), ("attests", "passage:b", "claim:1"), ("attests", "passage:c", "claim:1"), ("attests", "passage:c", "claim:2"),
+            ("part_of", "passage:a", "witness:x"), ("part_of", "passage:b", "witness:y"), ("part_of", "passage:c", "witness:x"), ("addresses", "claim:1", "question:q"), ("addresses", "claim:2", "question:q"),
+            ("parallel_of", "passage:a", "passage:b"), ("parallel_of", "passage:b", "passage:a"), ("descends_from", "witness:y", "witness:x"), ("descends_from", "passage:c", "witness:y"),
+            ("verifies", "verification:v", "claim:1"), ("verifies", "verification:w", "passage:a")]
+    edges = spark.createDataFrame([(f"e{i}", t, a, b, i, None, None, None) for i, (t, a, b) in enumerate(rows)] + [("gone", "attests", "passage:a", "claim:2", 99, None, "later", "")], edge)
+    check = '{"method": "exact_span", "result": "pass", "assurance_level": "A2_EXACT_SPAN_MATCHED"}'
+    names = ["claim:1", "claim:2", "claim:3", "question:q", "passage:a", "passage:b", "passage:c", "witness:x", "witness:y", "verification:v", "verification:w"]
+    rows = [(n, n.split(":")[0], "proposed", check if n.startswith("v") else '{"text": "t"}', None, i) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "id STRING, type STRING, status STRING, payload STRING, rejected_reason STRING, created_seq BIGINT"), edges
+
+
+def test_support_with_links_at_passages_and_witnesses(spark):
+    nodes, edges = _small_graph(spark)
+    got = {r["id"]: (r["attesting_count"], r["distinct_witnesses"], r["non_independent_pairs"], r["independent"], r["vacuous"]) for r in evd.independent_support(nodes, edges).collect()}
+    assert got == {"claim:1": (3, 2, 3, False, False), "claim:2": (1, 1, 0, True, False), "claim:3": (0, 0, 0, True, True)}
+
+
+def test_checks_are_read_once_and_only_where_asked(spark):
+    nodes, edges = _small_graph(spark)
+    plan = lambda df: df._jdf.queryExecution().toString()
+    tally = evd.question_tally(nodes, edges)
+    assert "exact_span" not in plan(tally) and "assurance_level" not in plan(tally)  # counts no assurance
+    assert [(r["proposed"], r["unsupported"], r["discounted"]) for r in tally.collect()] == [(2, 0, 1)]
+    authors = spark.createDataFrame([("claim:1", "agent:a", "proposed", 0)], "node_id STRING, author STRING, action STRING, seq BIGINT")
+    found = evd.findings(nodes, edges, authors)
+    assert "verifies" not in plan(found)  # comes from one written table
+    assert {r["id"]: r["assurance"] for r in found.collect()} == {"claim:1": "A2_EXACT_SPAN_MATCHED", "claim:2": "A0_UNCHECKED", "claim:3": "A0_UNCHECKED"}
