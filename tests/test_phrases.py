@@ -96,3 +96,14 @@ def test_long_phrases_of_a_long_list_are_found_by_anchors(spark, monkeypatch):
     got = sorted((r["doc"], r["query_id"]) for r in ph.match_phrases(rows, "span", queries, group=40).collect())
     want = sorted((i, j) for i, t in [*enumerate(texts), (0, texts[1])] for j, q in enumerate(asked) if t and q and q.strip() and q in t)
     assert got == want and all(n < ph.LONG for n in dealt)
+
+
+def test_a_full_segment_is_encoded_in_bounded_memory():
+    import tracemalloc
+
+    texts = ["the quick brown fox jumps over a lazy dog %d" % i for i in range(pi.SEGMENT_CHARS // 44)]
+    tracemalloc.start()
+    pi.encode_segment(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 250 << 20  # each core of an executor encodes one

@@ -26,17 +26,17 @@ from vidimus.functions.workers import ship
 
 GRAM, BITS = 3, 21  # characters of a gram, bits of a character
 BUCKETS = 64
-SEGMENT_CHARS = 1 << 22
+SEGMENT_CHARS = 1 << 20  # some 150 bytes of arrays for each while a segment is encoded
 _MIX = 1009
 
 
 # --- codes ----------------------------------------------------------------------------------------------
 def varints(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole numbers in seven-bit bytes, low bits first, and where each ends."""
-    size = np.ones(len(values), np.int64)
+    size = np.ones(len(values), np.int8)
     for k in range(1, 5):
         size += values >= 1 << 7 * k
-    ends = np.cumsum(size)
+    ends = np.cumsum(size, dtype=np.int64)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(int(size.max(initial=0))):
         has = size > k
@@ -70,8 +70,9 @@ def encode_segment(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Distinct grams, ascending, their numbers of places, and their postings: for each place the step to
     its span's number and the step to its offset (from the span's start in a new span)."""
     grams, span = gram_codes(texts)
+    span = span.astype(np.int32)
     first = np.flatnonzero(np.r_[True, span[1:] != span[:-1]]) if len(span) else np.zeros(0, np.int64)
-    place = np.arange(len(span)) - np.repeat(first, np.diff(np.r_[first, len(span)]))
+    place = (np.arange(len(span)) - np.repeat(first, np.diff(np.r_[first, len(span)]))).astype(np.int32)
     order = np.argsort(grams, kind="stable")
     grams, span, place = grams[order], span[order], place[order]
     head = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
