@@ -330,3 +330,14 @@ def test_checks_are_read_once_and_only_where_asked(spark):
     found = evd.findings(nodes, edges, authors)
     assert "verifies" not in plan(found)  # comes from one written table
     assert {r["id"]: r["assurance"] for r in found.collect()} == {"claim:1": "A2_EXACT_SPAN_MATCHED", "claim:2": "A0_UNCHECKED", "claim:3": "A0_UNCHECKED"}
+
+
+def test_what_dossiers_cite_is_read_once(spark):
+    nodes, edges = _small_graph(spark)
+    made = evd.dossier(nodes, edges, nodes.filter("type = 'claim'").select("id"))
+    plan = made._jdf.queryExecution().toString()
+    assert "verifies" not in plan and "part_of" not in plan  # both come from written tables
+    rows = {r["id"]: r for r in made.collect()}
+    got = sorted((e["passage_id"], e["witness_id"], e["assurance"]) for e in rows["claim:1"]["evidence"])
+    assert got == [("passage:a", "witness:x", "A2_EXACT_SPAN_MATCHED"), *[("passage:b", "witness:y", "A0_UNCHECKED")] * 2, ("passage:c", "witness:x", "A0_UNCHECKED")]
+    assert [c["verification_id"] for c in rows["claim:1"]["latest_verifications"]] == ["verification:v"] and rows["claim:3"]["evidence"] is None
