@@ -76,3 +76,17 @@ def test_odd_tables(spark):
     same = "word " * 50 + "end"
     got = suffixes.remove_repeats(spark.createDataFrame([(None, same), (None, same), (1, None), (1, same[:199])], kind)).collect()
     assert sorted((r["n_bytes"], r["n_removed"]) for r in got) == [(0, 0), (199, 0), (253, 253), (253, 253)]
+
+
+def test_equal_segments_of_an_anchor_are_not_fetched(spark, monkeypatch):
+    """Texts that only repeat as a whole need no suffix array; one text more that shares a part of them does."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    copies = [prose(60), prose(80)]
+    asked, fetch = [], suffixes._fetch
+    monkeypatch.setattr(suffixes, "_fetch", lambda table, chosen, width: asked.append(chosen.count()) or fetch(table, chosen, width))
+    for texts, any_asked in ((copies * 3, False), (copies * 2 + [prose(30) + copies[0][50:300] + prose(30)], True)):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(docs).collect()}
+        assert got == dict(enumerate(_brute([t.encode() for t in texts], 200)))
+        assert (asked.pop() > 0) == any_asked

@@ -3,8 +3,8 @@
 Every `width`-byte window of a text has an anchor: the least hash of the short grams inside it. Equal
 windows have equal anchors, so windows are gathered by anchor and nothing is lost. Consecutive windows
 of one anchor are one segment. Segments whose anchor occurs once in the corpus are done; equal segments
-of one anchor are one segment with a weight. The others of an anchor meet in one task, many anchors in
-one batch, and a suffix array of the batch puts equal windows side by side.
+of one anchor are one segment with a weight, and an anchor whose segments are all equal is done too: each
+window is there again. The others of an anchor meet in one task, many anchors in one batch, and a suffix array of the batch puts equal windows side by side.
 
 The array is built without renaming in rounds: suffixes are first gathered by their Lyndon prefix,
 groups being taken in descending order, where each suffix of a group hands the group to the nearest
@@ -364,7 +364,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, batch: int = BATCH, hot:
     groups = cut_lineage(
         met.groupBy("anchor", "sig").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("row", "lo", "hi")).alias("_s")).select("anchor", "sig", "weight", "_s.*")
     )
-    load = groups.groupBy("anchor").agg(F.sum(F.col("hi") - F.col("lo") + width - 1).alias("load"))
+    size = F.col("hi") - F.col("lo")
+    load = groups.groupBy("anchor").agg(
+        F.sum(size + width - 1).alias("load"), F.count(F.lit(1)).alias("kinds"), F.max("weight").alias("weight"), F.min("sig").alias("sig"), F.max(size).alias("windows")
+    )
+    # all segments of the anchor are equal and there are several: every window is there again, nothing is left to compare
+    lone = load.filter("kinds = 1 and weight > 1")
+    groups = groups.join(lone.select("anchor"), "anchor", "left_anti")
     crowded = load.filter(F.col("load") > hot).select("anchor")
     if crowded.isEmpty():
         runs = _by_suffix_array(_fetch(table, groups, width), width, batch)
@@ -372,6 +378,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, batch: int = BATCH, hot:
         crowded = cut_lineage(crowded)
         few, many = groups.join(crowded, "anchor", "left_anti"), groups.join(crowded, "anchor", "left_semi")
         runs = _by_suffix_array(_fetch(table, few, width), width, batch).unionByName(_by_window(_fetch(table, many, width), width))
+    runs = runs.unionByName(lone.select("anchor", "sig", F.lit(0).alias("first"), (F.col("windows") - 1).alias("last")))
     found = met.join(runs, ["anchor", "sig"]).select("row", (F.col("lo") + F.col("first")).alias("begin"), (F.col("lo") + F.col("last") + width).alias("end"))
     spans = found.groupBy("row").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
 
