@@ -424,3 +424,24 @@ def test_common_grams_equal_counts_by_rows(spark):
     shape = {1: 3, 2: 9, 4: 40}
     got, want = (sorted(r["gram"] for r in f(texts, shape, tx.LETTER).collect()) for f in (sc.common_grams, at.common_grams))
     assert got == want
+
+
+def test_references_need_one_shuffle(spark):
+    """Repeats and places are found where a document's elements lie; ranges in parentheses overlap a number."""
+    body = "<cb:docNumber>No. 1 [12, 12, 3-5; cf. 7 (a)] [9 (3-4), 2] [5-2]</cb:docNumber><cb:docNumber>[12-14a] [4 - 5 (6)] [8; 3]</cb:docNumber>"
+    refs = xr.extract_refs(spark.createDataFrame([("d", body)], "doc string, body string"))
+    plan = refs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r["bucket"], r["number"], r["sub_ref"]) for r in refs.collect()}
+    asserted = {("asserted", n, None) for n in ("12", "2", "3", "4", "5", "8")} | {("asserted", "9", "3-4")}
+    assert got == asserted | {("compare_only", "7", "a")} | {("unparsed", b, None) for b in ("5-2", "12-14a", "4 - 5 (6)")}
+
+
+def test_counted_references_give_the_same_tallies(spark):
+    docs = spark.createDataFrame([("d", "<cb:docNumber>[1, 2, 77]</cb:docNumber>"), ("e", "<cb:docNumber>[2, 77, 3-4]</cb:docNumber>")], "doc string, body string")
+    refs = xr.extract_refs(docs)
+    cat = spark.createDataFrame([("1", "T1n1"), ("2", "T1n2"), ("2", "T2n2"), ("3a", "T1n3a"), ("3b", "T1n3b")], "number string, ref string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    each, counted = xr.resolve_refs(refs, cat), xr.resolve_counts(refs, cat)
+    assert rows(xr.scan_tallies(docs, refs, each)) == rows(xr.scan_tallies(docs, refs, counted))
+    assert rows(xr.most_often(each, "ambiguous")) == rows(xr.most_often(counted, "ambiguous")) == [("2", 2), ("3", 1)]

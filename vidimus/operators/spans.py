@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
-from vidimus.functions.frames import top_k_per
+from vidimus.functions.frames import cut_lineage, top_k_per
 from vidimus.operators.phrase_index import add_spans
 from vidimus.operators.phrases import match_phrases
 
@@ -133,7 +133,7 @@ def resolve_numbers(refs: DataFrame, catalogue: DataFrame) -> DataFrame:
     `refs` holds `number`; `catalogue` holds `number` (bare, lower case), `ref`. An exact match wins,
     otherwise lettered siblings are all returned. Ambiguity is reported, never guessed away.
     """
-    want = refs.select("number").distinct().withColumn("key", F.lower(F.trim("number")))
+    want = cut_lineage(refs.select("number").distinct()).withColumn("key", F.lower(F.trim("number")))
     cat = catalogue.select(F.lower("number").alias("key"), "ref").distinct()
     exact = want.join(cat, "key")
     rest = want.join(cat.select("key").distinct(), "key", "left_anti").withColumn("stem", tx.strip_letters("key"))

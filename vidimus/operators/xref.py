@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidimus.functions import text as tx
+from vidimus.functions.frames import cut_lineage
 from vidimus.operators.spans import resolve_numbers
 
 # The shapes of the markup and of a reference list.
@@ -20,6 +21,9 @@ CF = r"(?iU)\bcf\."
 PART_OF = r"(?iU)\bpart\s+of\b"
 RANGE = r"\d+\s*[-–]\s*\d+"
 SINGLE = r"\d+[A-Za-z]?\s*(?:\([^)]*\))?"
+TOKEN = f"(?sU){RANGE}|{SINGLE}"  # of a range, not its first number
+RANGE_HEAD = r"(?U)^\d+\s*[-–]"  # a single number is followed by a letter, space or parenthesis
+NESTED = r"(?U)\([^)]*\d\s*[-–]\s*\d"
 RESIDUE = r"(?iU)^(?:Nos?\.|cf\.|Part\s+of|Fasc\.|and|etc\.|[\s,;:.&–-])+$"
 MAX_RANGE = 200
 APP = r"(?s)<app\b([^>]*)>(.*?)</app>"
@@ -59,34 +63,39 @@ def _with_refs(df: DataFrame, segment: str, out: str) -> DataFrame:
     """Read one half of a bracket into `out` (array of number, sub_ref) and `out_clean`.
 
     Chunks between semicolons that hold no digit are annotations and dropped. A descending or too wide
-    range, or anything left over that is no separator, makes the half unclean."""
+    range, or anything left over that is no separator, makes the half unclean.
+
+    A range inside parentheses may lie in the match of a single number, so such halves are matched twice and
+    cut by bounds. Elsewhere ranges and singles do not overlap, and one pass over the text finds both: the
+    matches differ only where a parenthesis follows a range, which either way is left over."""
     seg, rng, one, tok = f"_{out}_seg", f"_{out}_rng", f"_{out}_one", f"_{out}_tok"
     chunks = F.filter(F.split(segment, ";"), lambda c: c.rlike(r"(?U)\d"))
     df = df.withColumn(seg, F.array_join(chunks, "; "))
-    df = df.withColumn(rng, matches(F.col(seg), RANGE))
+    nested = F.col(seg).rlike(NESTED)
+    df = df.withColumn(rng, F.when(nested, matches(F.col(seg), RANGE)))
     inside = lambda s: F.exists(F.col(rng), lambda r: (r["start"] <= s["start"]) & (s["start"] < r["end"]))
-    df = df.withColumn(one, F.filter(matches(F.col(seg), SINGLE), lambda s: ~inside(s)))
-    tag = lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["tok"].alias("tok"), F.lit(kind).alias("kind"))
-    df = df.withColumn(tok, F.array_sort(F.concat(F.transform(F.col(rng), tag("range")), F.transform(F.col(one), tag("single")))))
-    bad = F.exists(F.col(rng), lambda r: ~F.coalesce(
-        (_range_ends(r["tok"])[1] >= _range_ends(r["tok"])[0]) & (_range_ends(r["tok"])[1] - _range_ends(r["tok"])[0] <= MAX_RANGE), F.lit(False)))
+    df = df.withColumn(one, F.when(nested, F.array_sort(F.concat(rng, F.filter(matches(F.col(seg), SINGLE), lambda s: ~inside(s))))))
+    in_order = F.transform(F.col(one), lambda s: s["tok"])
+    df = df.withColumn(tok, F.when(F.col(one).isNotNull(), in_order).otherwise(F.regexp_extract_all(seg, F.lit(TOKEN), F.lit(0))))
+    is_range = lambda t: t.rlike(RANGE_HEAD)
+    bad = F.exists(F.col(tok), lambda t: is_range(t) & ~F.coalesce(
+        (_range_ends(t)[1] >= _range_ends(t)[0]) & (_range_ends(t)[1] - _range_ends(t)[0] <= MAX_RANGE), F.lit(False)))
     # matches are cut out from the last to the first, by the bounds they had in the whole segment
-    rest = F.aggregate(
-        F.reverse(F.col(tok)), F.col(seg),
+    by_bounds = F.aggregate(
+        F.reverse(F.col(one)), F.col(seg),
         lambda acc, s: F.concat(F.substring(acc, F.lit(1), s["start"]), F.substring(acc, s["end"] + 1, F.lit(1 << 30))),
     )
-    df = df.withColumn(f"_{out}_bad", bad).withColumn(f"_{out}_rest", F.when(~bad, rest))
+    rest = F.when(F.col(one).isNotNull(), by_bounds).otherwise(F.regexp_replace(seg, TOKEN, ""))
+    df = df.withColumn(f"_{out}_bad", bad).withColumn(f"_{out}_rest", F.when(~F.col(f"_{out}_bad"), rest))
     clean = ~F.col(f"_{out}_bad") & ((tx.strip_space(f"_{out}_rest") == "") | F.col(f"_{out}_rest").rlike(RESIDUE))
     none = F.lit(None).cast("string")
-    single = lambda s: F.array(F.struct(
-        F.regexp_extract(s["tok"], r"(?U)^(\d+[A-Za-z]?)", 1).alias("number"),
-        F.nullif(tx.strip_space(F.regexp_extract(s["tok"], r"\(([^)]*)\)", 1)), F.lit("")).alias("sub_ref"),
-    ))
-    many = lambda s: F.transform(
-        F.sequence(*_range_ends(s["tok"])), lambda n: F.struct(n.cast("string").alias("number"), none.alias("sub_ref"))
+    sub = lambda t: F.when(F.contains(t, F.lit("(")), F.nullif(tx.strip_space(F.regexp_extract(t, r"\(([^)]*)\)", 1)), F.lit("")))
+    single = lambda t: F.array(F.struct(F.regexp_extract(t, r"(?U)^(\d+[A-Za-z]?)", 1).alias("number"), sub(t).alias("sub_ref")))
+    many = lambda t: F.transform(
+        F.sequence(*_range_ends(t)), lambda n: F.struct(n.cast("string").alias("number"), none.alias("sub_ref"))
     )
     df = df.withColumn(f"{out}_clean", clean)
-    refs = F.flatten(F.transform(F.col(tok), lambda s: F.when(s["kind"] == "range", many(s)).otherwise(single(s))))
+    refs = F.flatten(F.transform(F.col(tok), lambda t: F.when(is_range(t), many(t)).otherwise(single(t))))
     empty = F.array().cast("array<struct<number:string,sub_ref:string>>")
     return df.withColumn(out, F.when(F.col(f"{out}_clean"), refs).otherwise(empty))
 
@@ -110,7 +119,7 @@ def extract_refs(docs: DataFrame) -> DataFrame:
     bracket that is not read cleanly is declined whole and kept verbatim under `unparsed`. Repeats of a
     reference in one bucket of a document are dropped, first place kept.
     """
-    el = doc_numbers(docs)
+    el = doc_numbers(docs).repartition("doc")  # the only shuffle: repeats and places are found within a document
     br = el.select("doc", "elem", F.posexplode(F.regexp_extract_all("clean", F.lit(BRACKET), F.lit(1))).alias("br", "b"))
     br = br.select("doc", "elem", "br", tx.strip_space("b").alias("bracket")).filter("bracket <> ''")
     br = br.withColumn("inside", F.col("bracket").rlike(PART_OF))
@@ -144,24 +153,39 @@ def resolve_refs(refs: DataFrame, catalogue: DataFrame) -> DataFrame:
     return asserted.join(resolve_numbers(asserted, catalogue), "number")
 
 
+def resolve_counts(refs: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Asserted numbers with how often they are referred to (`n`) and their candidates, a row a number.
+
+    References are counted before anything is joined, and the result is written once."""
+    asserted = cut_lineage(refs.filter("bucket = 'asserted'").groupBy("number").agg(F.count(F.lit(1)).alias("n")))
+    return cut_lineage(asserted.join(resolve_numbers(asserted, catalogue), "number"))
+
+
+def _by_number(resolved: DataFrame) -> DataFrame:
+    """(number, outcome, n) of the rows of `resolve_refs` or `resolve_counts`."""
+    n = F.sum("n") if "n" in resolved.columns else F.count(F.lit(1))
+    return resolved.groupBy("number", "outcome").agg(n.alias("n"))
+
+
 def scan_tallies(docs: DataFrame, refs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """What a corpus scan found: `measure, value, n`."""
-    per = refs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("number").alias("distinct"))
+    """What a corpus scan found: `measure, value, n` (X2). `resolved` is of `resolve_refs` or `resolve_counts`."""
+    per = refs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     row = lambda df, m, v, n: df.select(F.lit(m).alias("measure"), v.cast("string").alias("value"), n.cast("bigint").alias("n"))
     out = row(per, "references", F.col("bucket"), F.col("n"))
     out = out.unionByName(row(docs.agg(F.count(F.lit(1)).alias("n")), "entries", F.lit("read"), F.col("n")))
     out = out.unionByName(row(refs.agg(F.count_distinct("doc").alias("n")), "entries", F.lit("with references"), F.col("n")))
-    by = resolved.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    numbers = _by_number(resolved)
+    by = numbers.groupBy("outcome").agg(F.sum("n").alias("n"))
     out = out.unionByName(row(by, "resolution", F.col("outcome"), F.col("n")))
-    distinct = resolved.filter("outcome <> 'resolved'").groupBy("outcome").agg(F.count_distinct("number").alias("n"))
+    distinct = numbers.filter("outcome <> 'resolved'").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
     out = out.unionByName(row(distinct, "distinct numbers", F.col("outcome"), F.col("n")))
     notes = docs.select(F.explode(F.regexp_extract_all("body", F.lit(NOTE_CF), F.lit(1))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     return out.unionByName(row(notes, "note type", F.col("t"), F.col("n")))
 
 
 def most_often(resolved: DataFrame, outcome: str, k: int = 10) -> DataFrame:
-    """The numbers most often left unresolved for one reason."""
-    n = resolved.filter(F.col("outcome") == outcome).groupBy("number").agg(F.count(F.lit(1)).alias("n"))
+    """The numbers most often left unresolved for one reason (X2). `resolved` as in `scan_tallies`."""
+    n = _by_number(resolved.filter(F.col("outcome") == outcome)).select("number", "n")
     return n.orderBy(F.desc("n"), "number").limit(k)
 
 
@@ -266,7 +290,7 @@ def link_parallels(nodes: DataFrame, edges: DataFrame, witnesses: DataFrame, ref
     `witnesses` holds `witness_id, doc`. The report has one row per reference with its bucket: linked,
     already_linked, absent_from_graph, unknown, ambiguous, self, or not asserted (compare_only, part_of,
     unparsed). A pair asserted from both sides becomes one edge."""
-    mine = refs.join(witnesses, "doc")
+    mine = cut_lineage(refs.join(witnesses, "doc"))
     own = nodes.filter("type = 'witness'").select(F.col("id").alias("witness_id"), F.get_json_object("payload", "$.canonical_ref").alias("own_ref"))
     res = resolve_refs(mine, catalogue).join(own, "witness_id")
     target = F.concat(F.lit("witness:"), F.get("candidates", F.lit(0)))
@@ -278,7 +302,7 @@ def link_parallels(nodes: DataFrame, edges: DataFrame, witnesses: DataFrame, ref
         F.when(F.col("outcome") != "resolved", F.col("outcome")).when(F.get("candidates", F.lit(0)) == F.col("own_ref"), "self")
         .when(F.col("present").isNull(), "absent_from_graph").when(F.col("drawn").isNotNull(), "already_linked").otherwise("linked")
     )
-    asserted = j.select("witness_id", "doc", bucket.alias("bucket"), "ord", "number", "sub_ref", "target_id")
+    asserted = cut_lineage(j.select("witness_id", "doc", bucket.alias("bucket"), "ord", "number", "sub_ref", "target_id"))
     fresh = asserted.filter("bucket = 'linked'").select(
         F.least("witness_id", "target_id").alias("a"), F.greatest("witness_id", "target_id").alias("b"), "witness_id", "ord", "number"
     )

@@ -411,15 +411,15 @@ SELECT 'references' AS measure, bucket AS value, count(*) AS n FROM refs GROUP B
 UNION ALL SELECT 'entries', 'read', count(DISTINCT o) FROM rl UNION ALL SELECT 'entries', 'with references', count(DISTINCT o) FROM rl
 UNION ALL SELECT 'resolution', outcome, count(*) FROM rr GROUP BY 2 UNION ALL SELECT 'distinct numbers', outcome, count(DISTINCT number) FROM rr WHERE outcome <> 'resolved' GROUP BY 2""")
 def scan_tallies(spark, sf):
-    docs = inp.reference_docs(spark, sf)
+    docs = cut_lineage(inp.reference_docs(spark, sf))
     refs = cut_lineage(xr.extract_refs(docs))
-    return xr.scan_tallies(docs, refs, xr.resolve_refs(refs, xr.catalogue_of(inp.catalogue_entries(spark, sf))))
+    return xr.scan_tallies(docs, refs, xr.resolve_counts(refs, xr.catalogue_of(inp.catalogue_entries(spark, sf))))
 
 
 @query("unresolved_top", f"WITH {RES} SELECT number, count(*) AS n FROM refs JOIN res USING (number) WHERE bucket = 'asserted' AND res.n > 1 GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def unresolved_top(spark, sf):
-    refs = cut_lineage(xr.extract_refs(inp.reference_docs(spark, sf)))
-    return xr.most_often(xr.resolve_refs(refs, xr.catalogue_of(inp.catalogue_entries(spark, sf))), "ambiguous")
+    refs = xr.extract_refs(inp.reference_docs(spark, sf))
+    return xr.most_often(xr.resolve_counts(refs, xr.catalogue_of(inp.catalogue_entries(spark, sf))), "ambiguous")
 
 
 @query("reference_map", f"""WITH {RES}, one AS (SELECT doc, string_agg(res.refs, ' ' ORDER BY place) AS resolved FROM refs JOIN res USING (number) WHERE bucket = 'asserted' AND res.n = 1 GROUP BY 1)
@@ -445,7 +445,7 @@ def parallel_links(spark, sf):
     held = catalogue.filter(F.regexp_extract("number", r"\d+", 0).cast("bigint") % 4 != 2).select("ref").distinct()
     nodes = held.select(F.concat(F.lit("witness:"), "ref").alias("id"), F.lit("witness").alias("type"), F.to_json(F.struct(F.col("ref").alias("canonical_ref"))).alias("payload"))
     first = xr.resolve_refs(refs, catalogue).filter("outcome = 'resolved'").select("doc", F.get("candidates", F.lit(0)).alias("ref")).join(held, "ref")
-    own = first.groupBy("doc").agg(F.min("ref").alias("own")).groupBy("own").agg(F.min("doc").alias("doc"))
+    own = cut_lineage(first.groupBy("doc").agg(F.min("ref").alias("own")).groupBy("own").agg(F.min("doc").alias("doc")))
     edges = spark.createDataFrame([], "type STRING, src STRING, dst STRING, retracted_at STRING")
     _, report = xr.link_parallels(nodes, edges, own.select(F.concat(F.lit("witness:"), "own").alias("witness_id"), "doc"), refs, catalogue)
     return report.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))

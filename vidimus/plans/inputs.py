@@ -299,8 +299,12 @@ sup AS (
 """
 
 
-def _lines(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(
+def _lines(spark, sf_dir, by_order: bool = False) -> DataFrame:
+    """Order lines, once each; by_order: dealt by order, so that what is grouped by order next needs no shuffle of its own."""
+    li = table(spark, sf_dir, "lineitem")
+    if by_order:
+        li = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity").repartition("l_orderkey")
+    return li.groupBy(
         F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("l"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")
     ).agg(F.min("l_returnflag").alias("flag"), F.min("l_linestatus").alias("stat"), F.min(F.col("l_quantity").cast("bigint")).alias("q"))
 
@@ -482,7 +486,7 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per order whose number element lists its parts: accepted lines asserted, all others
     compared, an odd text in every 17th order, containment in every tenth."""
-    li = _lines(spark, sf_dir)
+    li = _lines(spark, sf_dir, by_order=True)
     tok = _s("CASE WHEN l = 3 THEN concat(p, '-', p + 2) WHEN stat = 'O' THEN concat(p, '(', l, ')') ELSE cast(p AS string) END")
     per = li.select("o", "flag", F.struct("l", "p", "s", tok.alias("tok")).alias("t")).groupBy("o").agg(
         F.array_sort(F.collect_list(F.when(F.col("flag") == "A", F.col("t")))).alias("a"), F.array_sort(F.collect_list(F.when(F.col("flag") != "A", F.col("t")))).alias("r")
@@ -540,7 +544,7 @@ res AS (
 
 def apparatus_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One document per order with an apparatus entry per line."""
-    li = _lines(spark, sf_dir)
+    li = _lines(spark, sf_dir, by_order=True)
     lem = _s("CASE flag WHEN 'A' THEN '<lem wit=\"【大】\">a' WHEN 'R' THEN '<lem resp=\"CBETA.x\" wit=\"【CB】\">b' ELSE '<lem wit=\"W1 W2\">c' END")
     rdg = _s("CASE stat WHEN 'O' THEN '<rdg wit=\"【宋】 【元】 【明】\">d<g/> e' ELSE '<rdg resp=\"Taisho\">f' END")
     one = F.concat(F.lit("<app n=\""), F.concat_ws(".", "l", "p", "s"), F.lit("\">"), lem, F.lit("</lem>"), rdg, F.lit("</rdg></app>"))
