@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vidimus import schemas
-from vidimus.functions.frames import scratch_path, tail
+from vidimus.functions.frames import cut_lineage, scratch_path, tail
 from vidimus.operators import audit as au
 from vidimus.operators import census as ce
 from vidimus.operators import projection as pj
@@ -278,8 +278,8 @@ SELECT 'nodes' AS "table", id, side, CAST(1 AS BIGINT) AS n FROM fold, (SELECT u
 UNION ALL SELECT 'node_authorship', 'decision:' || seq, 'replay', 1 FROM lad WHERE event IN ('accept', 'reject', 'reopen') AND seq % 50 = 0""")
 def rebuild_diff(spark, sf):
     log = inp.ladder_log(spark, sf)
-    g = pj.project(log)
     # a stored copy that went wrong: some claims flipped, some decision authorship lost
+    g = pj.Graph(*map(cut_lineage, pj.project(log)))
     nodes = g.nodes.withColumn("status", F.when((F.col("created_seq") % 10 == 0) & (F.col("type") == "claim"), "rejected").otherwise(F.col("status")))
     lost = F.startswith("node_id", F.lit("decision:")) & (F.col("seq") % 50 == 0)
     return pj.rebuild_diff(log, nodes, g.edges, g.node_authorship.filter(~lost), g.edge_authorship, g.agents).select("table", "id", "side", "n")
