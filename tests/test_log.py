@@ -351,3 +351,20 @@ def test_rebuild_diff_compares_written_tables(log):
     diff = pj.rebuild_diff(ev, *stored)
     assert "get_json_object" not in diff._jdf.queryExecution().optimizedPlan().toString()
     assert diff.count() == 0
+
+
+def test_admission_sends_no_growing_table_through_the_driver(spark, log, monkeypatch):
+    # every table here is far below the broadcast threshold
+    state = log(*base(), edge("contradicts", "claim:c", "passage:p2", id="edge:x", reason="differ"))
+    batch = log(attest("claim:c", by="agent:a"), attest("claim:c", by="agent:b"), propose("claim", "new"), edge("attests", "passage:p1", "claim:new"), shift("retract_edge", "edge:x"), start=100)
+    plans = []
+
+    def written(df):
+        out = cut_lineage(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(au, "cut_lineage", written)
+    admitted, refused_ = au.admit(state, batch)
+    assert {r["seq"] for r in admitted.collect()} == {101, 102, 103, 104} and rules(refused_) == {100: "SelfAttestation"}
+    assert len(plans) > 10 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)

@@ -8,22 +8,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidimus.functions.frames import cut_lineage
+from vidimus.functions.frames import by_shuffle, cut_lineage
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, shuffled: bool) -> DataFrame:
     near = _both(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return near.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return near.join(by_shuffle(least) if shuffled else least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, shuffled: bool) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(by_shuffle(least) if shuffled else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -32,15 +32,16 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, shuffled: bool = False) -> DataFrame:
     """(node, root) for every vertex of edges (u, v) but the roots themselves; root is the smallest
-    vertex of the component. Loops and repeated edges do no harm; no edges give no rows."""
+    vertex of the component. Loops and repeated edges do no harm; no edges give no rows. `shuffled`:
+    see `frames.by_shuffle`."""
     cur = cut_lineage(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     )
     seen = _mark(cur)
     while seen[0]:
-        cur = cut_lineage(_small_star(_large_star(cur)))
+        cur = cut_lineage(_small_star(_large_star(cur, shuffled), shuffled))
         now = _mark(cur)
         if now == seen:
             break

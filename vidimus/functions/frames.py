@@ -63,6 +63,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """The frame, marked to meet others by a shuffle whatever its size.
+
+    Every table below Spark's broadcast threshold passes through the driver. A plan of a few joins stays
+    small by that; one that joins dozens of tables, each growing with the input, sends their sum.
+    """
+    return df.hint("merge")
+
+
 def literal_map(mapping: dict[str, str], key: Column, default: str | None = None) -> Column:
     """Look a value up in a small fixed dictionary, inside the expression (no join)."""
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]
@@ -161,9 +170,9 @@ def _chunked(df: DataFrame, order: str, span: int) -> DataFrame:
 
 
 def carry_forward(
-    df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], span: int = SPAN,
+    df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], span: int = SPAN, shuffled: bool = False,
 ) -> DataFrame:
-    """Add `prev_<v>`: the last non-null v of the same key strictly before the row."""
+    """Add `prev_<v>`: the last non-null v of the same key strictly before the row. `shuffled`: see `by_shuffle`."""
     base = _chunked(df, order, span)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = base.select(
@@ -176,23 +185,23 @@ def carry_forward(
     carried = ends.select(
         *keys, "_chunk", *[F.last(f"_end_{v}", ignorenulls=True).over(across).alias(f"_from_{v}") for v in values]
     )
-    joined = local.join(carried, [*keys, "_chunk"])
+    joined = local.join(by_shuffle(carried) if shuffled else carried, [*keys, "_chunk"])
     return joined.select(
         *df.columns, *[F.coalesce(f"_in_{v}", f"_from_{v}").alias(f"prev_{v}") for v in values]
     )
 
 
 def running_total(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = SPAN,
+    df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, span: int = SPAN, shuffled: bool = False,
 ) -> DataFrame:
-    """Add the inclusive running sum of `value` per key."""
+    """Add the inclusive running sum of `value` per key (W4). `shuffled`: see `by_shuffle`."""
     base = _chunked(df, order, span)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("_in", F.sum(value).over(inside))
     sums = base.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_total"))
     across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select(*keys, "_chunk", F.coalesce(F.sum("_total").over(across), F.lit(0)).alias("_before"))
-    return local.join(carried, [*keys, "_chunk"]).select(
+    return local.join(by_shuffle(carried) if shuffled else carried, [*keys, "_chunk"]).select(
         *df.columns, (F.coalesce("_in", F.lit(0)) + F.col("_before")).alias(out)
     )
 

@@ -7,6 +7,9 @@ State "as of" an event comes from three kinds of plan, all linear in the log:
 * "is there one": how many supporters (or same-family authors) stand, a chunked running sum of +1 and -1.
 
 No key's history is enumerated against itself. Every logged event counts as applied.
+
+The judgement joins dozens of tables that all grow with the log, so they meet by shuffles whatever their
+size: as broadcasts, each below the threshold, they would all pass through the driver.
 """
 from __future__ import annotations
 
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 from vidimus import schemas
 from vidimus.functions import text as tx
 from vidimus.functions.components import components
-from vidimus.functions.frames import SPAN, carry_forward, cut_lineage, running_total
+from vidimus.functions.frames import SPAN, by_shuffle, carry_forward, cut_lineage, running_total
 from vidimus.operators.census import rule_category
 from vidimus.operators.projection import STATUS_OF, _detail, _map_event, base_edge, edge_changes, node_changes, with_twins
 
@@ -84,7 +87,7 @@ def _families_at(ev: DataFrame, probes: DataFrame, span: int) -> tuple[DataFrame
     )
     keep = [c for c in probes.columns if c not in ("agent", "seq")]
     line = reg.withColumn("_probe", F.lit(False)).unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
-    seen = carry_forward(line, ["agent"], "seq", ["family"], span)
+    seen = carry_forward(line, ["agent"], "seq", ["family"], span, shuffled=True)
     at = seen.filter("_probe").select("agent", "seq", *keep, F.coalesce("prev_family", F.lit("")).alias("family"))
     changes = seen.filter("NOT _probe").select("agent", "seq", "family", F.coalesce("prev_family", F.lit("")).alias("old")).filter("family <> old")
     return at, changes
@@ -94,12 +97,12 @@ def _kin_conflicts(ev: DataFrame, attests: DataFrame, authors: DataFrame, span:
     """Attest events whose author's model family an author of the node shares at that moment."""
     asked = attests.select(F.col("authored_by").alias("agent"), "seq", "node_id", F.lit("attest").alias("role"))
     # only nodes that are attested matter, and each author of a node once
-    wrote = authors.join(asked.select("node_id").distinct(), "node_id", "left_semi").select(
+    wrote = authors.join(by_shuffle(asked.select("node_id").distinct()), "node_id", "left_semi").select(
         F.col("author").alias("agent"), F.col("first_seq").alias("seq"), "node_id", F.lit("author").alias("role")
     )
     at, changes = _families_at(ev, asked.unionByName(wrote), span)
     joined = at.filter("role = 'author'").select("node_id", "family", "seq", F.lit(1).alias("d"))
-    later = wrote.select("agent", "node_id", F.col("seq").alias("since")).join(changes, "agent").filter("seq > since")
+    later = wrote.select("agent", "node_id", F.col("seq").alias("since")).join(by_shuffle(changes), "agent").filter("seq > since")
     moved = later.select("node_id", "seq", F.explode(F.array(
         F.struct(F.col("family"), F.lit(1).alias("d")), F.struct(F.col("old").alias("family"), F.lit(-1).alias("d"))
     )).alias("m")).select("node_id", "m.family", "seq", "m.d")
@@ -107,8 +110,8 @@ def _kin_conflicts(ev: DataFrame, attests: DataFrame, authors: DataFrame, span:
     line = joined.unionByName(moved).unionByName(probe).filter("family <> ''").groupBy("node_id", "family", "seq").agg(
         F.sum("d").alias("d")
     )
-    held = running_total(line, ["node_id", "family"], "seq", "d", "held", span).withColumn("held", F.col("held") - F.greatest("d", F.lit(0)))
-    return held.filter("held > 0").select("seq", "family").join(probe.select("seq", "family"), ["seq", "family"], "left_semi")
+    held = running_total(line, ["node_id", "family"], "seq", "d", "held", span, shuffled=True).withColumn("held", F.col("held") - F.greatest("d", F.lit(0)))
+    return held.filter("held > 0").select("node_id", "seq", "family").join(by_shuffle(probe.select("node_id", "seq", "family")), ["node_id", "seq", "family"], "left_semi")
 
 
 def _judge(df: DataFrame, *rules: tuple[Column, int, str, Column]) -> DataFrame:
@@ -139,30 +142,32 @@ def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
     proposals = ev.filter("event = 'propose' AND node_id IS NOT NULL").select("seq", "event", "authored_by", "node_id", "node_type", _detail("witness_id").alias("witness_id"))
     attest_edges = drawn.filter("type = 'attests'").groupBy("src", "dst").agg(F.min("created_seq").alias("drawn_seq"))
     none = F.lit(None).cast("string")
+    once = made.select(F.col("id").alias("node_id"), "created_seq")
     timeline = (
         made.select("id", F.col("created_seq").alias("seq"), F.col("born").alias("status"), F.lit("create").alias("row"))
         .unionByName(ladder.select(F.col("node_id").alias("id"), "seq", _map_event(STATUS_OF).alias("status"), F.lit("move").alias("row")))
         .unionByName(
-            proposals.filter("node_type IN ('witness', 'passage')").join(made.select(F.col("id").alias("node_id"), "created_seq"), "node_id")
+            proposals.filter("node_type IN ('witness', 'passage')").join(by_shuffle(once), "node_id")
             .filter("seq > created_seq").select(F.col("node_id").alias("id"), "seq", none.alias("status"), F.lit("repeat").alias("row"))
         )
         .unionByName(attest_edges.select(F.col("src").alias("id"), F.col("drawn_seq").alias("seq"), none.alias("status"), F.lit("edge").alias("row")))
     )
-    states = cut_lineage(carry_forward(timeline, ["id"], "seq", ["status"], span))
+    states = cut_lineage(carry_forward(timeline, ["id"], "seq", ["status"], span, shuffled=True))
 
     # --- the ladder ---------------------------------------------------------------------------------
-    moves = ladder.join(states.filter("row = 'move'").select(F.col("id").alias("node_id"), "seq", "prev_status"), ["node_id", "seq"])
-    moves = cut_lineage(moves.join(made.select(F.col("id").alias("node_id"), "type", "created_seq"), "node_id", "left").withColumn("known", before("created_seq")))
+    moves = ladder.join(by_shuffle(states.filter("row = 'move'").select(F.col("id").alias("node_id"), "seq", "prev_status")), ["node_id", "seq"])
+    moves = cut_lineage(moves.join(by_shuffle(made.select(F.col("id").alias("node_id"), "type", "created_seq")), "node_id", "left").withColumn("known", before("created_seq")))
     attests = moves.filter("event = 'attest' AND known")
     contested = attests.filter(F.col("type").isin(*schemas.REVIEWABLE_TYPES) & not_researcher)
     authors = proposals.groupBy("node_id", F.col("authored_by").alias("author")).agg(F.min("seq").alias("first_seq"))
-    kin = _kin_conflicts(ev, contested, authors, span).select("seq", F.col("family").alias("kin"))
+    kin = _kin_conflicts(ev, contested, authors, span).withColumnRenamed("family", "kin")
     held = _standing_support(states, attest_edges, attests.filter("type = 'claim'"), span)
-    first_edge = lambda kind, end, out: drawn.filter(F.col("type") == kind).groupBy(F.col(end).alias("node_id")).agg(F.min("created_seq").alias(out))
+    # the first `tests` edge to a node and the first `part_of` edge from it
+    here, drawn_at = F.when(F.col("type") == "tests", F.col("dst")).otherwise(F.col("src")), lambda kind: F.min(F.when(F.col("type") == kind, F.col("created_seq")))
+    firsts = drawn.filter("type IN ('tests', 'part_of')").groupBy(here.alias("node_id")).agg(drawn_at("tests").alias("tests_seq"), drawn_at("part_of").alias("part_seq"))
     j = (
-        moves.join(authors.withColumnRenamed("author", "authored_by"), ["node_id", "authored_by"], "left").join(kin, "seq", "left")
-        .join(held, ["node_id", "seq"], "left").join(first_edge("tests", "dst", "tests_seq"), "node_id", "left")
-        .join(first_edge("part_of", "src", "part_seq"), "node_id", "left")
+        moves.join(by_shuffle(firsts), "node_id", "left").join(by_shuffle(authors.withColumnRenamed("author", "authored_by")), ["node_id", "authored_by"], "left")
+        .join(by_shuffle(held), ["node_id", "seq"], "left").join(by_shuffle(kin), ["node_id", "seq"], "left")
     )
     event, kind, known = F.col("event"), F.col("type"), F.col("known")
     allowed = (
@@ -186,14 +191,13 @@ def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
 
     # --- proposals and questions --------------------------------------------------------------------------
     seen = states.filter("row = 'repeat'").select(F.col("id").alias("node_id"), "seq", "prev_status")
-    placed = proposals.join(made.select(F.col("id").alias("witness_id"), F.col("created_seq").alias("w_seq")), "witness_id", "left").join(seen, ["node_id", "seq"], "left")
+    placed = proposals.join(by_shuffle(made.select(F.col("id").alias("witness_id"), F.col("created_seq").alias("w_seq"))), "witness_id", "left").join(by_shuffle(seen), ["node_id", "seq"], "left")
     found.append(_judge(
         placed,
         ((F.col("node_type") == "passage") & ~before("w_seq"), 1, "EdgeEndpointMissing", F.concat(F.lit("witness "), text(F.col("witness_id")), F.lit(" does not exist"))),
         (F.col("prev_status") == "rejected", 2, "PersistentRejection", node),
     ))
-    once = made.select(F.col("id").alias("node_id"), "created_seq")
-    asked = ev.filter("event = 'ask'").select("seq", "event", "authored_by", "node_id").join(once, "node_id", "left")
+    asked = ev.filter("event = 'ask'").select("seq", "event", "authored_by", "node_id").join(by_shuffle(once), "node_id", "left")
     found.append(_judge(
         asked, (before("created_seq"), 0, "MalformedEvent", F.concat(F.lit("node made twice: "), node)),
         (not_researcher, 1, "NotResearcher", F.concat(who, F.lit(" may not ask a research question"))),
@@ -201,7 +205,7 @@ def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
 
     # --- verification -------------------------------------------------------------------------------------
     checks = ev.filter("event = 'verify'").select("seq", "event", "authored_by", "node_id", _detail("subject_node_id").alias("subject"), _detail("payload.method").alias("method"))
-    checks = checks.join(made.select(F.col("id").alias("subject"), F.col("type").alias("s_type"), F.col("created_seq").alias("s_seq")), "subject", "left").join(once, "node_id", "left")
+    checks = checks.join(by_shuffle(made.select(F.col("id").alias("subject"), F.col("type").alias("s_type"), F.col("created_seq").alias("s_seq"))), "subject", "left").join(by_shuffle(once), "node_id", "left")
     found.append(_judge(
         checks, (before("created_seq"), 0, "MalformedEvent", F.concat(F.lit("node made twice: "), node)),
         (~before("s_seq"), 1, "NodeNotFound", text(F.col("subject"))),
@@ -215,14 +219,14 @@ def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
         _detail("reason").alias("reason"), F.coalesce(_detail("converge").cast("boolean"), F.lit(False)).alias("converge"))
     by_triple = drawn.groupBy(F.col("type").alias("edge_type"), "src", "dst").agg(F.min(F.struct("created_seq", "id")).alias("e")).select(
         "edge_type", "src", "dst", F.col("e.created_seq").alias("e_seq"), base_edge(F.col("e.id")).alias("base"))
-    end = lambda side: made.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"), F.col("created_seq").alias(f"{side}_seq"))
-    adds = adds.join(end("src"), "src", "left").join(end("dst"), "dst", "left").join(by_triple, ["edge_type", "src", "dst"], "left")
+    end = lambda side: by_shuffle(made.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"), F.col("created_seq").alias(f"{side}_seq")))
+    adds = adds.join(end("src"), "src", "left").join(end("dst"), "dst", "left").join(by_shuffle(by_triple), ["edge_type", "src", "dst"], "left")
     adds = cut_lineage(adds)
     shifts = ev.filter(F.col("event").isin("retract_edge", "restore_edge") & F.col("edge_id").isNotNull()).select(
         "seq", "event", "authored_by", "edge_id", _detail("reason").alias("reason"), base_edge("edge_id").alias("base"))
     mark = F.when(F.col("event") == "retract_edge", "out").otherwise("in")
     redrawn = adds.filter(before("e_seq")).select("base", "seq", none.alias("state"))
-    edge_states = carry_forward(shifts.select("base", "seq", mark.alias("state")).unionByName(redrawn), ["base"], "seq", ["state"], span)
+    edge_states = carry_forward(shifts.select("base", "seq", mark.alias("state")).unionByName(redrawn), ["base"], "seq", ["state"], span, shuffled=True)
     was = cut_lineage(edge_states.select("base", "seq", F.coalesce(F.col("prev_state") == "out", F.lit(False)).alias("is_out")))
     both = before("src_seq") & before("dst_seq")
     odd = ~F.col("src_type").isin(*schemas.CONTRADICTABLE_TYPES) | ~F.col("dst_type").isin(*schemas.CONTRADICTABLE_TYPES)
@@ -230,7 +234,7 @@ def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
     ends = F.concat(F.col("edge_type"), F.lit(" "), F.col("src"), F.lit(" -> "), F.col("dst"))
     gone = lambda side: F.concat(F.lit(f"{side} "), text(F.col(side)), F.lit(" does not exist"))
     found.append(_judge(
-        adds.join(was, ["base", "seq"], "left"),
+        adds.join(by_shuffle(was), ["base", "seq"], "left"),
         (against & odd, 1, "WrongNodeType", F.concat(F.col("src_type"), F.lit(" and "), F.col("dst_type"), F.lit(" cannot contradict"))),
         (against & _blank(F.col("reason")), 1, "ValidationError", F.lit("a contradiction needs a stated reason")),
         (F.col("src") == F.col("dst"), 2, "EdgeSelfLoop", F.concat(F.col("src"), F.lit(" -> "), F.col("dst"))),
@@ -240,7 +244,7 @@ def audit(ev: DataFrame, list_all: bool = False, span: int = SPAN) -> DataFrame:
         (both & before("e_seq") & ~F.col("is_out") & ~F.col("converge"), 7, "MalformedEvent", F.concat(F.lit("edge drawn again without converging: "), ends)),
     ))
     rows = drawn.select(F.col("id").alias("edge_id"), F.col("created_seq").alias("row_seq"))
-    sh = shifts.join(rows, "edge_id", "left").join(was, ["base", "seq"])
+    sh = shifts.join(by_shuffle(rows), "edge_id", "left").join(by_shuffle(was), ["base", "seq"])
     wrong = F.when(F.col("event") == "retract_edge", F.col("is_out")).otherwise(~F.col("is_out"))
     found.append(_judge(
         sh, (not_researcher, 1, "NotResearcher", needs), (_blank(F.col("reason")), 2, "MissingRejectionReason", F.col("edge_id")),
@@ -262,11 +266,11 @@ def _standing_support(states: DataFrame, attest_edges: DataFrame, claims: DataFr
     stands = lambda c: F.coalesce(F.col(c).isin(*STANDING), F.lit(False)).cast("int")
     toggles = states.filter("status IS NOT NULL").select(F.col("id").alias("src"), "seq", (stands("status") - stands("prev_status")).alias("d")).filter("d <> 0")
     at_draw = states.filter("row = 'edge'").select(F.col("id").alias("src"), F.col("seq").alias("drawn_seq"), stands("prev_status").alias("d"))
-    drawn_on = attest_edges.join(at_draw, ["src", "drawn_seq"]).select(F.col("dst").alias("node_id"), F.col("drawn_seq").alias("seq"), "d")
-    later = attest_edges.join(toggles, "src").filter("seq > drawn_seq").select(F.col("dst").alias("node_id"), "seq", "d")
+    drawn_on = attest_edges.join(by_shuffle(at_draw), ["src", "drawn_seq"]).select(F.col("dst").alias("node_id"), F.col("drawn_seq").alias("seq"), "d")
+    later = attest_edges.join(by_shuffle(toggles), "src").filter("seq > drawn_seq").select(F.col("dst").alias("node_id"), "seq", "d")
     asked = claims.select("node_id", "seq", F.lit(0).alias("d"))
     line = drawn_on.unionByName(later).unionByName(asked).groupBy("node_id", "seq").agg(F.sum("d").alias("d"))
-    return running_total(line, ["node_id"], "seq", "d", "held", span).join(claims.select("node_id", "seq"), ["node_id", "seq"], "left_semi").select("node_id", "seq", "held")
+    return running_total(line, ["node_id"], "seq", "d", "held", span, shuffled=True).join(by_shuffle(claims.select("node_id", "seq")), ["node_id", "seq"], "left_semi").select("node_id", "seq", "held")
 
 
 # --- admission -------------------------------------------------------------------------------------------
@@ -283,11 +287,11 @@ def _strands(batch: DataFrame) -> DataFrame:
     things = _touched(batch)
     registered = batch.filter("event = 'register_agent'").select(F.concat(F.lit("agent/"), _detail("payload.id")).alias("thing")).distinct()
     plain = F.startswith("thing", F.lit("agent/"))
-    things = things.filter(~plain).unionByName(things.filter(plain).join(registered, "thing", "left_semi"))
+    things = things.filter(~plain).unionByName(things.filter(plain).join(by_shuffle(registered), "thing", "left_semi"))
     first = things.groupBy("thing").agg(F.min("seq").alias("v"))
-    roots = components(things.join(first, "thing").select(F.col("seq").alias("u"), "v").distinct())
+    roots = components(things.join(by_shuffle(first), "thing").select(F.col("seq").alias("u"), "v").distinct(), shuffled=True)
     named = roots.select(F.col("node").alias("seq"), F.col("root").alias("strand"))
-    return batch.select("seq").join(named, "seq", "left").select("seq", F.coalesce("strand", "seq").alias("strand"))
+    return batch.select("seq").join(by_shuffle(named), "seq", "left").select("seq", F.coalesce("strand", "seq").alias("strand"))
 
 
 def bearing(log: DataFrame, batch: DataFrame) -> DataFrame:
@@ -299,12 +303,12 @@ def bearing(log: DataFrame, batch: DataFrame) -> DataFrame:
     the batch touches."""
     ours, things = F.startswith("thing", F.lit("agent/")), _touched(log)
     named = _touched(batch).filter(~ours).select("thing").distinct()
-    near = cut_lineage(log.join(things.filter(~ours).join(named, "thing", "left_semi").select("seq").distinct(), "seq", "left_semi"))
+    near = cut_lineage(log.join(by_shuffle(things.filter(~ours).join(by_shuffle(named), "thing", "left_semi").select("seq").distinct()), "seq", "left_semi"))
     passages = near.filter("event = 'add_edge' AND edge_type = 'attests'").select(_detail("src").alias("thing")).distinct()
-    around = things.join(passages, "thing", "left_semi").select("seq")
+    around = things.join(by_shuffle(passages), "thing", "left_semi").select("seq")
     writers = near.select("authored_by").unionByName(batch.select("authored_by")).distinct()
-    registered = log.filter("event = 'register_agent'").select("seq", _detail("payload.id").alias("authored_by")).join(writers, "authored_by", "left_semi").select("seq")
-    return log.join(near.select("seq").unionByName(around).unionByName(registered).distinct(), "seq", "left_semi")
+    registered = log.filter("event = 'register_agent'").select("seq", _detail("payload.id").alias("authored_by")).join(by_shuffle(writers), "authored_by", "left_semi").select("seq")
+    return log.join(by_shuffle(near.select("seq").unionByName(around).unionByName(registered).distinct()), "seq", "left_semi")
 
 
 def admit(log: DataFrame, proposals: DataFrame, span: int = SPAN) -> tuple[DataFrame, DataFrame]:
@@ -318,15 +322,13 @@ def admit(log: DataFrame, proposals: DataFrame, span: int = SPAN) -> tuple[DataF
     reads, of the log, only what bears on the batch.
     """
     log = cut_lineage(bearing(log, proposals))
-    strand = cut_lineage(_strands(proposals))
-    live, refused = cut_lineage(proposals.select("seq")), None
+    live, refused = cut_lineage(_strands(proposals)), None
     while True:
-        step = proposals.join(live, "seq", "left_semi")
-        bad = audit(log.unionByName(step), span=span).join(live, "seq", "left_semi").join(strand, "seq")
-        bad = cut_lineage(bad)
-        first = bad.groupBy("strand").agg(F.min("seq").alias("seq"))
-        now = cut_lineage(bad.join(first.select("seq"), "seq", "left_semi").drop("strand"))
+        step = proposals.join(by_shuffle(live.select("seq")), "seq", "left_semi")
+        bad = audit(log.unionByName(step), span=span).join(by_shuffle(live), "seq")
+        first = F.min(F.struct("seq", *[c for c in bad.columns if c not in ("seq", "strand")])).alias("v")
+        now = cut_lineage(bad.groupBy("strand").agg(first).select("v.*"))
         refused = now if refused is None else refused.unionByName(now)
         if now.isEmpty():
             return step, refused
-        live = cut_lineage(live.join(now.select("seq"), "seq", "left_anti"))
+        live = cut_lineage(live.join(by_shuffle(now.select("seq")), "seq", "left_anti"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vidimus import schemas
-from vidimus.functions.frames import cut_lineage, scratch_path, tail
+from vidimus.functions.frames import by_shuffle, cut_lineage, scratch_path, tail
 from vidimus.operators import audit as au
 from vidimus.operators import census as ce
 from vidimus.operators import projection as pj
@@ -394,6 +394,6 @@ def admitted_events(spark, sf):
     log, batch = inp.claim_log(spark, sf)
     admitted, refused = au.admit(log, batch)
     went = admitted.groupBy(F.get(F.split("node_id", ":"), F.lit(1)).alias("d")).agg(F.min("seq").alias("at"))
-    out = refused.select("seq", F.lit(False).alias("admitted"), "rule", F.floor((F.col("seq") - 1_000_000_000_000) / 10).cast("string").alias("d")).join(went, "d")
+    out = refused.select("seq", F.lit(False).alias("admitted"), "rule", F.floor((F.col("seq") - 1_000_000_000_000) / 10).cast("string").alias("d")).join(by_shuffle(went), "d")
     rule = F.when(F.col("seq") < F.col("at"), F.col("rule")).otherwise("later")
     return out.select("seq", "admitted", rule.alias("rule")).unionByName(admitted.select("seq", F.lit(True).alias("admitted"), F.lit("").alias("rule")))
