@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from vidimus.functions.components import components
+from vidimus.functions.frames import cut_lineage
 from vidimus.llm import exact, simhash
 
 CLASHING = "doc_id long, text string, recipe string, fp string, kept int, u long, component_id string, norm string"
@@ -132,3 +133,12 @@ def test_components_of_long_paths_and_hubs(spark):
     got = components(spark.createDataFrame(path + hub + [(7, 7), (8, 7), (7, 8)], "u long, v long")).collect()
     roots = {r["node"]: r["root"] for r in got}
     assert roots == {i: 100 for i in range(101, 301)} | {i: 5 for i in range(1000, 1400)} | {8: 7}
+
+
+def test_small_tables_that_explode_are_not_broadcast(spark):
+    """Spark sizes a written table by its files, before it explodes; keys met through the driver that way."""
+    points = cut_lineage(spark.range(200).select(F.xxhash64("id").alias("fp")))
+    docs = cut_lineage(frame(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, "other words here")]))
+    for made in (simhash.links(points), simhash.near_duplicates(docs), simhash.representatives(docs)):
+        made.collect()
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidimus.functions.components import components
-from vidimus.functions.frames import cut_lineage
+from vidimus.functions.frames import by_shuffle, cut_lineage
 from vidimus.functions.workers import ship
 from vidimus.llm.common import longs, raw, semi, sliced
 
@@ -164,8 +164,9 @@ def links(points: DataFrame, bits: int = BITS, blocks: int = BLOCKS, same: int =
     )
     met = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     mine, tiles = F.pmod(F.xxhash64("fp"), F.col("t")), F.sequence(F.lit(0).cast("long"), F.col("t") - 1)
+    # a table that explodes counts as large as what it was made from, so Spark would broadcast the keys of some 10 MB of points
     dealt = (
-        keyed.join(met, "k").withColumn("t", F.ceil(F.col("n") / tile)).withColumn("mine", mine).select("k", "fp", "mine", F.explode(tiles).alias("other"))
+        keyed.join(by_shuffle(met), "k").withColumn("t", F.ceil(F.col("n") / tile)).withColumn("mine", mine).select("k", "fp", "mine", F.explode(tiles).alias("other"))
         .select("k", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "fp")
     )
     return dealt.repartition("k", "a", "b").sortWithinPartitions("k", "a", "b").mapInArrow(_link_groups(bits), "u long, v long")
@@ -183,10 +184,10 @@ def near_duplicates(
     """
     prints = cut_lineage(fingerprints(docs, shingle))
     points = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(points.select("fp"), bits, blocks, same, tile))
-    rooted = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    roots = components(links(points.select("fp"), bits, blocks, same, tile), shuffled=True)
+    rooted = points.join(by_shuffle(roots.select(F.col("node").alias("fp"), "root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.join(by_shuffle(rooted.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("fp", "component_id")
+    return prints.join(by_shuffle(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
