@@ -445,3 +445,43 @@ def test_counted_references_give_the_same_tallies(spark):
     each, counted = xr.resolve_refs(refs, cat), xr.resolve_counts(refs, cat)
     assert rows(xr.scan_tallies(docs, refs, each)) == rows(xr.scan_tallies(docs, refs, counted))
     assert rows(xr.most_often(each, "ambiguous")) == rows(xr.most_often(counted, "ambiguous")) == [("2", 2), ("3", 1)]
+
+
+def test_evidence_is_read_in_the_task_that_paints(spark):
+    """What the queries read along texts equals the same read from whole arrays, which need not leave a task."""
+    from vidimus.operators import scoring as sc
+
+    rng = random.Random(4)
+    rows = [(i, "ABC"[i % 3] if i % 4 else None, f"w{i % 3}", "".join(rng.choice("abcdef\n天😀") for _ in range(rng.choice([5, 60, 900])))) for i in range(60)]
+    units = spark.createDataFrame([*rows, (90, None, "w1", None), (91, "A", "w1", ""), (92, None, "w9", "xyz"), (93, None, "w9", "ab\0cd")], "uid BIGINT, label STRING, work STRING, text STRING")
+    grams = [("curated", "ab"), ("curated", "天a"), ("generic", "cde"), ("generic", "b"), ("generic", "ab")]
+    vocab = spark.createDataFrame([*grams, *{("both", g) for _, g in grams}], "feature_set STRING, gram STRING")
+    voc = sc.vocabulary(vocab)
+    prof = sc.build_profiles(sc.gram_rows(at.judge_units(units, 5, 2, cls=tx.LETTER), voc), voc)
+    ev = sc.text_evidence(units, prof).cache()
+    rows_of = lambda df: sorted(tuple(round(v, 9) + 0.0 if isinstance(v, float) else v for v in r) for r in df.collect())
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    found = F.array_compact("evidence")
+    assert rows_of(sc.totals(units, prof)) == rows_of(ev.select("feature_set", "uid", F.size(found).alias("painted"), add(found), F.array_max("evidence")))
+    assert rows_of(sc.scales(units, prof)) == rows_of(at.evidence_scale(ev))
+    assert rows_of(sc.strips(units, prof)) == rows_of(at.strip(ev))
+    assert rows_of(sc.excerpt_totals(units, prof, 7, 300)) == rows_of(sc.excerpts(ev, 7, 300).select("feature_set", "uid", "start", "end", add("evidence")))
+    bands = sc.bands(sc.excerpts(at.with_scale(ev), 7, 300, ("scale",)))
+    assert rows_of(sc.band_totals(units, prof, 7, 300)) == rows_of(bands.groupBy("feature_set", "uid", "band").agg(F.count("band"), F.sum(F.length("text"))))
+    assert "evidence" not in sc.totals(units, prof)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounding_in_tasks_is_sparks(spark):
+    from vidimus.operators import scoring as sc
+
+    rng = random.Random(1)
+    values = [0.0, -0.0, 0.00005, -0.00005, 1.00005, 2.67525, -3.33335, 1e-13, 5e-13, 123456.00005] + [rng.uniform(-9, 9) for _ in range(300)] + [k / 2e4 for k in range(-300, 300)]
+    for digits in (4, 12):
+        want = [r["v"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", digits).alias("v")).collect()]
+        assert sc.rounded(np.array(values), digits).tolist() == want
+
+
+def test_units_are_not_gathered_by_class(spark):
+    units = spark.createDataFrame([(i, "AB"[i % 2], "w", "abc") for i in range(9)], "uid BIGINT, label STRING, work STRING, text STRING")
+    plan = at.judge_units(units, 1, 2, cls=tx.LETTER)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan

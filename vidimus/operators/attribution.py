@@ -57,7 +57,8 @@ def judge_units(units: DataFrame, min_chars: int = MIN_CHARS, min_units: int = M
         .when(~_labelled(), "unlabelled").when(F.col("chars") < min_chars, "under the floor").otherwise("kept"),
     )
     sizes = first.filter("fate = 'kept'").groupBy("label").agg(F.count(F.lit(1)).alias("_class_units"))
-    return first.join(sizes, "label", "left").withColumn(
+    # a row for each class, which every scoring task knows; by a shuffle all texts of a class would be one task
+    return first.join(F.broadcast(sizes), "label", "left").withColumn(
         "fate", F.when((F.col("fate") == "kept") & (F.col("_class_units") < min_units), "class too small").otherwise(F.col("fate"))
     ).drop("_class_units")
 
