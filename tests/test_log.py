@@ -344,6 +344,21 @@ def test_what_dossiers_cite_is_read_once(spark):
     assert [c["verification_id"] for c in rows["claim:1"]["latest_verifications"]] == ["verification:v"] and rows["claim:3"]["evidence"] is None
 
 
+def test_payloads_are_read_before_nodes_move(spark):
+    """Payloads of nodes nobody asked for used to go through the shuffles that look nodes up."""
+    nodes, edges = _small_graph(spark)
+    authors = spark.createDataFrame([("claim:1", "agent:a", "proposed", "t0", 0)], "node_id STRING, author STRING, action STRING, at STRING, seq BIGINT")
+    plan = evd.verifications(nodes, edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" in plan[plan.index("Join"):] and "get_json_object" not in plan[: plan.index("Join")]
+    claims = nodes.filter("type = 'claim'")
+    assert "Join" not in evd.wanted(nodes, claims)._jdf.queryExecution().optimizedPlan().toString()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(evd.dossier(nodes, edges, claims)) == rows(evd.dossier(nodes, edges, claims.select("id")))
+    nodes = nodes.withColumn("updated_seq", F.col("created_seq"))
+    claims = nodes.filter("type = 'claim'")
+    assert rows(pj.node_detail(nodes, edges, authors, claims)) == rows(pj.node_detail(nodes, edges, authors, claims.select("id")))
+
+
 def test_rebuild_diff_compares_written_tables(log):
     """The replay is written before it is compared, so one task does not hold fold, join and comparison."""
     ev = log(*base(), edge("contradicts", "passage:p1", "passage:p2", reason="differ"))
